@@ -127,7 +127,7 @@ def merge_leftovers(left: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["sequence_id", "offset"], kind="stable")
-        seq, at, rows = (1 << 30 | key[0]) << 32, 0, []
+        seq, at, rows = (1 << 30 | int(key[0])) << 32, 0, []
         known = [None if x is pd.NA else x for x in group["doc_id"].astype("Int64").tolist()]
         for doc_id, start, ids, total in zip(known, group["start"].tolist(), group["ids"], group["doc_tokens"].tolist(), strict=True):
             done, n = 0, len(ids) // 4
