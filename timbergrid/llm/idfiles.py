@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from . import text as X
 from .tokenize import encoder, tokenizer_path
+from .workers import prepare
 
 MAX_BITS, BLOCK, CHUNK_TOKENS = 18, 512, 1 << 19
 _HEAD = struct.Struct("<4sI5Q")
@@ -182,7 +182,7 @@ def token_chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         if raw:
             yield chunk()
 
-    X.small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
     return ordered.mapInPandas(run, "part int, before long, n long, width int, doc_ids array<long>, counts array<long>, ids binary")
@@ -220,7 +220,7 @@ def write_files(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 start = base[part] + before
                 yield pd.DataFrame({"start": [start], "image": [image(np.frombuffer(ids, dtype=f"<u{width}"), np.asarray(doc_ids), np.asarray(n), start, lengths, codes)]})
 
-    X.small_batches(spark, 8)
+    prepare(spark, 8)
     return scratch.materialize(chunks.select("part", "before", "width", "doc_ids", "counts", "ids").mapInPandas(encode, "start long, image binary"), "idfiles")
 
 
@@ -238,7 +238,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 known[doc_ids == NO_ID] = pd.NA
                 yield pd.DataFrame({"doc_id": known, "start": start + begins, "ids": [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]})
 
-    X.small_batches(files.sparkSession, 8)
+    prepare(files.sparkSession, 8)
     return files.select("image").mapInPandas(run, "doc_id long, start long, ids binary")
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from . import text as X
 from .tokenize import encoder, tokenizer_path
+from .workers import prepare
 
 LENGTH, OPEN, GROUP, SMALL_ROOM = 1024, 32, 16, 16
 COLUMNS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "closed", "part")
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, most:
         if rows := windows.take():
             yield _frame(rows, part)
 
-    X.small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import text as X
 from .components import components
+from .workers import prepare
 
 SHINGLE, LIMIT = 3, 2
 PIVOTS, BANDS, CROWD = 8, 4, 256
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fp": fp})
 
-    X.small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 

@@ -40,9 +40,3 @@ def keep_columns(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
-
-
-def small_batches(spark, rows: int = 1000, mb: int = 32) -> None:
-    """Arrow batches of whole texts that stay small in Python workers, whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
