@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, idfiles, lines, packing, quality, simhash, substring, warc
+from . import chat, decontam, idfiles, lines, lm, packing, quality, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_substring_dedup, op3_token_files, op4_line_dedup, op5_chat_formatting, op6_warc, op8_decontamination, op9_simhash, op10_packing]
+    found = [op1_quality_rules, op2_substring_dedup, op3_token_files, op4_line_dedup, op5_chat_formatting, op6_warc, op7_lm_scoring, op8_decontamination, op9_simhash, op10_packing]
     return {f.__name__: f for f in found}
 
 

@@ -147,6 +147,16 @@ class Encoder:
         return out
 
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as it stands after a space."""
+        if len(self.after_space) > MEMORY:
+            self.after_space.clear()
+        if len(self.letters) > MEMORY:
+            self.letters.clear()
+        self._need(set(words), self.after_space, " ")
+        return [ids if (ids := self.after_space[w]) is not None else self._whole(" " + w.decode("utf-8")) for w in words]
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file; workers are reused, and so is what they remember."""
     if path not in _encoders:
