@@ -2,30 +2,33 @@
 
 A tokenizer splits a text into pre-tokens before it merges, and white space always ends one. So a text may be cut
 where ASCII white space follows other characters, each piece encoded once and remembered, and the ids strung together:
-the result is that of encoding the whole text, and prose pays for each distinct word once. Pieces that are new are
-joined by a special token, encoded in one call, and split at its id. Most new pieces are a run of Latin letters with
-punctuation after it; where the file's pre-tokenizer is one of the two known kinds (tried at the start on a sample),
-such a piece's pre-tokens go straight to the library's BPE model, which spares the tracking of offsets.
-
-For byte-level files a piece keeps the white space before it. Where a text has runs of white space the cut is made
-before the run; a text with white space beyond ASCII, or with a special token's opening, is encoded in one call.
+the result is that of encoding the whole text, and prose pays for each distinct word once. Most pieces are a run of
+Latin letters with punctuation after it; where the file's pre-tokenizer is one of the two known kinds (tried at the
+start on samples), such a piece's pre-tokens go straight to the library's BPE model, which spares the tracking of
+offsets. All other pieces are encoded by the library as they are.
+
+For byte-level files a piece keeps the white space before it: a space, or a lone line feed, which is a pre-token of its
+own. Where a text has longer runs of white space the cut is made before the run; a text with white space beyond ASCII,
+or with a special token's opening, is encoded in one call.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces remembered by a Python worker; forgotten together when there are more.
+#: Pieces of each kind in a generation; a Python worker remembers two.
 MEMORY = 400_000
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 _RUNS = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-_DOUBLE = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
-#: Letters that are composed already, lower-case one to one, and are letters to every Unicode version; then punctuation.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ž]+)([.,!?;:]*)")
-_SAMPLE = ("The", "a", "Ähnlich.", "thing", "things,", "être", "ÉTÉ!", "mañana", "x?!", "zebra...", "Straße;", "unhappiness")
+_DOUBLE = (b"  ", b"\n\n", b" \n", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
+#: Letters that are composed already, lower-case one to one, and are letters to every Unicode version; then punctuation,
+#: but for the apostrophe, which may begin a pre-token of letters, and "<", which may begin a special token.
+_SIMPLE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-įı-ž]+)([]!"#$%&()*+,./:;=>?@\\[^_`{|}~-]*)""")
+_SAMPLE = ("The", "a", "Ähnlich.", "thing", "things,", "être", "ÉTÉ!", "mañana", "x?!", "zebra...", "Straße;", "unhappiness", "that.$$$", "of&&&", "a()", "no-", "end)|>", "w[]{}", "x_/=+", "y@~^`", 'z"*#%')
 _encoders: dict[str, Encoder] = {}
 
 
@@ -35,6 +38,30 @@ def _byte_chars() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+class Memory(dict[bytes, "bytes | None"]):
+    """Ids by piece; an unknown piece is learnt as it is asked for.
+
+    There are two generations: a full young one becomes the old one, and what is asked for again is young again. So the
+    pieces in use stay known, however many others pass by once.
+    """
+
+    def __init__(self, learn: Callable[[bytes], bytes | None]) -> None:
+        super().__init__()
+        self.learn = learn
+        self.old: dict[bytes, bytes | None] = {}
+
+    def __missing__(self, piece: bytes) -> bytes | None:
+        if (ids := self.old.get(piece)) is None:
+            ids = self.learn(piece)
+        self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > MEMORY:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         import json
@@ -47,28 +74,29 @@ class Encoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        added = [a for a in spec.get("added_tokens", []) if a.get("special")]
-        self.special = (added[-1]["content"], added[-1]["id"]) if added else None
         #: Byte-level files without a normalizer keep white space; files that drop it can be cut at every space.
         self.spaced = spec.get("normalizer") is None
-        self.letters: dict[str, bytes] = {}
+        self.lower = not self.spaced
+        self.pretokens: dict[str, bytes] = {}
         self.model, self.byte_chars = self.tokenizer.model, _byte_chars()
         self.simple = spec.get("model", {}).get("type") == "BPE" and not spec["model"].get("dropout")
-        self.lower = not self.spaced
+        self.plain, self.after_space = Memory(self._learn_plain), Memory(self._learn_spaced)
         if self.simple:
             before = ("", " ") if self.spaced else ("",)
             self.simple = all(self._short(b, w) == self._whole(b + w) for b in before for w in _SAMPLE)
-        self.plain: dict[bytes, bytes | None] = {}
-        self.after_space: dict[bytes, bytes | None] = {}
+        self.newline = self._whole("\n")
+        if self.spaced and self._whole("a.\nThe\nend x") != b"".join(map(self._whole, ("a.", "\n", "The", "\n", "end", " x"))):
+            self.spaced_lines = False
+        else:
+            self.spaced_lines = self.spaced
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _pretoken(self, text: str) -> bytes:
         """Ids of one pre-token, through the model alone."""
-        if (known := self.letters.get(text)) is None:
-            mapped = text.replace(" ", "\u0120") if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self.byte_chars)
-            known = self.letters[text] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        mapped = text.replace(" ", "\u0120") if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self.byte_chars)
+        known = self.pretokens[text] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return known
 
     def _short(self, before: str, text: str) -> bytes | None:
@@ -76,84 +104,58 @@ class Encoder:
         if not (m := _SIMPLE.fullmatch(text)):
             return None
         head, tail = m.groups()
-        ids = self._pretoken(before + (head.lower() if self.lower else head))
-        return ids + self._pretoken(tail) if tail else ids
-
-    def _learn(self, pieces: list[bytes], memory: dict[bytes, bytes | None], before: str) -> None:
-        easy: list[bytes] = []
-        for p in pieces:
-            text = p.decode("utf-8")
-            if self.simple and (short := self._short(before, text)) is not None:
-                memory[p] = short
-            elif self.spaced and (_ODD.search(text) or "<|" in text):
-                memory[p] = None
-            elif self.special is None or "<|" in text:
-                memory[p] = self._whole(before + text)
-            else:
-                easy.append(p)
-        for at in range(0, len(easy), 200):
-            part = easy[at : at + 200]
-            mark, code = self.special
-            ids = np.array(self.tokenizer.encode(mark.join(before + p.decode("utf-8") for p in part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == code), len(ids))
-            if len(ends) == len(part):
-                raw, begin = ids.tobytes(), 0
-                for p, end in zip(part, ends.tolist(), strict=True):
-                    memory[p] = raw[4 * begin : 4 * end]
-                    begin = end + 1
-            else:
-                for p in part:
-                    memory[p] = self._whole(before + p.decode("utf-8"))
-
-    def _need(self, pieces: set[bytes], memory: dict[bytes, bytes | None], before: str = "") -> None:
-        if new := [p for p in pieces if p not in memory]:
-            self._learn(new, memory, before)
+        head = head.lower() if self.lower else before + head
+        ids = self.pretokens.get(head) or self._pretoken(head)
+        return ids + (self.pretokens.get(tail) or self._pretoken(tail)) if tail else ids
+
+    def _learn(self, before: str, text: str) -> bytes | None:
+        if self.simple and (short := self._short(before, text)) is not None:
+            return short
+        if self.spaced and (_ODD.search(text) or "<|" in text):
+            return None
+        return self._whole(before + text)
+
+    def _learn_plain(self, piece: bytes) -> bytes | None:
+        text = piece.decode("utf-8")
+        if self.spaced and text[:1] == " ":
+            return self._learn(" ", text[1:])
+        return self._learn("", text)
+
+    def _learn_spaced(self, piece: bytes) -> bytes | None:
+        if piece[:1] != b"\n":
+            return self._learn(" ", piece.decode("utf-8"))
+        ids = self.plain[piece[1:]]
+        return None if ids is None else self.newline + ids
+
+    def _turn(self) -> None:
+        self.plain.turn()
+        self.after_space.turn()
+        if len(self.pretokens) > MEMORY:
+            self.pretokens.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for memory in (self.plain, self.after_space, self.letters):
-            if len(memory) > MEMORY:
-                memory.clear()
+        self._turn()
+        plain, spaced = self.plain.__getitem__, self.after_space.__getitem__
         raw = [t.encode("utf-8") for t in texts]
         if not self.spaced:
-            parts = [r.split() for r in raw]
-            self._need(set().union(*parts), self.plain)
-            get = self.plain.__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        first: list[bytes | None] = []
-        parts = []
-        plain: set[bytes] = set()
-        spaced: set[bytes] = set()
-        for r in raw:
-            if r[:1] in b" \t\n\r\x0b\x0c" or r[-1:] == b" " or any(d in r for d in _DOUBLE):
-                first.append(None)
-                parts.append(_RUNS.findall(r))
-                plain.update(parts[-1])
-            else:
-                p = r.split(b" ")
-                first.append(p[0])
-                plain.add(p[0])
-                parts.append(p[1:])
-                spaced.update(parts[-1])
-        self._need(plain, self.plain)
-        self._need(spaced, self.after_space, " ")
+            return [b"".join(map(plain, r.split())) for r in raw]
         out = []
-        for text, head, p in zip(texts, first, parts, strict=True):
-            known = list(map(self.plain.__getitem__, p)) if head is None else [self.plain[head], *map(self.after_space.__getitem__, p)]
+        for text, r in zip(texts, raw, strict=True):
             try:
-                out.append(b"".join(known))
+                if r[:1] in b" \t\n\r\x0b\x0c" or r[-1:] in b" \n" or any(d in r for d in _DOUBLE):
+                    out.append(b"".join(map(plain, _RUNS.findall(r))))
+                else:
+                    # A line feed goes with the word after it; a word of its own never begins with one here.
+                    pieces = (r.replace(b"\n", b" \n") if self.spaced_lines else r).split(b" ")
+                    out.append(b"".join([plain(pieces[0]), *map(spaced, pieces[1:])]))
             except TypeError:  # a piece that must not be cut out
                 out.append(self._whole(text))
         return out
 
-
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as it stands after a space."""
-        if len(self.after_space) > MEMORY:
-            self.after_space.clear()
-        if len(self.letters) > MEMORY:
-            self.letters.clear()
-        self._need(set(words), self.after_space, " ")
+        self._turn()
         return [ids if (ids := self.after_space[w]) is not None else self._whole(" " + w.decode("utf-8")) for w in words]
 
 
