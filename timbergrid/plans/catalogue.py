@@ -1,15 +1,402 @@
-"""The registered queries and the SQL that they are held against."""
+"""The registered queries and the SQL that they are held against; keys carry the operators' ids."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from timbergrid.functions import rules as R
+from timbergrid.operators import hydrology, network, raster, spatial, stands, stats, weather
+from timbergrid.plans import proxies
+from timbergrid.plans.config import Resistance, Sweep, perturbed
+from timbergrid.streaming.weather import daily_values
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+GRID = spatial.Grid(0.0, 640.0, 16.0, 40, 40)
+WIDTHS = (10.0, 20.0, 30.0)
+FEATURE_Z = 150.0
+BANDS = {0.5: "dtw_050", 1.0: "dtw_1", 2.0: "dtw_2", 4.0: "dtw_4", 10.0: "dtw_10"}
+K_TABLE = {1: 0.013, 2: 0.043, 3: 0.031}
+C_TABLE = {12: 0.15, 25: 0.0015, 33: 0.1}
+_found: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None, *tables: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _found[f.__name__] = f, None if sql is None else (proxies.ctes(*tables) + (", " + sql.lstrip()[5:] if sql.lstrip().startswith("with ") else sql) if tables else sql)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(
+    """select stand_row, coalesce(try_cast(soiltype as double) > 59, false) as is_peat,
+case when coalesce(try_cast(soiltype as double) > 59, false) then proportionspruce >= 0.5e0 else proportionpine + proportionspruce >= 0.5e0 end as rootrot_obligation,
+coalesce(try_cast(soiltype as double) >= 60 and fertilityclass <= 3 and drainagestate in (7, 8, 9) and proportionspruce >= 0.5e0, false) as ccf_prescribed,
+area as area_ha from stands""",
+    "stands",
+)
+def p01_p04_stand_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return stands.with_rules(proxies.frame(spark, sf, "stands")).select("stand_row", "is_peat", "rootrot_obligation", "ccf_prescribed", "area_ha")
+
+
+@query(
+    """with s as (select *, cast(soiltype as double) >= 60 as peat, drainagestate in (7, 8, 9) as dr, fertilityclass <= 3 and proportionspruce >= 0.5e0 as ok from stands),
+t as (select count(*) filter (peat and dr and ok) as n_ccf, sum(area) as all_ha, round_even(coalesce(sum(area) filter (peat), 0), 1) as peat_ha, round_even(coalesce(sum(area) filter (peat and dr), 0), 1) as drained_ha,
+round_even(coalesce(sum(area) filter (peat and dr and ok), 0), 1) as ccf_ha, round_even(coalesce(sum(area) filter (peat and dr and ok and fertilityclass <= 2), 0), 1) as ccf_strict_ha from s)
+select n_ccf, round_even(all_ha, 1) as total_ha, peat_ha, drained_ha, ccf_ha, ccf_strict_ha, round_even(100 * ccf_ha / nullif(drained_ha, 0), 2) as ccf_of_drained_pct, round_even(100 * ccf_ha / nullif(all_ha, 0), 2) as ccf_of_total_pct from t""",
+    "stands",
+)
+def a01_ccf_area_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return stands.ccf_area_summary(proxies.frame(spark, sf, "stands"))
+
+
+@query(
+    """with s as (select area, proportionspruce >= 0.5e0 as rot from stands where cast(soiltype as double) >= 60 and drainagestate in (7, 8, 9) and fertilityclass <= 3 and proportionspruce >= 0.5e0)
+select coalesce(sum(area), 0) as ccf_ha, coalesce(sum(area) filter (rot), 0) as conflict_ha, count(*) filter (rot) as n_conflict, round_even(coalesce(sum(area) filter (rot), 0) / nullif(coalesce(sum(area), 0), 0), 3) as conflict_share from s""",
+    "stands",
+)
+def a02_ccf_rootrot_conflict(spark: SparkSession, sf: str) -> DataFrame:
+    return stands.ccf_rootrot_conflict(proxies.frame(spark, sf, "stands"))
+
+
+@query("select round_even(sum(area), 1) as area_ha, round_even(sum(area) * 5.5e0, 0) as deadwood_m3, round_even(sum(area) * (5.5e0 * 0.3e0), 0) as standing_m3 from stands", "stands")
+def a03_deadwood(spark: SparkSession, sf: str) -> DataFrame:
+    return stands.deadwood(proxies.frame(spark, sf, "stands"))
+
+
+def _nearest(spark: SparkSession, sf: str) -> DataFrame:
+    left = spatial.points(proxies.frame(spark, sf, "stands"), "stand_row", "x", "y")
+    return spatial.nearest(left, spatial.points(proxies.frame(spark, sf, "habitats"), "hid", "hx", "hy"), 2000.0)
+
+
+NEAREST = """with n as (select stand_row, min(struct_pack(d2 := (x - hx) * (x - hx) + (y - hy) * (y - hy), hid := hid)) as b from stands, habitats group by stand_row)"""
+
+
+@query(NEAREST + " select stand_row, b.hid as habitat_id, cast(b.d2 as bigint) as d2 from n", "stands", "habitats")
+def j04_nearest_habitat(spark: SparkSession, sf: str) -> DataFrame:
+    return _nearest(spark, sf).select(F.col("id").alias("stand_row"), F.col("other").alias("habitat_id"), F.col("d2").cast("long").alias("d2"))
+
+
+@query(
+    NEAREST
+    + """, r as (select s.area, n.b.d2 as d2, h.habitattype as t from n join stands s using (stand_row) join habitats h on h.hid = n.b.hid),
+w as (select unnest([500e0, 1000e0, 2000e0]) as width)
+select width, count(*) filter (d2 <= width * width) as n_stands, coalesce(sum(area) filter (d2 <= width * width), 0) as area_ha, coalesce(sum(area) filter (d2 <= width * width and t = 1), 0) as type_1_ha,
+coalesce(sum(area) filter (d2 <= width * width and t = 3), 0) as type_3_ha from r, w group by width""",
+    "stands",
+    "habitats",
+)
+def a04_habitat_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    near = _nearest(spark, sf).select(F.col("id").alias("stand_row"), F.sqrt("d2").alias("nearest_m"), F.col("other").alias("hid"))
+    rows = proxies.frame(spark, sf, "stands").withColumn("area_ha", stands.area()).join(near, "stand_row", "left").join(proxies.frame(spark, sf, "habitats"), "hid", "left")
+    return stands.proximity_report(rows, (500.0, 1000.0, 2000.0), (1, 3))
+
+
+@query("select distinct stand_row as id from stands, habitats where (x - hx) * (x - hx) + (y - hy) * (y - hy) <= 1500 * 1500", "stands", "habitats")
+def j05_setback_violation(spark: SparkSession, sf: str) -> DataFrame:
+    left = spatial.points(proxies.frame(spark, sf, "stands"), "stand_row", "x", "y")
+    return spatial.too_close(left, spatial.points(proxies.frame(spark, sf, "habitats"), "hid", "hx", "hy"), 1500.0)
+
+
+@query(
+    NEAREST
+    + """, r as (select s.*, sqrt(n.b.d2) as m, cast(soiltype as double) > 59 as peat, cast(soiltype as double) >= 60 and fertilityclass <= 3 and drainagestate in (7, 8, 9) and proportionspruce >= 0.5e0 as ccf from n join stands s using (stand_row))
+select stand_row, round_even(area, 3) as area_ha, peat as is_peat, round_even(proportionspruce, 3) as spruce_share, case when peat then proportionspruce >= 0.5e0 else proportionpine + proportionspruce >= 0.5e0 end as rootrot_obligation,
+ccf as ccf_prescribed, round_even(m, 1) as nearest_habitat_m, m <= 2000 as within_habitat_setback, cast(x % 80 as double) as nearest_derived_stream_m, x % 80 <= 30 as within_stream_buffer,
+case when peat or ccf then 'needs frozen ground' else 'can be driven when the ground bears' end as harvest_timing from r""",
+    "stands",
+    "habitats",
+)
+def c01_site_plan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = proxies.frame(spark, sf, "stands")
+    habitat = _nearest(spark, sf).select(F.col("id").alias("stand_row"), F.sqrt("d2").alias("nearest_habitat_m"))
+    stream = rows.select("stand_row", (F.col("x") % 80).cast("double").alias("nearest_derived_stream_m"))
+    return stands.site_plan(rows, habitat, stream, 2000.0, 30.0)
+
+
+RAIN = "case when rrday < 0 then 0e0 else rrday end"
+API = f"""with a as (select station, date, {", ".join(f"sum({RAIN}) over (partition by station order by date rows between {w - 1} preceding and current row) as api_{w}" for w in (7, 14, 30))},
+greatest(coalesce(lag(case when snow < 0 then 0e0 else snow end) over (partition by station order by date) - case when snow < 0 then 0e0 else snow end, 0e0), 0e0) as melt from weather)"""
+WET = API + """, sc as (select *, round((api_7 * 3e0 + api_14 * 2e0 + api_30 * 1e0) / 6e0 + 2e0 * melt, 6) as score from a),
+wet as (select station, date, score, (rank() over (partition by station order by score) + (count(*) over (partition by station, score) - 1) / 2) / count(*) over (partition by station) as wetness from sc)"""
+
+
+@query(API + " select station, date, round(api_7, 6) as api_7, round(api_14, 6) as api_14, round(api_30, 6) as api_30, melt from a", "weather")
+def w01_w02_antecedent_and_melt(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(weather.snowmelt(weather.antecedent(proxies.frame(spark, sf, "weather"))).select("station", "date", "api_7", "api_14", "api_30", "melt"))
+
+
+@query(WET + " select station, date, round(wetness, 6) as wetness from wet", "weather")
+def w03_wetness_percentile(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(weather.wetness_percentile(proxies.frame(spark, sf, "weather")).select("station", "date", "wetness"))
+
+
+FROST = """with frost as (select station, date, bool_or(tmin < -10) over (partition by station order by date range between interval 20 days preceding and current row) as had_frost from weather)"""
+
+
+@query(FROST + " select station, date, had_frost from frost", "weather")
+def w04_frost_look_back(spark: SparkSession, sf: str) -> DataFrame:
+    return weather.frost_look_back(proxies.frame(spark, sf, "weather")).select("station", "date", "had_frost")
+
+
+@query(FROST + " select d.decl_id, coalesce(f.had_frost, false) as cold_spell_exempt from declarations d asof left join frost f on d.station = f.station and d.date >= f.date", "weather", "declarations")
+def j03_cold_spell_exemption(spark: SparkSession, sf: str) -> DataFrame:
+    return weather.cold_spell_exempt(proxies.frame(spark, sf, "declarations"), proxies.frame(spark, sf, "weather")).select("decl_id", "cold_spell_exempt")
+
+
+@query(
+    FROST
+    + """, r as (select d.*, coalesce(f.had_frost, false) as ex, case when cast(soiltype as double) > 59 then proportionspruce >= 0.5e0 else proportionpine + proportionspruce >= 0.5e0 end as trig, strftime(d.date, '%m-%d') between '05-01' and '11-30' as per
+from declarations d asof left join frost f on d.station = f.station and d.date >= f.date)
+select decl_id, trig as species_soil_trigger, per as in_mandatory_period, ex as cold_spell_exempt, trig and per and not ex as treatment_required from r""",
+    "weather",
+    "declarations",
+)
+def c02_obligation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stands.obligation(proxies.frame(spark, sf, "declarations"), proxies.frame(spark, sf, "weather"))
+    return rows.select("decl_id", "species_soil_trigger", "in_mandatory_period", "cold_spell_exempt", "treatment_required")
+
+
+RUNS = """with f as (select *, {flag} as flag from weather), i as (select *, row_number() over (partition by station{extra} order by date) - row_number() over (partition by station{extra}, flag order by date) as g from f),
+r as (select *, case when flag then count(*) over (partition by station{extra}, flag, g) end as n from i)"""
+FROZEN = RUNS.format(flag="tmin <= -2", extra="")
+
+
+@query(FROZEN + " select station, date, coalesce(n >= 3, false) as frozen from r", "weather")
+def w06_frozen_ground(spark: SparkSession, sf: str) -> DataFrame:
+    return weather.frozen_ground(proxies.frame(spark, sf, "weather")).select("station", "date", "frozen")
+
+
+@query(FROZEN + " select station, min(date) as start, max(date) as end, count(*) as days from r where flag and n >= 3 group by station, g", "weather")
+def w07_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return weather.runs_at_least(proxies.frame(spark, sf, "weather"), F.col("tmin") <= -2, 3)
+
+
+@query(
+    RUNS.format(flag="tday >= 5", extra=", year(date)")
+    + """, s as (select station, year(date) as y, min(date) as a, max(date) as b from r where flag and n >= 5 group by station, year(date), g)
+select w.station, cast(w.y as int) as year, min(a) as season_start, max(b) as season_end from (select distinct station, year(date) as y from weather) w left join s on s.station = w.station and s.y = w.y group by 1, 2""",
+    "weather",
+)
+def w08_spore_season(spark: SparkSession, sf: str) -> DataFrame:
+    return weather.spore_season(proxies.frame(spark, sf, "weather"))
+
+
+WINTERS = FROZEN + """, v as (select station, cast(year(date) - case when month(date) < 7 then 1 else 0 end as int) as winter, count(*) filter (coalesce(n >= 3, false) and not strftime(date, '%m-%d') between '05-01' and '11-30') as days,
+count(*) filter (coalesce(n >= 3, false)) as frozen_days, count(*) as n_rows from r group by 1, 2 having count(*) >= 100)"""
+
+
+@query(WINTERS + " select * from v", "weather")
+def a11_conflict_free_winters(spark: SparkSession, sf: str) -> DataFrame:
+    return weather.conflict_free_days(proxies.frame(spark, sf, "weather"), least_rows=100)
+
+
+@query(WINTERS + " select station, cast(floor(winter / 10) * 10 as int) as decade, round(avg(days), 6) as mean_days, count(*) as winters from v group by 1, 2", "weather")
+def a11_conflict_free_decades(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(weather.conflict_free_decades(proxies.frame(spark, sf, "weather"), least_rows=100))
+
+
+@query()
+def w09_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(weather.trend(weather.conflict_free_days(proxies.frame(spark, sf, "weather"), least_rows=100), "winter", "days"))
+
+
+WORK = WET.replace("with a as", "a as", 1) + """, j as (select d.*, w.wetness, coalesce(z.n >= 3, false) as frozen from declarations d left join wet w on w.station = d.station and w.date = d.date left join r z on z.station = d.station and z.date = d.date),
+th as (select *, case when wetness >= 1 then 0.5e0 when wetness >= 0.75e0 then exp(ln(1e0) + (wetness - 0.75e0) * (ln(0.5e0) - ln(1e0)) / 0.25e0) when wetness >= 0.5e0 then exp(ln(2e0) + (wetness - 0.5e0) * (ln(1e0) - ln(2e0)) / 0.25e0)
+when wetness >= 0.25e0 then exp(ln(4e0) + (wetness - 0.25e0) * (ln(2e0) - ln(4e0)) / 0.25e0) when wetness >= 0 then exp(ln(10e0) + wetness * (ln(4e0) - ln(10e0)) / 0.25e0) end as t from j),
+bl as (select *, case when t <= 0.5e0 then dtw_050 when t <= 1 then dtw_050 + (ln(t) - ln(0.5e0)) / (ln(1e0) - ln(0.5e0)) * (dtw_1 - dtw_050) when t <= 2 then dtw_1 + (ln(t) - ln(1e0)) / (ln(2e0) - ln(1e0)) * (dtw_2 - dtw_1)
+when t <= 4 then dtw_2 + (ln(t) - ln(2e0)) / (ln(4e0) - ln(2e0)) * (dtw_4 - dtw_2) when t <= 10 then dtw_4 + (ln(t) - ln(4e0)) / (ln(10e0) - ln(4e0)) * (dtw_10 - dtw_4) else dtw_10 end as m from th)
+"""
+
+
+@query(
+    FROZEN + ", " + WORK + "select decl_id, round(wetness, 6) as wetness, round(t, 6) as threshold, round(case when t is not null then m end, 6) as dtw_m, frozen, round(case when t is not null then m end * case when cast(soiltype as double) > 59 then 0.5e0 else 1e0 end, 6) as adjusted_dtw_m from bl",
+    "weather",
+    "declarations",
+)
+def c03_declaration_workability(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stands.workability(proxies.frame(spark, sf, "declarations"), proxies.frame(spark, sf, "weather"), BANDS)
+    return rounded(rows.select("decl_id", "wetness", "threshold", "dtw_m", "frozen", "adjusted_dtw_m"))
+
+
+@query()
+def c04_a10_concordance(spark: SparkSession, sf: str) -> DataFrame:
+    d, w = proxies.frame(spark, sf, "declarations"), proxies.frame(spark, sf, "weather")
+    return stands.concordance(stands.workability(d, w, BANDS), stands.workability(stands.control_dates(d), w, BANDS))
+
+
+@query("select date, round(avg(rrday), 6) as rrday, round(avg(snow), 6) as snow from weather group by date", "weather")
+def s20_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    w = proxies.frame(spark, sf, "weather").withColumns({c: F.col(c).cast("string") for c in ("rrday", "snow")})
+    return rounded(weather.wide(w.unpivot(["date"], ["rrday", "snow"], "param", "value"), ["rrday", "snow"], ()))
+
+
+NEAR = """with s as (select row as fr, col as fc, row % 2 as side from grid where z > 150), c as (select * from (select unnest(range(0, 40)) as row) r, (select unnest(range(0, 40)) as col) k),
+d as (select row, col, min((row - fr) * (row - fr) + (col - fc) * (col - fc)) filter (side = 0) as a, min((row - fr) * (row - fr) + (col - fc) * (col - fc)) filter (side = 1) as b from c left join s on true group by row, col)"""
+
+
+def _features(spark: SparkSession, sf: str, side: int) -> DataFrame:
+    return proxies.frame(spark, sf, "grid").where((F.col("z") > FEATURE_Z) & (F.col("row") % 2 == side)).select("row", "col")
+
+
+@query(
+    NEAR
+    + """, w as (select unnest([10e0, 20e0, 30e0]) as width), e as (select *, coalesce(a * 256 <= width * width, false) as na, coalesce(b * 256 <= width * width, false) as nb from d, w)
+select width, round_even(count(*) filter (na) * 0.0256e0, 1) as derived_ha, round_even(count(*) filter (nb) * 0.0256e0, 1) as mapped_ha, round_even(count(*) filter (na and not nb) * 0.0256e0, 1) as additional_ha from e group by width
+having count(*) filter (na or nb) > 0""",
+    "grid",
+)
+def a05_buffer_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return raster.buffer_report(_features(spark, sf, 0), _features(spark, sf, 1), GRID, WIDTHS)
+
+
+@query(NEAR + " select cast(row as int) as row, cast(col as int) as col, cast(a as bigint) as d2 from d where a is not null", "grid")
+def r05_distance_transform(spark: SparkSession, sf: str) -> DataFrame:
+    return raster.distance_everywhere(_features(spark, sf, 0), GRID)
+
+
+SLOPE = """with g as (select row, col, z, lag(z) over x as l, lead(z) over x as r, lag(z) over y as u, lead(z) over y as d from grid window x as (partition by row order by col), y as (partition by col order by row)),
+sl as (select row, col, degrees(atan(sqrt(power(case when l is null and r is null then 0 when l is null then (r - z) / 16e0 when r is null then (z - l) / 16e0 else (r - l) / 32e0 end, 2) + power(case when u is null and d is null then 0 when u is null then (d - z) / 16e0 when d is null then (z - u) / 16e0 else (d - u) / 32e0 end, 2)))) as slope_deg from g)"""
+
+
+@query(SLOPE + " select row, col, round(slope_deg, 6) as slope_deg from sl", "grid")
+def r07_slope(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(raster.slope_degrees(proxies.frame(spark, sf, "grid"), GRID.res))
+
+
+def _loss(spark: SparkSession, sf: str) -> DataFrame:
+    g = proxies.frame(spark, sf, "grid")
+    return raster.soil_loss(g.join(raster.slope_degrees(g, GRID.res), ["row", "col"]), GRID.res, K_TABLE, C_TABLE, 300.0)
+
+
+LOSS = SLOPE + """, lo as (select row, col, power(least(accum_cells * 16, 100) / 22.13e0, 0.4e0) * power(sin(radians(slope_deg)) / 0.0896e0, 1.3e0) as ls,
+case soil when 1 then 0.013e0 when 2 then 0.043e0 when 3 then 0.031e0 else 0.025e0 end as k, case clc when 12 then 0.15e0 when 25 then 0.0015e0 when 33 then 0.1e0 else 0.01e0 end as c from grid join sl using (row, col))"""
+
+
+@query(LOSS + " select row, col, round(ls, 6) as ls, k, c, round(300e0 * (k * ls * c), 6) as a from lo", "grid")
+def p12_p15_soil_loss(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_loss(spark, sf).select("row", "col", "ls", "k", "c", "a"))
+
+
+@query()
+def a06_erosion_in_buffers(spark: SparkSession, sf: str) -> DataFrame:
+    return raster.erosion_in_buffers(_loss(spark, sf), _features(spark, sf, 0), GRID, WIDTHS)
+
+
+@query("select cast(floor(row / 4) as int) as row, cast(floor(col / 4) as int) as col, round(avg(z), 6) as z from grid group by 1, 2", "grid")
+def a15_resample(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(raster.resample(proxies.frame(spark, sf, "grid"), 16.0, 64.0, "z"))
+
+
+@query(
+    "select cast(floor(row / 3) as int) as row, cast(floor(col / 3) as int) as col, round(case when avg(z) > 500 then 1000e0 else greatest(avg(z), 0.001e0) end, 6) as cost from grid where row < 39 and col < 39 group by 1, 2",
+    "grid",
+)
+def a14_coarsened_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(raster.coarsened(proxies.frame(spark, sf, "grid").withColumnRenamed("z", "cost"), 3, 40, 40))
+
+
+@query(
+    """with rk as (select dtw as a, z as b, rank() over (order by dtw) + (count(*) over (partition by dtw) - 1) / 2 as ra, rank() over (order by z) + (count(*) over (partition by z) - 1) / 2 as rb from grid)
+select count(*) as n, round(corr(a, b), 6) as pearson, round(corr(ra, rb), 6) as spearman, round(avg(a - b), 6) as bias, round(sqrt(avg((a - b) * (a - b))), 6) as rmse, round(median(a), 6) as median_ours, round(median(b), 6) as median_reference from rk""",
+    "grid",
+)
+def a08_w05_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.compared(proxies.frame(spark, sf, "grid"), "dtw", "z"))
+
+
+@query()
+def a07_erosion_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.erosion_benchmark(_loss(spark, sf).withColumns({"covered": F.col("klass") > 1, "mk": F.col("a") + F.col("z") / 64}), "mk", ["a", "ls", "k", "c"])
+
+
+@query(
+    """with v as (select klass, dtw from grid where klass between 1 and 6 and dtw > 0)
+select cast(klass as varchar) as klass, count(*) as n, round_even(median(dtw), 3) as median_dtw, round_even(avg(cast(dtw > 1 as int)), 3) as workable_share from v group by klass
+union all select '1-3', count(*), round_even(median(dtw), 3), round_even(avg(cast(dtw > 1 as int)), 3) from v where klass <= 3 having count(*) > 0""",
+    "grid",
+)
+def a09_class_table(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.class_table(proxies.frame(spark, sf, "grid"))
+
+
+@query(
+    """with b as (select i, j, cost from edges union all select j, i, cost from edges), k as (select *, row_number() over (partition by i order by cost, j) as n from b)
+select distinct 0 as run, least(i, j) as i, greatest(i, j) as j, cost from k where n <= 3""",
+    "edges",
+)
+def w11_backbone(spark: SparkSession, sf: str) -> DataFrame:
+    return network.backbone(proxies.frame(spark, sf, "edges"))
+
+
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select("run", F.explode(F.array("i", "j")).alias("patch_id")).distinct().withColumns({"area_ha": (F.col("patch_id") * 17 % 97 + 3) / 8, "dispersal": F.lit(400.0)})
+
+
+@query()
+def g02_max_product(spark: SparkSession, sf: str) -> DataFrame:
+    edges = proxies.frame(spark, sf, "edges")
+    return rounded(network.max_product(edges, _nodes(edges)))
+
+
+@query()
+def a13_connectivity(spark: SparkSession, sf: str) -> DataFrame:
+    edges = proxies.frame(spark, sf, "edges")
+    return rounded(network.connectivity(network.max_product(edges, _nodes(edges)), _nodes(edges)))
+
+
+def _patches(spark: SparkSession, sf: str) -> DataFrame:
+    cells = proxies.frame(spark, sf, "grid").where((F.col("z") > 80) & (F.col("row") % 10 < 5) & (F.col("col") % 10 < 5))
+    return network.patches(cells.select("row", "col"), 1.0, GRID.cell_ha, 2 * GRID.cell_ha)
+
+
+@query()
+def r10_r11_patches(spark: SparkSession, sf: str) -> DataFrame:
+    return _patches(spark, sf)
+
+
+@query()
+def g01_g04_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    g = proxies.frame(spark, sf, "grid")
+    cells = g.select("row", "col", "clc", (c("z") % 161).alias("meanage"), (c("z") % 40).alias("basalarea"), (c("z") % 101 / 100).alias("spruce"))
+    labels = g.select("row", "col", (F.floor(c("row") / 4) * 10 + F.floor(c("col") / 4)).cast("long").alias("label"))
+    settings = perturbed(Resistance(), Sweep(n_runs=3))
+    return rounded(network.sweep(cells, _patches(spark, sf), labels, settings)["robust"])
+
+
+@query()
+def r12_r14_depth_to_water(spark: SparkSession, sf: str) -> DataFrame:
+    dem = proxies.frame(spark, sf, "grid").select("row", "col", (F.col("z") + 7 * F.col("row")).alias("z"))
+    return rounded(hydrology.depth_to_water(dem, [0.5, 1.0], GRID.res))
+
+
+@query(
+    """with w as (select user_id as station, cast(ts as date) as date, value from events)
+select station, date, count(value) as n, round(avg(value), 6) as mean_value, min(value) as least, max(value) as most from w group by 1, 2"""
+)
+def t01_daily_values(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(daily_values(spark.read.parquet(f"{sf}/events.parquet").withColumnRenamed("user_id", "station")), 6)
+
+
+@query("select row, col, clc, round(case when clc in (42, 46, 47, 48, 49) then 1000e0 else 1e0 + 99e0 * t end, 6) as cost from (select row, col, clc, case when clc in (1, 2) then 1e0 when clc = 17 then 0.8e0 when clc in (23, 24, 25) then 0.1e0 when clc in (37, 40) then 0.4e0 else 0.575e0 end as t from grid) q", "grid")
+def p16_p18_land_cover_resistance(spark: SparkSession, sf: str) -> DataFrame:
+    cover = R.land_cover_term(F.col("clc"))
+    return rounded(proxies.frame(spark, sf, "grid").select("row", "col", "clc", R.resistance([(1.0, cover)], F.col("clc")).alias("cost")))
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _found.items() if sql is not None}
