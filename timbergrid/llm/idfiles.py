@@ -154,7 +154,10 @@ NO_ID = -(1 << 63)
 
 
 def token_chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Sorted documents as chunks of ids: part, before (tokens of the part before the chunk), doc_ids, counts, ids."""
+    """Sorted documents as chunks of ids: part, before (tokens of the part before the chunk), doc_ids, counts, ids.
+
+    After its chunks a part has one row with ``total`` alone: its counts by id, 64-bit integers, deflated.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part = encoder(path), TaskContext.get().partitionId()
@@ -165,9 +168,12 @@ def token_chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         counts: list[int] = []
         raw: list[bytes] = []
 
+        total = np.zeros(max(enc.vocabulary, end_id + 1), dtype="<i8")
+
         def chunk() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(raw), dtype="<u4").astype(kind)
-            return pd.DataFrame({"part": [part], "before": [before], "n": [len(ids)], "width": [kind.itemsize], "doc_ids": [doc_ids], "counts": [counts], "ids": [ids.tobytes()]})
+            np.add(total, np.bincount(ids, minlength=len(total)), out=total)
+            return pd.DataFrame({"part": [part], "before": [before], "n": [len(ids)], "width": [kind.itemsize], "doc_ids": [doc_ids], "counts": [counts], "ids": [ids.tobytes()], "total": [None]})
 
         for batch in batches:
             known = batch["doc_id"].astype("Int64").fillna(NO_ID).tolist()
@@ -181,11 +187,13 @@ def token_chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     before, held, doc_ids, counts, raw = before + held, 0, [], [], []
         if raw:
             yield chunk()
+        if total.any():
+            yield pd.DataFrame({"part": [part], "before": [0], "n": [0], "width": [kind.itemsize], "doc_ids": [None], "counts": [None], "ids": [None], "total": [zlib.compress(total.tobytes(), 1)]})
 
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
-    return ordered.mapInPandas(run, "part int, before long, n long, width int, doc_ids array<long>, counts array<long>, ids binary")
+    return ordered.mapInPandas(run, "part int, before long, n long, width int, doc_ids array<long>, counts array<long>, ids binary, total binary")
 
 
 def write_files(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -198,15 +206,14 @@ def write_files(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids, width in zip(batch["ids"], batch["width"], strict=True):
-                found = np.bincount(np.frombuffer(ids, dtype=f"<u{width}"))
-                total = np.pad(total, (0, max(0, len(found) - len(total))))
-                total[: len(found)] += found
+            for told in batch["total"]:
+                found = np.frombuffer(zlib.decompress(told), dtype="<i8")
+                total = found + (total if len(total) else 0)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
     # As many rows as the vocabulary has ids, and as the sorted documents have partitions: bounded whatever the input.
-    by_id = chunks.select("ids", "width").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    by_id = chunks.where("total is not null").select("total").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     by_part = chunks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toPandas()
     counts = np.zeros(int(by_id["id"].max()) + 1 if len(by_id) else 1, dtype=np.int64)
     counts[by_id["id"].to_numpy(dtype=np.int64)] = by_id["n"].to_numpy(dtype=np.int64)
@@ -221,7 +228,7 @@ def write_files(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 yield pd.DataFrame({"start": [start], "image": [image(np.frombuffer(ids, dtype=f"<u{width}"), np.asarray(doc_ids), np.asarray(n), start, lengths, codes)]})
 
     prepare(spark, 8)
-    return scratch.materialize(chunks.select("part", "before", "width", "doc_ids", "counts", "ids").mapInPandas(encode, "start long, image binary"), "idfiles")
+    return scratch.materialize(chunks.where("ids is not null").select("part", "before", "width", "doc_ids", "counts", "ids").mapInPandas(encode, "start long, image binary"), "idfiles")
 
 
 def read_files(files: DataFrame) -> DataFrame:
