@@ -36,7 +36,8 @@ from .workers import prepare
 
 WINDOW, RUN = 35, 8
 CROWD, SHARD_WORDS = 5_000, 400_000
-BROADCAST_ROWS = 200_000
+#: Stretches that are broadcast, of some 60 bytes each, in at most so many documents' rows.
+BROADCAST_STRETCHES = 1_500_000
 _B = 0x9E3779B97F4A7C15
 
 
@@ -125,8 +126,10 @@ def find_stretches(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInPandas(run, "id string, h long, n int, start int, windows int, minimizer long, whole long")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _bounded(by_doc: DataFrame) -> DataFrame:
+    """To be broadcast while all its stretches together are within the bound; joined by shuffle beyond."""
+    total = by_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    return F.broadcast(by_doc) if total <= BROADCAST_STRETCHES else by_doc
 
 
 def _contents(docs: DataFrame, named: DataFrame) -> DataFrame:
