@@ -149,6 +149,15 @@ def test_language_model(table, docs):
     assert lm.report(table.limit(0)).count() == 0
 
 
+def test_model_learns_from_every_learning_document(spark):
+    text = "spruce snow road ditch water " * 30
+    frame = spark.range(200).withColumn("text", F.lit(text))
+    # None of these ids is in a sample by xxhash64(id) mod 32.
+    frame = frame.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(32)) != 0).withColumnRenamed("id", "doc_id")
+    got = lm.report(frame).collect()
+    assert any(r.held_out for r in got) and all(r.score > r.base_score / 2 for r in got)
+
+
 def test_model_gradients():
     rng = np.random.default_rng(0)
     p = attention.initial(12, 2, np.log(np.full(2, 0.5)), np.log(np.full((2, attention.GROUP), 1 / attention.GROUP)))

@@ -6,12 +6,12 @@ Documents whose crc32(doc_id as text) mod 10 is not 0 are learned from; all are
 2. Word counts come from all learning documents: each chunk gives its distinct words' hashes with counts, a window over
    each hash adds them up, and each chunk gets back the counts of its own words that differ from what it counted itself.
    Nothing of the vocabulary's size is broadcast.
-3. One learning document in ``STRIDE`` trains the attention model. These are dealt to trainers of about
-   ``TRAINER_BYTES`` each, as many as the input asks for; trainers run Adam from common weights and the weights are
-   averaged, in a tree, for ``ROUNDS`` rounds. The symbols are the sample's commonest subword ids, an escape for others
-   that begin a word and one for others that don't, and the end.
+3. All learning documents train the attention model. Their subword ids are stored once by chunk; each task that reads
+   them is a trainer, so there are as many as the input asks for. A trainer runs Adam through its chunks, from common
+   weights, and the weights are averaged, in a tree, for ``ROUNDS`` rounds. The symbols are the learning documents'
+   commonest subword ids, an escape for others that begin a word and one for others that don't, and the end.
 4. A chunk is scored in overlapping context windows, each subword once, by batched masked attention, smoothed with the
-   sample's bigrams. From a word's subwords comes its probability, including that a word ends there; the model's
+   learning documents' bigrams. From a word's subwords comes its probability, including that a word ends there; the model's
    probability of a token mixes it with the token's share of the learning tokens.
 
 Words are told by 64-bit hashes. Defined results: null texts are empty and have the end alone; null doc_ids count as
@@ -36,7 +36,7 @@ from . import scratch
 from .tokenize import encoder, tokenizer_path
 from .workers import prepare
 
-CHUNK_BYTES, TRAINER_BYTES, STRIDE, ROUNDS, RATE = 8 << 20, 4 << 20, 32, 2, 0.01
+CHUNK_BYTES, ROUNDS, RATE = 8 << 20, 2, 0.01
 SYMBOLS, BATCH, STEP_WINDOWS, BIGRAM_PRIOR = 1024, 256, 64, 16.0
 #: Shares of the bigrams in a subword's probability and of the word counts in a token's.
 BIGRAM_SHARE, WORD_SHARE = 0.4, 0.25
@@ -174,14 +174,14 @@ class Stream:
         take = np.repeat(begin[self.word] if len(flat) else begin, per_word) + np.arange(per_word.sum()) - np.repeat(np.cumsum(per_word) - per_word, per_word)
         self.ids[inside] = ids[take]
 
-    def symbols(self, table: Symbols) -> tuple[np.ndarray, np.ndarray]:
-        """Targets, and what stands before each (the end stands before a document)."""
-        target = np.where(self.ids < 0, table.end, table.of[self.ids]).astype(np.int64)
-        before = np.empty_like(target)
-        before[1:] = target[:-1]
-        before[self.end_at[:-1] + 1] = table.end
-        before[:1] = table.end
-        return target, before
+
+def symbols(ids: np.ndarray, table: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """Targets, and what stands before each (the end stands before a document)."""
+    target = np.where(ids < 0, table.end, table.of[ids]).astype(np.int64)
+    before = np.empty_like(target)
+    before[1:] = target[:-1]
+    before[:1] = table.end
+    return target, before
 
 
 def _begins(path: str) -> np.ndarray:
@@ -190,15 +190,44 @@ def _begins(path: str) -> np.ndarray:
     return np.array([(enc.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(enc.vocabulary)])
 
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """Learning documents that train, dealt to trainers."""
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    crc = F.crc32(F.encode(own, "UTF-8"))
-    rows = docs.select(own.alias("id"), F.coalesce("text", F.lit("")).alias("text"), crc.alias("crc")).where("crc % 10 <> 0").where(F.pmod(F.xxhash64("id"), F.lit(STRIDE)) == 0).select("id", "text")
-    rows = scratch.materialize(rows, "lm-sample")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    trainers = max(1, math.ceil(size / TRAINER_BYTES))
-    return scratch.materialize(rows.withColumn("trainer", F.pmod(F.xxhash64("text", "id"), F.lit(trainers)).cast("int")).repartition("trainer").sortWithinPartitions("trainer", "id", "text"), "lm-trainers")
+def learning_ids(packed: DataFrame, path: str) -> DataFrame:
+    """ids: the subword ids of each chunk's learning documents, -1 at every document's end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        for batch in batches:
+            for held, texts in zip(batch["held"], batch["texts"], strict=True):
+                ids = Stream([t for t, h in zip(_unpack(texts, len(held)), held, strict=True) if not h], path).ids
+                if len(ids):
+                    yield pd.DataFrame({"ids": [zstandard.ZstdCompressor(level=1).compress(ids.astype("<i4").tobytes())]})
+
+    return scratch.materialize(packed.select("held", "texts").mapInPandas(run, "ids binary"), "lm-ids")
+
+
+def _each(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """The ids of one chunk after another."""
+    import zstandard
+
+    for batch in batches:
+        for ids in batch["ids"]:
+            yield np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), dtype="<i4").astype(np.int64)
+
+
+def _counted(learned: DataFrame, size: int, places: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each of ``size`` places occurs in all chunks; a task gives each place at most once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(size, dtype=np.int64)
+        for ids in _each(batches):
+            n += np.bincount(places(ids), minlength=size)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"at": at, "n": n[at]})
+
+    rows = learned.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(size, dtype=np.int64)
+    counts[rows["at"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return counts
 
 
 def _pack_weights(p: dict[str, np.ndarray]) -> bytes:
@@ -241,7 +270,7 @@ class Model:
     def score(self, stream: Stream) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each subword, and that a word (or the end) begins at it, each position once."""
         t = self.table
-        target, before = stream.symbols(t)
+        target, before = symbols(stream.ids, t)
         told, begins = np.empty(len(target), np.float32), np.empty(len(target), np.float32)
         at, _, scored = A.windows(stream.counts)
         for i in range(0, len(at), BATCH):
@@ -256,57 +285,43 @@ class Model:
         return told, begins
 
 
-def _fitting(table: Symbols, start: dict[str, np.ndarray], path: str, number: int) -> Callable:
+def _fitting(table: Symbols, start: dict[str, np.ndarray], number: int) -> Callable:
     """One trainer's round ``number``, from the common weights ``start``."""
 
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        stream = Stream(group["text"].tolist(), path)
-        target, before = stream.symbols(table)
-        at, _, scored = A.windows(stream.counts)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = {k: v.copy() for k, v in start.items()}
-        adam = A.Adam(p, RATE / (1 + number))
-        order = np.random.default_rng(number).permutation(len(at))
-        for i in range(0, len(at), STEP_WINDOWS):
-            w = order[i : i + STEP_WINDOWS]
-            y = target[at[w]]
-            adam.step(A.gradients(p, before[at[w]], table.group[y], table.inner[y], scored[w])[1])
-        return pd.DataFrame({"trainer": [key[0]], "n": [len(target)], "weights": [_pack_weights(p)]})
+        adam, rng, n = A.Adam(p, RATE / (1 + number)), np.random.default_rng(number), 0
+        for ids in _each(batches):
+            target, before = symbols(ids, table)
+            at, _, scored = A.windows(np.diff(np.flatnonzero(ids < 0), prepend=-1))
+            order = rng.permutation(len(at))
+            for i in range(0, len(at), STEP_WINDOWS):
+                w = order[i : i + STEP_WINDOWS]
+                y = target[at[w]]
+                adam.step(A.gradients(p, before[at[w]], table.group[y], table.inner[y], scored[w])[1])
+            n += len(target)
+        if n:
+            yield pd.DataFrame({"trainer": [TaskContext.get().partitionId()], "n": [n], "weights": [_pack_weights(p)]})
 
     return fit
 
 
-def train(docs: DataFrame, path: str) -> Model:
+def train(packed: DataFrame, path: str) -> Model:
     """Fit the model; what the driver holds is of the size of the vocabulary or the model."""
-    sample = _sample(docs)
-    groups = sample.groupBy("trainer")
+    learned = learning_ids(packed, path)
     begins = _begins(path)
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        ids = Stream(group["text"].tolist(), path).ids
-        n = np.bincount(ids[ids >= 0], minlength=1)
-        at = np.flatnonzero(n)
-        return pd.DataFrame({"id": at, "n": n[at]})
-
-    by_id = groups.applyInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(begins), dtype=np.int64)
-    counts[by_id["id"].to_numpy(dtype=np.int64)] = by_id["n"].to_numpy(dtype=np.int64)
-    table = Symbols(counts, begins)
+    table = Symbols(_counted(learned, len(begins), lambda ids: ids[ids >= 0]), begins)
     weights = A.initial(table.n, table.groups, table.log_group, table.log_inner)
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        target, before = Stream(group["text"].tolist(), path).symbols(table)
-        n = np.bincount(before * table.n + target)
-        at = np.flatnonzero(n)
-        return pd.DataFrame({"pair": at, "n": n[at]})
+    def pairs(ids: np.ndarray) -> np.ndarray:
+        target, before = symbols(ids, table)
+        return before * table.n + target
 
     # At most SYMBOLS squared rows.
-    by_pair = groups.applyInPandas(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    bigram = np.zeros(table.n * table.n)
-    bigram[by_pair["pair"].to_numpy(dtype=np.int64)] = by_pair["n"].to_numpy(dtype=np.int64)
-    bigram = bigram.reshape(table.n, table.n)
+    bigram = _counted(learned, table.n * table.n, pairs).astype(np.float64).reshape(table.n, table.n)
     bigram = (bigram + BIGRAM_PRIOR * table.unigram) / (bigram.sum(axis=1, keepdims=True) + BIGRAM_PRIOR)
     for number in range(ROUNDS):
-        fitted = groups.applyInPandas(_fitting(table, weights, path, number), "trainer int, n long, weights binary")
+        fitted = learned.mapInPandas(_fitting(table, weights, number), "trainer int, n long, weights binary")
         weights = _averaged(fitted, weights)
     return Model(table, weights, bigram)
 
@@ -318,7 +333,8 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     path = tokenizer_path(tokenizer)
     packed = chunks(docs)
     counts = word_counts(packed)
-    model = train(docs, path)
+    prepare(docs.sparkSession, 2)
+    model = train(packed, path)
     totals = counts.agg(F.sum("tokens"), F.sum("distinct")).first()
     n_train, n_distinct = int(totals[0] or 0), int(totals[1] or 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, by SYMBOLS
