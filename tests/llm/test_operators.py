@@ -251,6 +251,16 @@ def test_repeated_rows_keep_their_rows(spark):
         assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "1", "2", "None"]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_are_matched_as_spelt(name):
+    from tokenizers import Tokenizer
+
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "A <|StartOfText|>B", "The END<|endoftext|>The", "THE <|ENDOFTEXT|> <|endoftext|> x", "<|STARTOFTEXT|>\nÉ"]
+    tk, enc = Tokenizer.from_file(tokenize.tokenizer_path(name)), tokenize.Encoder(tokenize.tokenizer_path(name))
+    for t, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_the_library_ids(name):
     from tokenizers import Tokenizer

@@ -140,8 +140,8 @@ class Encoder:
         raw = [t.encode("utf-8") for t in texts]
         if not self.spaced:
             # ASCII is lower-cased first, so that a sentence's first word is no new piece; not where a combining mark may
-            # follow, as some compose with the small letter alone.
-            return [b"".join(map(plain, (r if not self.lower or b"\xcc" in r or b"\xcd" in r else r.lower()).split())) for r in raw]
+            # follow, as some compose with the small letter alone, or a special token, which is matched as it is spelt.
+            return [b"".join(map(plain, (r if not self.lower or b"<|" in r or b"\xcc" in r or b"\xcd" in r else r.lower()).split())) for r in raw]
         out = []
         for text, r in zip(texts, raw, strict=True):
             try:
