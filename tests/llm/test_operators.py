@@ -63,6 +63,23 @@ def test_crowded_passage_takes_the_other_way(table, docs, monkeypatch):
     assert rows(substring.report(table), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring(docs), key=str)
 
 
+def test_crowded_windows_are_indexed_once(spark, monkeypatch):
+    seen = {}
+    keep = substring.scratch.materialize
+    monkeypatch.setattr(substring.scratch, "materialize", lambda df, name: seen.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(substring, "CROWD", 3)
+    rng = random.Random(5)
+    say = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    passage = say(50)
+    docs = [(i, f"{say(40)} {passage} {say(40)}") for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(substring.report(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring(docs), key=str)
+    searched = seen.get("stretches-to-index", seen["stretch-words"]).where(F.octet_length("words") == 4 * substring.WINDOW)
+    # The passage's 16 windows, and those of one word or more around it, which no other document has.
+    inside = searched.groupBy("words").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("weight")).where("weight = 30")
+    assert inside.count() == 16 and inside.where("rows > 1").count() == 0
+
+
 def test_backward_search_counts():
     rng = np.random.default_rng(3)
     text = rng.integers(0, 4, 300)

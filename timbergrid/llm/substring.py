@@ -9,7 +9,8 @@ one shard and every other shard can be left alone.
 2. Minimizers that occur once can't repeat and go. Of the others, equal stretches are one row with a weight; one
    document is named for each to supply the words.
 3. Those words go to shards by minimizer. A minimizer that occurs more than ``CROWD`` times is dealt window by window,
-   by the hash of the window's words, so that a passage of the whole corpus still spreads over all shards.
+   by the hash of the window's words, and equal windows are one row with the sum of their weights. So a passage of the
+   whole corpus spreads over all shards, and each of its windows is indexed once, whatever stands around it.
 4. In a shard a compressed, weighted FM-index is built, and its stretches are streamed through it: backward search
    over the wavelet matrix gives matching statistics, and intervals of ``WINDOW`` words or more whose weight is at
    least two are reported as a mask of window starts.
@@ -133,7 +134,10 @@ def _bounded(by_doc: DataFrame) -> DataFrame:
 
 
 def _contents(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The words of each named stretch: minimizer, whole, weight, offset (of the first window), crowded, words, window hash."""
+    """The words of each named stretch: minimizer, whole, weight, offset (of the first window), crowded, words, window hash.
+
+    Repeated rows of a named document give its stretches more than once; their weights are two or more already.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,23 +150,31 @@ def _contents(docs: DataFrame, named: DataFrame) -> DataFrame:
                     if s["crowded"]:
                         place = np.arange(at, at + n)
                         hashes = _signed(spans(place, place + WINDOW)).tolist()
-                        rows += [(s["minimizer"], s["whole"], s["weight"], o, words[at + o : at + o + WINDOW].tobytes(), hashes[o]) for o in range(n)]
+                        rows += [(s["minimizer"], s["whole"], s["weight"], o, words[at + o : at + o + WINDOW].tobytes(), hashes[o], True) for o in range(n)]
                     else:
-                        rows.append((s["minimizer"], s["whole"], s["weight"], 0, words[at : at + n + WINDOW - 1].tobytes(), s["minimizer"]))
-            yield pd.DataFrame(rows, columns=["minimizer", "whole", "weight", "offset", "words", "dealt_by"])
+                        rows.append((s["minimizer"], s["whole"], s["weight"], 0, words[at : at + n + WINDOW - 1].tobytes(), s["minimizer"], False))
+            yield pd.DataFrame(rows, columns=["minimizer", "whole", "weight", "offset", "words", "dealt_by", "crowded"])
 
     by_doc = named.groupBy("id", "h", "n").agg(F.collect_list(F.struct("start", "windows", "minimizer", "whole", "weight", "crowded")).alias("wanted"))
     found = _keyed(docs).join(_bounded(scratch.materialize(by_doc, "named")), ["id", "h", "n"])
-    return found.select("text", "wanted").mapInPandas(run, "minimizer long, whole long, weight long, offset int, words binary, dealt_by long")
+    return found.select("text", "wanted").mapInPandas(run, "minimizer long, whole long, weight long, offset int, words binary, dealt_by long, crowded boolean")
+
+
+def _indexed(contents: DataFrame) -> DataFrame:
+    """What is indexed: stretches as they are, and each distinct window of crowded ones once, told by two hashes."""
+    names = ["minimizer", "whole", "weight", "words", "dealt_by", "crowded"]
+    alike = contents.where("crowded").groupBy(F.col("dealt_by").alias("minimizer"), F.xxhash64("words").alias("whole"))
+    windows = alike.agg(F.sum("weight").alias("weight"), F.min("words").alias("words")).withColumns({"dealt_by": F.col("minimizer"), "crowded": F.lit(True)})
+    return contents.where("not crowded").select(*names).unionByName(windows.select(*names))
 
 
 def _search(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.drop_duplicates(["minimizer", "whole", "offset"])
+    group = group.drop_duplicates(["minimizer", "whole", "crowded"])
     lengths = np.array([len(w) // 4 for w in group["words"]], dtype=np.int64)
     index = fmindex.FMIndex(np.frombuffer(b"".join(group["words"]), dtype=np.uint32), lengths, group["weight"].to_numpy(dtype=np.int64))
-    masks = fmindex.repeated_windows(index, lengths, WINDOW) << group["offset"].to_numpy().astype(np.uint64)
+    masks = fmindex.repeated_windows(index, lengths, WINDOW)
     found = masks != 0
-    return pd.DataFrame({"minimizer": group["minimizer"][found], "whole": group["whole"][found], "mask": _signed(masks[found])})
+    return pd.DataFrame({"minimizer": group["minimizer"][found], "whole": group["whole"][found], "mask": _signed(masks[found]), "crowded": group["crowded"][found]})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -174,10 +186,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     supplier = F.min(F.struct("id", "h", "n", "start", "windows")).alias("s")
     named = live.groupBy("minimizer", "whole", "crowded").agg(F.count(F.lit(1)).alias("weight"), supplier).select("minimizer", "whole", "crowded", "weight", "s.*")
     contents = scratch.materialize(_contents(docs, named), "stretch-words")
-    total = contents.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
+    indexed = scratch.materialize(_indexed(contents), "stretches-to-index")
+    total = indexed.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
-    dealt = contents.withColumn("shard", F.pmod(F.xxhash64("dealt_by"), F.lit(shards)).cast("int"))
-    masks = dealt.groupBy("shard").applyInPandas(_search, "minimizer long, whole long, mask long")
+    dealt = indexed.withColumn("shard", F.pmod(F.xxhash64("dealt_by"), F.lit(shards)).cast("int"))
+    masks = scratch.materialize(dealt.groupBy("shard").applyInPandas(_search, "minimizer long, whole long, mask long, crowded boolean"), "masks")
+    windows = masks.where("crowded").select(F.col("minimizer").alias("dealt_by"), F.col("whole").alias("same"))
+    crowd = contents.where("crowded").select("minimizer", "whole", "offset", "dealt_by", F.xxhash64("words").alias("same"))
+    again = crowd.join(windows, ["dealt_by", "same"]).select("minimizer", "whole", F.expr("shiftleft(1L, offset)").alias("mask"))
+    masks = masks.where("not crowded").select("minimizer", "whole", "mask").unionByName(again)
     answers = scratch.materialize(masks.groupBy("minimizer", "whole").agg(F.bit_or("mask").alias("mask")), "repeated-windows")
     return live.join(answers, ["minimizer", "whole"]).groupBy("id", "h", "n").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
 
