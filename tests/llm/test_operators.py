@@ -260,6 +260,23 @@ def test_packing(table, docs):
     assert packing.report(table.limit(0)).count() == 0
 
 
+def test_sequences_hold_padded_ids(table, docs):
+    from tokenizers import Tokenizer
+
+    path = tokenize.tokenizer_path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    want = {i: [*tk.encode(t or "", add_special_tokens=False).ids, 0] for i, t in docs}
+    got, lengths = {i: [None] * len(x) for i, x in want.items()}, []
+    for r in packing.sequences(table, path, 0, pad_id=7).collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == packing.padded_length(r.n_ids) and set(ids[r.n_ids :]) <= {7} and sum(r.lengths) == r.n_ids
+        lengths.append(len(ids))
+        for i, start, n, offset in zip(r.doc_ids, r.starts, r.lengths, r.offsets, strict=True):
+            got[i][start : start + n] = ids[offset : offset + n]
+    assert got == want and packing.LENGTH in lengths
+    assert packing.sequences(table.limit(0), path, 0).count() == 0
+
+
 def test_repeated_rows_keep_their_rows(spark):
     text = "one two three four five six seven eight " * 3
     frame = spark.createDataFrame([(1, text), (1, text), (2, "b"), (None, "c")], "doc_id long, text string")
