@@ -355,7 +355,7 @@ def a13_connectivity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _patches(spark: SparkSession, sf: str) -> DataFrame:
-    cells = proxies.frame(spark, sf, "grid").where((F.col("z") > 80) & (F.col("row") % 10 < 5) & (F.col("col") % 10 < 5))
+    cells = proxies.frame(spark, sf, "grid").where(F.col("z") > 80)
     return network.patches(cells.select("row", "col"), 1.0, GRID.cell_ha, 2 * GRID.cell_ha)
 
 
@@ -370,7 +370,7 @@ def g01_g04_sweep(spark: SparkSession, sf: str) -> DataFrame:
     g = proxies.frame(spark, sf, "grid")
     cells = g.select("row", "col", "clc", (c("z") % 161).alias("meanage"), (c("z") % 40).alias("basalarea"), (c("z") % 101 / 100).alias("spruce"))
     labels = g.select("row", "col", (F.floor(c("row") / 4) * 10 + F.floor(c("col") / 4)).cast("long").alias("label"))
-    settings = perturbed(Resistance(), Sweep(n_runs=3))
+    settings = perturbed(Resistance(), Sweep())
     return rounded(network.sweep(cells, _patches(spark, sf), labels, settings)["robust"])
 
 

@@ -44,7 +44,9 @@ select cast(l_partkey % 40 as int) as row, cast(l_suppkey % 40 as int) as col, c
 from {lineitem} group by 1, 2""",
     "edges": """
 select 0 as run, a.s_suppkey as i, b.s_suppkey as j, cast((37*a.s_suppkey + 37*b.s_suppkey) % 991 + abs(a.s_suppkey - b.s_suppkey) as double) as cost
-from {supplier} a join {supplier} b on a.s_nationkey % 2 = b.s_nationkey % 2 and a.s_suppkey < b.s_suppkey and b.s_suppkey < 60""",
+from (select s_suppkey, s_nationkey, s_suppkey + n as near
+      from {supplier} cross join (values (1), (2), (4), (8), (16), (32), (64), (128), (256), (512)) as o(n)) a
+join {supplier} b on b.s_suppkey = a.near and b.s_nationkey % 2 = a.s_nationkey % 2""",
 }
 _TABLES = ("orders", "part", "supplier", "lineitem")
 
