@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,3 +95,39 @@ def linked(prints: dict, limit=2) -> dict:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in ids}
+
+
+def attention_log10(model, encoder, words):
+    """log10 of the attention model's probability of each word and the end, one position after another."""
+    t, w = model.table, {k: v.astype(np.float64) for k, v in model.weights().items()}
+
+    def power(x):
+        whole = np.floor(x)
+        return np.exp2(whole) * (1 + x - whole)
+
+    def choose(kind, z, symbol):
+        g = power(z @ w[kind + "_group"] + w[kind + "_group_bias"])
+        i = power(z @ w[kind][symbol // 32] + w[kind + "_bias"][symbol // 32])
+        return g[symbol // 32] / g.sum() * i[symbol % 32] / i.sum()
+
+    ids = [np.frombuffer(x, "<u4") for x in encoder.encode_words([x.encode() for x in words])]
+    spelt = [[int(t.of[i]) for i in x] for x in ids] + [[t.end]]
+    came = [[t.end], *spelt[:-1]]
+    x = [w["came_first"][s[0]] + w["came_last"][s[-1]] for s in came]
+    out = []
+    for at, symbols in enumerate(spelt):
+        block = at // 16
+        context = range(max(0, 16 * (block - 1)), at + 1)
+        q = x[at] @ w["q"]
+        a = np.array([power(q @ (x[k] @ w["kv"])[:16] + w["place"][at % 16, k - 16 * (block - 1)]) for k in context])
+        y = x[at] + sum(a[n] * (x[k] @ w["kv"])[16:] for n, k in enumerate(context)) / a.sum()
+        h = y + np.maximum(y @ w["w1"] + w["b1"], 0) @ w["w2"]
+        p = np.log10(choose("first", h, symbols[0]))
+        if at < len(words):
+            for n, s in enumerate(symbols):
+                z = np.maximum(h + w["said"][s], 0)
+                end = 1 / (1 + np.exp2(-(z @ w["end"] + w["end_bias"][0])))
+                p += np.log10(end if n == len(symbols) - 1 else (1 - end) * choose("later", z, symbols[n + 1] - t.n_first))
+            p += sum(t.log_share[i] for i in ids[at]) / np.log(10)
+        out.append(p)
+    return out

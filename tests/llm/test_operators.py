@@ -153,7 +153,10 @@ def test_warc(spark):
 
 
 def test_language_model(table, docs):
-    got = {r.doc_id: r for r in lm.report(table).collect()}
+    path = tokenize.tokenizer_path("byte_bpe_50k.json")
+    packed = lm.chunks(table, path)
+    model = lm.train(packed, path)
+    got = {r.doc_id: r for r in lm.scored(packed, lm.word_counts(packed), model).collect()}
     words = {i: brute.SPACE.findall((t or "").translate(brute.LOWER)) for i, t in docs}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
     counts = Counter(w for i, ws in words.items() if not held[i] for w in [*ws, None])
@@ -162,40 +165,118 @@ def test_language_model(table, docs):
         base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in [*ws, None])
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws) + 1, sum(counts[w] > 0 for w in [*ws, None]), total)
-        assert r.base_score == pytest.approx(base) and math.isfinite(r.score) and r.score < 0
+        assert r.base_score == pytest.approx(base)
+        told = brute.attention_log10(model, tokenize.encoder(path), ws[:300])
+        if len(ws) <= 300:
+            mixed = [math.log10((1 - lm.WORD_SHARE) * 10**x + lm.WORD_SHARE * counts[w] / total) for x, w in zip(told, [*ws, None], strict=True)]
+            assert r.score == pytest.approx(sum(mixed), rel=1e-4)
     assert lm.report(table.limit(0)).count() == 0
 
 
+def test_all_words_together_have_probability_one(spark):
+    frame = spark.createDataFrame([(i, "aa bb " * 40) for i in range(1, 9)], "doc_id long, text string")
+    path = tokenize.tokenizer_path("byte_bpe_50k.json")
+    packed = lm.chunks(frame, path)
+    model = lm.train(packed, path)
+    # Every way to spell at most one later symbol after the first, by the model's own symbols.
+    p, t = model.weights(), model.table
+    first = [[s] for s in range(t.n_first) if s != t.end]
+    spelt = first + [[*f, t.n_first + s] for f in first for s in range(t.n_later)] + [[*f, t.n_first + s, t.n_first + u] for f in first for s in range(t.n_later) for u in range(t.n_later)]
+    sizes = np.array([len(s) for s in spelt])
+    total = 0.0
+    for s in spelt:
+        one = attention.Tokens(np.array([2]), np.array([s[0], t.end]), np.array([s[-1], t.end]), np.array([0, len(s), len(s)]), np.array(s), t.end)
+        token, symbol = attention.log_probabilities(p, one, t.n_first)
+        total += math.exp(token[0] + symbol.sum())
+    one = attention.Tokens(np.array([1]), np.array([t.end]), np.array([t.end]), np.array([0, 0]), np.array([], dtype=np.int64), t.end)
+    total += math.exp(attention.log_probabilities(p, one, t.n_first)[0][0])
+    assert sizes.max() == 3 and 0.5 < total <= 1 + 1e-5
+
+
 def test_model_learns_from_every_learning_document(spark):
     text = "spruce snow road ditch water " * 30
-    frame = spark.range(200).withColumn("text", F.lit(text))
-    # None of these ids is in a sample by xxhash64(id) mod 32.
-    frame = frame.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(32)) != 0).withColumnRenamed("id", "doc_id")
+    frame = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("text", F.lit(text))
+    path = tokenize.tokenizer_path("byte_bpe_50k.json")
+    packed = lm.chunks(frame, path)
+    model = lm.train(packed, path)
+    rows, schema = packed.select("chunk", "held", "packed"), "trainer int, n long, weights binary"
+    learning = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    seen = [r.n for number in range(len(lm.ROUNDS)) for r in rows.mapInPandas(lm._fitting(model.table, model.flat, number), schema).collect()]
+    assert sum(seen) == 151 * len(learning)  # the rounds together, each token once
     got = lm.report(frame).collect()
-    assert any(r.held_out for r in got) and all(r.score > r.base_score / 2 for r in got)
+    assert any(r.held_out for r in got) and all(r.score > r.base_score for r in got)
+
+
+def test_a_very_long_word_has_a_score(spark):
+    frame = spark.createDataFrame([(1, "x" * 30000 + " " + "ab" * 9000), (2, "x y"), (10, "q" * 70)], "doc_id long, text string")
+    assert all(math.isfinite(r.score) and r.score < 0 for r in lm.report(frame).collect())
+
+
+def test_held_out_scores_beat_the_base(spark):
+    rng = random.Random(3)
+    # Every word calls for the next; one in ten is a new one of known parts.
+    round_, tails = ["spruce", "snow", "road", "water", "ground", "peat"], ["land", "fall", "side", "mark", "ing", "ly"]
+
+    def say(n):
+        k = rng.randrange(6)
+        return " ".join("".join(rng.choices(tails, k=5)) if rng.random() < 0.1 else round_[(k + i) % 6] for i in range(n))
+
+    frame = spark.createDataFrame([(i, say(300)) for i in range(300)], "doc_id long, text string")
+    held = [r for r in lm.report(frame).collect() if r.held_out]
+    assert len(held) > 10 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def _some_tokens(rng, n_first=40, n_later=70):
+    counts = np.array([1, 16, 17, 33, 5, 40])
+    ends = np.zeros(counts.sum(), dtype=bool)
+    ends[np.cumsum(counts) - 1] = True
+    sizes = np.where(ends, 0, rng.integers(1, 5, len(ends)))
+    sizes[3], sizes[0] = 30, 0
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    symbols = rng.integers(n_first, n_first + n_later, begin[-1])
+    symbols[begin[:-1][sizes > 0]] = rng.integers(0, n_first - 1, int((sizes > 0).sum()))
+    first, last = np.full((2, len(ends)), n_first - 1)
+    first[sizes > 0], last[sizes > 0] = symbols[begin[:-1][sizes > 0]], symbols[begin[1:][sizes > 0] - 1]
+    return attention.Tokens(counts, first, last, begin, symbols, n_first - 1)
 
 
 def test_model_gradients():
     rng = np.random.default_rng(0)
-    p = attention.initial(12, 2, np.log(np.full(2, 0.5)), np.log(np.full((2, attention.GROUP), 1 / attention.GROUP)))
-    p = {k: v.astype(np.float64) for k, v in p.items()}
-    ids, inner = rng.integers(0, 12, (2, attention.CONTEXT)), rng.integers(0, 6, (2, attention.CONTEXT))
-    group, weight = rng.integers(0, 2, (2, attention.CONTEXT)), np.ones((2, attention.CONTEXT))
-    _, d = attention.gradients(p, ids, group, inner, weight)
-    for name in ("emb", "qkv", "w1", "wg", "wi"):
-        at = np.unravel_index(np.abs(d[name]).argmax(), d[name].shape)
-        losses = []
-        for step in (1e-4, -1e-4):
-            q = {k: v.copy() for k, v in p.items()}
-            q[name][at] += step
-            losses.append(attention.gradients(q, ids, group, inner, weight)[0])
-        assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(d[name][at], rel=2e-2)
-
-
-def test_windows_score_every_position_once():
+    t = _some_tokens(rng)
+    of = attention.shapes(40, 70)
+    flat = attention.initial(rng.integers(1, 9, 40), rng.integers(1, 9, 70)).astype(np.float64)
+    p, g = attention.views(flat, of), np.zeros_like(flat)
+    d, placed = attention.views(g, of), attention.blocks(t.counts)
+    whole = np.zeros_like(flat)
+    for low in range(0, len(placed[0]), 5):
+        attention.gradients(p, d, t, t.came(), placed, low, min(low + 5, len(placed[0])), 40)
+        whole += g
+
+    def loss():
+        token, symbol = attention.log_probabilities(p, t, 40, batch=3)
+        return -(token.sum() + symbol.sum()) / math.log(2)
+
+    for name, part in attention.views(whole, of).items():
+        at = np.unravel_index(np.abs(part).argmax(), part.shape)
+        found, own = [], p[name][at]
+        for step in (1e-6, -1e-6):
+            p[name][at] = own + step
+            found.append(loss())
+        p[name][at] = own
+        assert (found[0] - found[1]) / 2e-6 == pytest.approx(part[at], rel=1e-3), name
+
+
+def test_every_token_is_in_one_block():
     counts = np.array([1, 32, 33, 60, 61, 200])
-    at, exists, scored = attention.windows(counts)
-    assert sorted(at[scored].tolist()) == list(range(counts.sum())) and (exists | ~scored).all()
+    at, exists, first = attention.blocks(counts)
+    assert at[exists].tolist() == list(range(counts.sum())) and first.sum() == len(counts)
+
+
+def test_powers_join_whole_exponents_by_lines():
+    x = np.linspace(-20, 20, 1001).astype(np.float32)
+    got = attention._powers(x * attention._STEP + attention._ONE)
+    whole = np.floor(x.astype(np.float64))
+    assert np.allclose(got, 2**whole * (1 + x - whole), rtol=1e-4)
 
 
 def test_decontamination(spark, table, docs):

@@ -2,28 +2,33 @@
 
 Documents whose crc32(doc_id as text) mod 10 is not 0 are learned from; all are scored.
 
-1. Documents are packed into chunks of some MB, compressed, one row each.
-2. Word counts come from all learning documents: each chunk gives its distinct words' hashes with counts, a window over
-   each hash adds them up, and each chunk gets back the counts of its own words that differ from what it counted itself.
+1. Documents are packed into chunks of some MB of text, one row each: the chunk's distinct words (64-bit hashes and
+   subword ids) and every document as numbers of words. Texts are read and tokenized once.
+2. Word counts come from all learning documents: each chunk gives its distinct words with counts, a window over each
+   hash adds them up, and each chunk gets back the counts of its own words that differ from what it counted itself.
    Nothing of the vocabulary's size is broadcast.
-3. All learning documents train the attention model. Their subword ids are stored once by chunk; each task that reads
-   them is a trainer, so there are as many as the input asks for. A trainer runs Adam through its chunks, from common
-   weights, and the weights are averaged, in a tree, for ``ROUNDS`` rounds. The symbols are the learning documents'
-   commonest subword ids, an escape for others that begin a word and one for others that don't, and the end.
-4. A chunk is scored in overlapping context windows, each subword once, by batched masked attention, smoothed with the
-   learning documents' bigrams. From a word's subwords comes its probability, including that a word ends there; the model's
-   probability of a token mixes it with the token's share of the learning tokens.
-
-Words are told by 64-bit hashes. Defined results: null texts are empty and have the end alone; null doc_ids count as
-the empty text, so they are held out; repeated rows are scored, and learned from, each for itself; very long texts are
-scored whole; without learning documents all counts are 0; an empty table gives an empty result.
+3. The model's symbols are the commonest subword ids of all learning documents, ``SYMBOLS`` at most, with an escape for
+   other ids that begin a word and one for those that don't; an escaped id has its share of the escape's count.
+4. All learning documents train the attention model, each once. Each task that reads chunks is a trainer, so there are
+   as many as the input asks for. A trainer runs Adam from common weights through windows in random order, and the
+   weights are averaged in a tree: first after a quarter of every chunk, then, from that average, after the rest.
+5. A chunk is scored in overlapping context windows, each token once, by batched masked attention. The model's
+   probability of a token mixes that of its spelling, by attention, with the token's share of the learning tokens,
+   which has a weight of ``WORD_SHARE``.
+
+The model's size is fixed: 16 dimensions, one head, 16 to 31 tokens of context, 1024 symbols. Words are told by 64-bit
+hashes. Defined results: null texts are empty and have the end alone; null doc_ids count as the empty text, so they are
+held out; repeated rows are scored, and learned from, each for itself; very long texts are scored whole; without
+learning documents all counts are 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -36,348 +41,295 @@ from . import scratch
 from .tokenize import encoder, tokenizer_path
 from .workers import prepare
 
-CHUNK_BYTES, ROUNDS, RATE = 8 << 20, 2, 0.01
-SYMBOLS, BATCH, STEP_WINDOWS, BIGRAM_PRIOR = 1024, 256, 64, 16.0
-#: Shares of the bigrams in a subword's probability and of the word counts in a token's.
-BIGRAM_SHARE, WORD_SHARE = 0.4, 0.25
-END_HASH = -1
+CHUNK_BYTES, SYMBOLS, WORD_SHARE = 8 << 20, 1024, 0.25
+#: Parts of a chunk's windows that the rounds of training take, and Adam's rate.
+ROUNDS, RATE = ((0.0, 0.25), (0.25, 1.0)), 0.01
+#: Blocks of a step, fewer where a chunk has less than ``LEAST_STEPS`` such.
+STEP_BLOCKS, LEAST_STEPS = 256, 64
+#: In the place of a word's number: no word, the end of a document.
+END = -1
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8").lower().split()
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
+@dataclass
+class Chunk:
+    n_words: np.ndarray  # by document
+    word: np.ndarray  # numbers of the documents' words, end to end
+    hashes: np.ndarray  # by distinct word
+    sizes: np.ndarray
+    ids: np.ndarray  # subword ids of the distinct words, end to end
 
-    # Odd, so that no word has the end's hash.
-    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64) & ~np.int64(1)
+    def pack(self) -> bytes:
+        import zstandard
+
+        parts = [x.astype(t).tobytes() for x, t in zip((self.n_words, self.word, self.hashes, self.sizes, self.ids), ("<i4", "<i4", "<i8", "<i4", "<u4"), strict=True)]
+        head = np.array([len(x) for x in parts], dtype="<i8").tobytes()
+        return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+
+    @staticmethod
+    def unpack(raw: bytes) -> Chunk:
+        import zstandard
 
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+        sizes = np.frombuffer(raw, "<i8", 5)
+        at = 40 + np.cumsum(sizes) - sizes
+        part = lambda k, t, n: np.frombuffer(raw, t, int(sizes[k]) // n, int(at[k]))
+        return Chunk(part(0, "<i4", 4), part(1, "<i4", 4), part(2, "<i8", 8), part(3, "<i4", 4), part(4, "<u4", 4))
 
-def _pack(texts: list[str]) -> bytes:
-    import zstandard
+    def learned(self, held: np.ndarray) -> np.ndarray:
+        """How often learning documents have each distinct word."""
+        return np.bincount(self.word[np.repeat(held == 0, self.n_words)], minlength=len(self.hashes))
 
-    raw = [t.encode("utf-8") for t in texts]
-    sizes = np.array([len(r) for r in raw], dtype="<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(raw))
 
+class Packer:
+    """Documents on their way into a chunk."""
 
-def _unpack(packed: bytes, n: int) -> list[str]:
-    import zstandard
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.ids: list[int | None] = []
+        self.held: list[int] = []
+        self.word: list[np.ndarray] = []
+        self.size = 0
 
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    ends = 8 * n + np.cumsum(np.frombuffer(raw, dtype="<u8", count=n)).astype(np.int64)
-    begins = np.concatenate(([8 * n], ends[:-1]))
-    return [raw[a:b].decode("utf-8") for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+    def add(self, doc_id: int | None, held: int, text: bytes) -> None:
+        words = words_of(text)
+        self.word.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+        self.ids.append(doc_id)
+        self.held.append(held)
+        self.size += len(text)
 
+    def chunk(self) -> Chunk:
+        from xxhash import xxh3_64_intdigest
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, doc_ids, held (1 for held out), texts: documents packed in the order in which a task reads them."""
+        distinct = list(self.numbers)
+        coded = encoder(self.path).encode_words(distinct)
+        hashes = np.fromiter(map(xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct)).view(np.int64)
+        sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+        word = np.concatenate(self.word) if self.word else np.zeros(0, np.int32)
+        return Chunk(np.array([len(w) for w in self.word]), word, hashes, sizes, np.frombuffer(b"".join(coded), "<u4"))
+
+
+def chunks(docs: DataFrame, path: str) -> DataFrame:
+    """chunk, doc_ids, held (1 for held out), packed: documents in the order in which a task reads them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        held: list[int] = []
-        texts: list[str] = []
-        size = 0
+        part, n, packer = TaskContext.get().partitionId(), 0, Packer(path)
 
         def done() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": [part << 32 | n], "doc_ids": [ids], "held": [held], "texts": [_pack(texts)]})
+            return pd.DataFrame({"chunk": [part << 32 | n], "doc_ids": [packer.ids], "held": [packer.held], "packed": [packer.chunk().pack()]})
 
         for batch in batches:
             known = [None if x is pd.NA else x for x in batch["doc_id"].astype("Int64").tolist()]
-            for doc_id, text in zip(known, batch["text"].tolist(), strict=True):
-                ids.append(doc_id)
-                held.append(int(zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0))
-                texts.append(text)
-                size += len(text)
-                if size >= CHUNK_BYTES:
+            for doc_id, held, text in zip(known, batch["held"].tolist(), batch["text"].tolist(), strict=True):
+                packer.add(doc_id, held, text)
+                if packer.size >= CHUNK_BYTES:
                     yield done()
-                    n, ids, held, texts, size = n + 1, [], [], [], 0
-        if ids:
+                    n, packer = n + 1, Packer(path)
+        if packer.ids:
             yield done()
 
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return scratch.materialize(rows.mapInPandas(run, "chunk long, doc_ids array<long>, held array<int>, texts binary"), "lm-chunks")
+    doc_id = F.col("doc_id").cast("long")
+    held = (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0).cast("int")
+    rows = docs.select(doc_id.alias("doc_id"), held.alias("held"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return scratch.materialize(rows.mapInPandas(run, "chunk long, doc_ids array<long>, held array<int>, packed binary"), "lm-chunks")
+
+
+def _each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, Chunk]]:
+    for batch in batches:
+        for chunk, held, packed in zip(batch["chunk"], batch["held"], batch["packed"], strict=True):
+            yield chunk, np.asarray(held), Chunk.unpack(packed)
 
 
 def word_counts(packed: DataFrame) -> DataFrame:
-    """chunk, words (hash and count by turns, where the count isn't the chunk's own), distinct, tokens."""
+    """chunk, words (number and count by turns, where the count isn't the chunk's own), distinct, tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for chunk, held, texts in zip(batch["chunk"], batch["held"], batch["texts"], strict=True):
-                each = [words_of(t) for t in _unpack(texts, len(held))]
-                learn = 1 - np.repeat(np.asarray(held), [len(w) for w in each])
-                hashes, at = np.unique(word_hashes([w for ws in each for w in ws]), return_inverse=True)
-                n = np.bincount(at, weights=learn, minlength=len(hashes)).astype(np.int64)
-                yield pd.DataFrame({"chunk": chunk, "hash": np.append(hashes, END_HASH), "n": np.append(n, len(held) - int(np.sum(held)))})
-
-    counted = packed.select("chunk", "held", "texts").mapInPandas(run, "chunk long, hash long, n long")
-    same = Window.partitionBy("hash")
+        for chunk, held, c in _each(batches):
+            word, n = np.append(np.arange(len(c.hashes)), END), np.append(c.learned(held), np.sum(held == 0))
+            # The end is told from a word by its number, and is in every chunk.
+            yield pd.DataFrame({"chunk": chunk, "word": word.astype(np.int32), "end": word == END, "hash": np.append(c.hashes, END), "n": n})
+
+    counted = packed.select("chunk", "held", "packed").mapInPandas(run, "chunk long, word int, end boolean, hash long, n long")
+    same = Window.partitionBy("hash", "end")
     summed = counted.withColumns({"c": F.sum("n").over(same), "first": F.min("chunk").over(same) == F.col("chunk")})
-    told = F.flatten(F.collect_list(F.when((F.col("c") != F.col("n")) | (F.col("hash") == END_HASH), F.array("hash", "c"))))
+    told = F.flatten(F.collect_list(F.when((F.col("c") != F.col("n")) | F.col("end"), F.array(F.col("word").cast("long"), "c"))))
     answer = summed.groupBy("chunk").agg(told.alias("words"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("distinct"), F.sum("n").alias("tokens"))
     return scratch.materialize(answer, "lm-counts")
 
 
-class Symbols:
-    """Subword ids as symbols 0 to n - 1: word beginnings first, in groups of their own."""
-
-    def __init__(self, counts: np.ndarray, begins: np.ndarray) -> None:
-        self.size = len(counts)
-        order = np.lexsort((np.arange(len(counts)), -counts))[: SYMBOLS - 3]
-        top = order[counts[order] > 0]
-        heads, tails = top[begins[top]], top[~begins[top]]
-        # The end and the two escapes stand at the end of their kind.
-        self.end, self.other = len(heads), (len(heads) + 1, len(heads) + 2 + len(tails))
-        self.n = len(top) + 3
-        self.of = np.where(begins, self.other[0], self.other[1]).astype(np.int32)
-        self.of[heads], self.of[tails] = np.arange(len(heads)), len(heads) + 2 + np.arange(len(tails))
-        self.n_heads = len(heads) + 2
-        self.begin_groups = -(-self.n_heads // A.GROUP)
-        at = np.arange(self.n)
-        tail = at >= self.n_heads
-        self.group = np.where(tail, self.begin_groups + (at - self.n_heads) // A.GROUP, at // A.GROUP).astype(np.int64)
-        self.inner = np.where(tail, (at - self.n_heads) % A.GROUP, at % A.GROUP).astype(np.int64)
-        self.groups = int(self.group[-1]) + 1
-        weight = np.bincount(self.of, weights=counts, minlength=self.n) + 0.5
-        by_group = np.bincount(self.group, weights=weight, minlength=self.groups)
-        self.log_group = np.log(by_group / by_group.sum())
-        self.log_inner = np.full((self.groups, A.GROUP), -30.0)
-        self.log_inner[self.group, self.inner] = np.log(weight / by_group[self.group])
-        self.unigram = weight / weight.sum()
-
-
-class Stream:
-    """Chunked documents as symbols: each document's words' subwords, then the end."""
-
-    def __init__(self, texts: list[str], path: str) -> None:
-        each = [words_of(t) for t in texts]
-        flat = [w for ws in each for w in ws]
-        self.n_words = np.array([len(w) for w in each], dtype=np.int64)
-        self.hashes, first, self.word = np.unique(word_hashes(flat), return_index=True, return_inverse=True)
-        coded = encoder(path).encode_words([flat[i] for i in first.tolist()])
-        size = np.array([len(c) // 4 for c in coded], dtype=np.int64)
-        ids = np.frombuffer(b"".join(coded), dtype="<u4")
-        begin = np.cumsum(size) - size
-        per_word = size[self.word] if len(flat) else np.zeros(0, dtype=np.int64)
-        #: Position of each word's first subword, and of each document's end, in the stream with ends.
-        doc = np.repeat(np.arange(len(each)), self.n_words)
-        self.word_at = np.cumsum(per_word) - per_word + doc
-        self.counts = np.bincount(doc, weights=per_word, minlength=len(each)).astype(np.int64) + 1
-        self.end_at = np.cumsum(self.counts) - 1
-        self.ids = np.full(int(self.counts.sum()), -1, dtype=np.int64)
-        inside = np.ones(len(self.ids), dtype=bool)
-        inside[self.end_at] = False
-        take = np.repeat(begin[self.word] if len(flat) else begin, per_word) + np.arange(per_word.sum()) - np.repeat(np.cumsum(per_word) - per_word, per_word)
-        self.ids[inside] = ids[take]
-
-
-def symbols(ids: np.ndarray, table: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    """Targets, and what stands before each (the end stands before a document)."""
-    target = np.where(ids < 0, table.end, table.of[ids]).astype(np.int64)
-    before = np.empty_like(target)
-    before[1:] = target[:-1]
-    before[:1] = table.end
-    return target, before
-
-
-def _begins(path: str) -> np.ndarray:
-    """Which ids of the vocabulary begin with a space."""
-    enc = encoder(path)
-    return np.array([(enc.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(enc.vocabulary)])
-
-
-def learning_ids(packed: DataFrame, path: str) -> DataFrame:
-    """ids: the subword ids of each chunk's learning documents, -1 at every document's end."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        for batch in batches:
-            for held, texts in zip(batch["held"], batch["texts"], strict=True):
-                ids = Stream([t for t, h in zip(_unpack(texts, len(held)), held, strict=True) if not h], path).ids
-                if len(ids):
-                    yield pd.DataFrame({"ids": [zstandard.ZstdCompressor(level=1).compress(ids.astype("<i4").tobytes())]})
-
-    return scratch.materialize(packed.select("held", "texts").mapInPandas(run, "ids binary"), "lm-ids")
-
-
-def _each(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-    """The ids of one chunk after another."""
-    import zstandard
-
-    for batch in batches:
-        for ids in batch["ids"]:
-            yield np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), dtype="<i4").astype(np.int64)
-
-
-def _counted(learned: DataFrame, size: int, places: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """How often each of ``size`` places occurs in all chunks; a task gives each place at most once."""
+def subword_counts(packed: DataFrame, n_ids: int) -> np.ndarray:
+    """How often each subword id occurs in all learning documents: a row for each id, a task gives each at most once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(size, dtype=np.int64)
-        for ids in _each(batches):
-            n += np.bincount(places(ids), minlength=size)
+        n = np.zeros(n_ids, dtype=np.int64)
+        for _, held, c in _each(batches):
+            n += np.bincount(c.ids, weights=np.repeat(c.learned(held), c.sizes), minlength=n_ids).astype(np.int64)
         at = np.flatnonzero(n)
-        yield pd.DataFrame({"at": at, "n": n[at]})
+        yield pd.DataFrame({"id": at, "n": n[at]})
 
-    rows = learned.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(size, dtype=np.int64)
-    counts[rows["at"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    rows = packed.select("chunk", "held", "packed").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(n_ids, dtype=np.int64)
+    counts[rows["id"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return counts
 
 
-def _pack_weights(p: dict[str, np.ndarray]) -> bytes:
-    return b"".join(p[k].astype("<f4").tobytes() for k in sorted(p))
+class Symbols:
+    """Subword ids as symbols: those that begin a word, their escape and the end, then the others and their escape."""
+
+    def __init__(self, counts: np.ndarray, begins: np.ndarray) -> None:
+        order = np.lexsort((np.arange(len(counts)), -counts))[: SYMBOLS - 3]
+        top = order[counts[order] > 0]
+        heads, tails = top[begins[top]], top[~begins[top]]
+        other = len(heads), len(heads) + 2 + len(tails)
+        self.end, self.n_first, self.n_later = len(heads) + 1, len(heads) + 2, len(tails) + 1
+        self.of = np.where(begins, *other).astype(np.int32)
+        self.of[heads], self.of[tails] = np.arange(len(heads)), self.n_first + np.arange(len(tails))
+        self.counts = np.bincount(self.of, weights=counts, minlength=self.n_first + self.n_later)
+        #: Natural log of an id's share of its symbol: 0 but for escaped ids.
+        self.log_share = np.zeros(len(counts))
+        for s in other:
+            own = np.flatnonzero(self.of == s)
+            self.log_share[own] = np.log((counts[own] + 0.5) / (counts[own] + 0.5).sum())
+
+    def tokens(self, c: Chunk, of: np.ndarray) -> A.Tokens:
+        """The documents of a chunk for which ``of`` is true."""
+        word, n = c.word[np.repeat(of, c.n_words)], c.n_words[of].astype(np.int64)
+        symbol, begin, sizes = self.of[c.ids].astype(np.int64), np.cumsum(c.sizes) - c.sizes, c.sizes.astype(np.int64)
+        is_word = np.ones(len(word) + len(n), dtype=bool)
+        is_word[np.cumsum(n + 1) - 1] = False
+        each = np.zeros(len(is_word) + 1, dtype=np.int64)
+        each[1:][is_word] = sizes[word]
+        first, last = np.full((2, len(is_word)), self.end, dtype=np.int64)
+        first[is_word], last[is_word] = symbol[begin[word]], symbol[begin[word] + sizes[word] - 1]
+        begins = np.cumsum(each)
+        take = np.arange(begins[-1]) + np.repeat(begin[word] - begins[:-1][is_word], sizes[word])
+        return A.Tokens(n + 1, first, last, begins, symbol[take], self.end)
+
+
+@dataclass
+class Model:
+    table: Symbols
+    flat: np.ndarray
+
+    def weights(self) -> A.Weights:
+        return A.views(self.flat, A.shapes(self.table.n_first, self.table.n_later))
+
+    def log_told(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probabilities of all words of a chunk, and of its documents' ends, by the attention model."""
+        t = self.table.tokens(c, np.ones(len(c.n_words), dtype=bool))
+        token, symbol = A.log_probabilities(self.weights(), t, self.table.n_first)
+        end_at = np.cumsum(t.counts) - 1
+        is_word = np.ones(len(token), dtype=bool)
+        is_word[end_at] = False
+        told = token[is_word].astype(np.float64)
+        if len(told):
+            told += np.add.reduceat(symbol.astype(np.float64), t.begin[:-1][is_word])
+            share = np.add.reduceat(self.table.log_share[c.ids], np.cumsum(c.sizes) - c.sizes)
+            told += share[c.word]
+        return told, token[end_at].astype(np.float64)
+
+
+def _fitting(table: Symbols, start: np.ndarray, number: int) -> Callable:
+    """One trainer's round ``number``, from the common weights ``start``."""
 
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat, of, seen = start.copy(), A.shapes(table.n_first, table.n_later), 0
+        g = np.zeros_like(flat)
+        p, d, adam = A.views(flat, of), A.views(g, of), A.Adam(flat, RATE / (1 + number))
+        for chunk, held, c in _each(batches):
+            t = table.tokens(c, held == 0)
+            placed, came = A.blocks(t.counts), t.came()
+            n = len(placed[0])
+            step = min(STEP_BLOCKS, max(16, n // LEAST_STEPS))
+            lows = np.random.default_rng(chunk).permutation(np.arange(0, n, step))
+            begin, end = (round(x * len(lows)) for x in ROUNDS[number])
+            for low in lows[begin:end].tolist():
+                tokens = A.gradients(p, d, t, came, placed, low, min(low + step, n), table.n_first)
+                g *= np.float32(1 / tokens)
+                adam.step(g)
+                seen += tokens
+        if seen:
+            yield pd.DataFrame({"trainer": [TaskContext.get().partitionId()], "n": [seen], "weights": [flat.tobytes()]})
 
-def _unpack_weights(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        n = like[k].size * 4
-        out[k] = np.frombuffer(raw[at : at + n], dtype="<f4").reshape(like[k].shape).copy()
-        at += n
-    return out
+    return fit
 
 
-def _averaged(rows: DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _averaged(rows: DataFrame, start: np.ndarray) -> np.ndarray:
     """Token-weighted mean of trainers' weights, 64 at a time."""
 
     def mean(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         n = group["n"].to_numpy(dtype=np.float64)
         total = sum(np.frombuffer(w, dtype="<f4").astype(np.float64) * k for w, k in zip(group["weights"], n, strict=True))
-        return pd.DataFrame({"trainer": [key[0]], "n": [int(n.sum())], "weights": [(total / max(n.sum(), 1)).astype("<f4").tobytes()]})
+        return pd.DataFrame({"trainer": [key[0]], "n": [int(n.sum())], "weights": [(total / n.sum()).astype("<f4").tobytes()]})
 
+    schema = "trainer int, n long, weights binary"
     rows = scratch.materialize(rows, "lm-weights")
     while True:
         last = rows.count() <= 64
-        rows = rows.groupBy(F.expr("trainer div 64").cast("int").alias("trainer")).applyInPandas(mean, "trainer int, n long, weights binary")
+        rows = rows.groupBy(F.expr("trainer div 64").cast("int").alias("trainer")).applyInPandas(mean, schema)
         if last:
-            found = rows.groupBy(F.lit(0).alias("trainer")).applyInPandas(mean, "trainer int, n long, weights binary").collect()
-            return _unpack_weights(found[0]["weights"], like) if found else like
+            found = rows.groupBy(F.lit(0).alias("trainer")).applyInPandas(mean, schema).collect()
+            return np.frombuffer(found[0]["weights"], dtype="<f4").copy() if found else start
         rows = scratch.materialize(rows, "lm-weights")
 
 
-class Model:
-    def __init__(self, table: Symbols, weights: dict[str, np.ndarray], bigram: np.ndarray) -> None:
-        self.table, self.weights = table, weights
-        self.bigram = bigram.astype(np.float32)
-        self.bigram_begins = self.bigram[:, : table.n_heads].sum(axis=1)
-
-    def score(self, stream: Stream) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each subword, and that a word (or the end) begins at it, each position once."""
-        t = self.table
-        target, before = symbols(stream.ids, t)
-        told, begins = np.empty(len(target), np.float32), np.empty(len(target), np.float32)
-        at, _, scored = A.windows(stream.counts)
-        for i in range(0, len(at), BATCH):
-            pos, take = at[i : i + BATCH], scored[i : i + BATCH]
-            z, _ = A.hidden(self.weights, before[pos])
-            here = pos[take]
-            y = target[here]
-            told[here], begins[here] = A.predict(self.weights, z[take], t.group[y], t.inner[y], t.begin_groups)
-        told = (1 - BIGRAM_SHARE) * told + BIGRAM_SHARE * self.bigram[before, target]
-        begins = (1 - BIGRAM_SHARE) * begins + BIGRAM_SHARE * self.bigram_begins[before]
-        told[(target == t.other[0]) | (target == t.other[1])] /= t.size
-        return told, begins
-
-
-def _fitting(table: Symbols, start: dict[str, np.ndarray], number: int) -> Callable:
-    """One trainer's round ``number``, from the common weights ``start``."""
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = {k: v.copy() for k, v in start.items()}
-        adam, rng, n = A.Adam(p, RATE / (1 + number)), np.random.default_rng(number), 0
-        for ids in _each(batches):
-            target, before = symbols(ids, table)
-            at, _, scored = A.windows(np.diff(np.flatnonzero(ids < 0), prepend=-1))
-            order = rng.permutation(len(at))
-            for i in range(0, len(at), STEP_WINDOWS):
-                w = order[i : i + STEP_WINDOWS]
-                y = target[at[w]]
-                adam.step(A.gradients(p, before[at[w]], table.group[y], table.inner[y], scored[w])[1])
-            n += len(target)
-        if n:
-            yield pd.DataFrame({"trainer": [TaskContext.get().partitionId()], "n": [n], "weights": [_pack_weights(p)]})
-
-    return fit
-
-
 def train(packed: DataFrame, path: str) -> Model:
-    """Fit the model; what the driver holds is of the size of the vocabulary or the model."""
-    learned = learning_ids(packed, path)
-    begins = _begins(path)
-    table = Symbols(_counted(learned, len(begins), lambda ids: ids[ids >= 0]), begins)
-    weights = A.initial(table.n, table.groups, table.log_group, table.log_inner)
-
-    def pairs(ids: np.ndarray) -> np.ndarray:
-        target, before = symbols(ids, table)
-        return before * table.n + target
-
-    # At most SYMBOLS squared rows.
-    bigram = _counted(learned, table.n * table.n, pairs).astype(np.float64).reshape(table.n, table.n)
-    bigram = (bigram + BIGRAM_PRIOR * table.unigram) / (bigram.sum(axis=1, keepdims=True) + BIGRAM_PRIOR)
-    for number in range(ROUNDS):
-        fitted = learned.mapInPandas(_fitting(table, weights, number), "trainer int, n long, weights binary")
-        weights = _averaged(fitted, weights)
-    return Model(table, weights, bigram)
+    """Fit the model; what the driver holds is of the size of the tokenizer's vocabulary or the model."""
+    enc = encoder(path)
+    begins = np.array([(enc.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(enc.vocabulary)])
+    table = Symbols(subword_counts(packed, len(begins)), begins)
+    flat = A.initial(table.counts[: table.n_first], table.counts[table.n_first :])
+    for number in range(len(ROUNDS)):
+        fitted = packed.select("chunk", "held", "packed").mapInPandas(_fitting(table, flat, number), "trainer int, n long, weights binary")
+        flat = _averaged(fitted, flat)
+    return Model(table, flat)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    path = tokenizer_path(tokenizer)
-    packed = chunks(docs)
-    counts = word_counts(packed)
-    prepare(docs.sparkSession, 2)
-    model = train(packed, path)
+def scored(packed: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens of every document of the chunks."""
     totals = counts.agg(F.sum("tokens"), F.sum("distinct")).first()
     n_train, n_distinct = int(totals[0] or 0), int(totals[1] or 0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, by SYMBOLS
+    shared = packed.sparkSession.sparkContext.broadcast(model)  # under a MB, by SYMBOLS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for batch in batches:
-            for doc_ids, held, texts, words in zip(batch["doc_ids"], batch["held"], batch["texts"], batch["words"], strict=True):
-                stream = Stream(_unpack(texts, len(held)), path)
-                held = np.asarray(held)
-                doc = np.repeat(np.arange(len(held)), stream.n_words)
-                # The chunk's own counts, replaced by the corpus's where they differ.
-                c = np.bincount(stream.word, weights=1 - held[doc], minlength=len(stream.hashes)) if len(doc) else np.zeros(0)
+            for doc_ids, words, (_, held, c) in zip(batch["doc_ids"], batch["words"], _each(iter([batch])), strict=True):
                 words = np.asarray(words, dtype=np.int64).reshape(-1, 2)
-                ends = words[words[:, 0] == END_HASH, 1]
-                words = words[words[:, 0] != END_HASH]
-                c[np.searchsorted(stream.hashes, words[:, 0])] = words[:, 1]
-                c_end = float(ends[0]) if len(ends) else 0.0
-                told, begins = m.score(stream)
-                log_told = np.log(told)
-                log_begins = np.log(begins)
-                ends_at = stream.end_at
-                word_log = np.zeros(len(doc))
-                if len(doc):
-                    # Subwords of a word run to the next word's first, or to the document's end.
-                    marks = np.sort(np.concatenate([stream.word_at, ends_at]))
-                    sums = np.add.reduceat(log_told.astype(np.float64), marks)
-                    own = np.searchsorted(marks, stream.word_at)
-                    word_log = sums[own] - log_begins[stream.word_at] + log_begins[marks[own + 1]]
-                end_log = log_told[ends_at].astype(np.float64) - log_begins[ends_at]
+                is_end = words[:, 0] == END
+                # The chunk's own counts, replaced by the corpus's where they differ.
+                n, n_end = c.learned(held), int(words[is_end, 1].sum())
+                n[words[~is_end, 0]] = words[~is_end, 1]
+                told, end_told = shared.value.log_told(c)
                 room = n_train + 0.1 * (n_distinct + 1)
-                base_word, base_end = np.log10((c[stream.word] + 0.1) / room) if len(doc) else np.zeros(0), math.log10((c_end + 0.1) / room)
-                share = lambda x: x / max(n_train, 1)
-                mixed = np.log10((1 - WORD_SHARE) * np.exp(word_log) + WORD_SHARE * share(c[stream.word])) if len(doc) else np.zeros(0)
-                mixed_end = np.log10((1 - WORD_SHARE) * np.exp(end_log) + WORD_SHARE * share(c_end))
+                with np.errstate(divide="ignore"):
+                    share, end_share = np.log(WORD_SHARE * n / max(n_train, 1)), float(np.log(WORD_SHARE * n_end / max(n_train, 1)))
+                mixed = np.logaddexp(math.log(1 - WORD_SHARE) + told, share[c.word]) / math.log(10)
+                end_mixed = np.logaddexp(math.log(1 - WORD_SHARE) + end_told, end_share) / math.log(10)
+                doc = np.repeat(np.arange(len(held)), c.n_words)
                 by_doc = lambda x: np.bincount(doc, weights=x, minlength=len(held))  # noqa: B023, E731
-                known = by_doc(c[stream.word] > 0) if len(doc) else np.zeros(len(held))
+                known, base = by_doc((n > 0)[c.word]).astype(np.int64) + (n_end > 0), by_doc(np.log10((n + 0.1) / room)[c.word])
                 ids = pd.array([None if x is None or x != x else int(x) for x in doc_ids], dtype="Int64")
-                yield pd.DataFrame({"doc_id": ids, "held_out": held == 1, "n_tokens": stream.n_words + 1, "n_known": known.astype(np.int64) + (c_end > 0), "base_score": by_doc(base_word) + base_end, "score": by_doc(mixed) + mixed_end})
+                yield pd.DataFrame({"doc_id": ids, "held_out": held == 1, "n_tokens": c.n_words.astype(np.int64) + 1, "n_known": known, "base_score": base + math.log10((n_end + 0.1) / room), "score": by_doc(mixed) + end_mixed})
+
+    prepare(packed.sparkSession, 1)
+    joined = packed.join(counts.select("chunk", "words"), "chunk").select("chunk", "doc_ids", "held", "packed", "words")
+    return joined.mapInPandas(run, _SCORES).withColumn("train_tokens", F.lit(n_train).cast("long"))
+
 
-    prepare(docs.sparkSession, 2)
-    scored = packed.join(counts.select("chunk", "words"), "chunk").select("doc_ids", "held", "texts", "words").mapInPandas(run, _SCORES)
-    return scored.withColumn("train_tokens", F.lit(n_train).cast("long"))
+def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    path = tokenizer_path(tokenizer)
+    packed = chunks(docs, path)
+    prepare(docs.sparkSession, 1)
+    counts = word_counts(packed)
+    return scored(packed, counts, train(packed, path))
 
 
 def report(docs: DataFrame) -> DataFrame:
