@@ -97,7 +97,7 @@ def linked(prints: dict, limit=2) -> dict:
     return {i: find(i) for i in ids}
 
 
-def attention_log10(model, encoder, words):
+def attention_log10(model, speller, words):
     """log10 of the attention model's probability of each word and the end, one position after another."""
     t, w = model.table, {k: v.astype(np.float64) for k, v in model.weights().items()}
 
@@ -110,7 +110,7 @@ def attention_log10(model, encoder, words):
         i = power(z @ w[kind][symbol // 32] + w[kind + "_bias"][symbol // 32])
         return g[symbol // 32] / g.sum() * i[symbol % 32] / i.sum()
 
-    ids = [np.frombuffer(x, "<u4") for x in encoder.encode_words([x.encode() for x in words])]
+    ids = [speller.spell([x.encode()])[1] for x in words]
     spelt = [[int(t.of[i]) for i in x] for x in ids] + [[t.end]]
     came = [[t.end], *spelt[:-1]]
     x = [w["came_first"][s[0]] + w["came_last"][s[-1]] for s in came]

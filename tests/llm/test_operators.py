@@ -153,7 +153,7 @@ def test_warc(spark):
 
 
 def test_language_model(table, docs):
-    path = tokenize.tokenizer_path("byte_bpe_50k.json")
+    path = tokenize.tokenizer_path("byte_bpe_50k.tiktoken")
     packed = lm.chunks(table, path)
     model = lm.train(packed, path)
     got = {r.doc_id: r for r in lm.scored(packed, lm.word_counts(packed), model).collect()}
@@ -166,7 +166,7 @@ def test_language_model(table, docs):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws) + 1, sum(counts[w] > 0 for w in [*ws, None]), total)
         assert r.base_score == pytest.approx(base)
-        told = brute.attention_log10(model, tokenize.encoder(path), ws[:300])
+        told = brute.attention_log10(model, lm.speller(path), ws[:300])
         if len(ws) <= 300:
             mixed = [math.log10((1 - lm.WORD_SHARE) * 10**x + lm.WORD_SHARE * counts[w] / total) for x, w in zip(told, [*ws, None], strict=True)]
             assert r.score == pytest.approx(sum(mixed), rel=1e-4)
@@ -175,7 +175,7 @@ def test_language_model(table, docs):
 
 def test_all_words_together_have_probability_one(spark):
     frame = spark.createDataFrame([(i, "aa bb " * 40) for i in range(1, 9)], "doc_id long, text string")
-    path = tokenize.tokenizer_path("byte_bpe_50k.json")
+    path = tokenize.tokenizer_path("byte_bpe_50k.tiktoken")
     packed = lm.chunks(frame, path)
     model = lm.train(packed, path)
     # Every way to spell at most one later symbol after the first, by the model's own symbols.
@@ -196,17 +196,29 @@ def test_all_words_together_have_probability_one(spark):
 def test_model_learns_from_every_learning_document(spark):
     text = "spruce snow road ditch water " * 30
     frame = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("text", F.lit(text))
-    path = tokenize.tokenizer_path("byte_bpe_50k.json")
+    path = tokenize.tokenizer_path("byte_bpe_50k.tiktoken")
     packed = lm.chunks(frame, path)
     model = lm.train(packed, path)
     rows, schema = packed.select("chunk", "held", "packed"), "trainer int, n long, weights binary"
     learning = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
-    seen = [r.n for number in range(len(lm.ROUNDS)) for r in rows.mapInPandas(lm._fitting(model.table, model.flat, number), schema).collect()]
+    seen = [r.n for number in range(len(lm.RATES)) for r in rows.mapInPandas(lm._fitting(model.table, model.flat, number), schema).collect()]
     assert sum(seen) == 151 * len(learning)  # the rounds together, each token once
     got = lm.report(frame).collect()
     assert any(r.held_out for r in got) and all(r.score > r.base_score for r in got)
 
 
+def test_spelt_words_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    tk = Tokenizer.from_file(tokenize.tokenizer_path("byte_bpe_50k.json"))
+    parts = ["the", "don't", "é", "12", "...", "中", "\u3000", "\xa0", "'s", "x", "🙂"]
+    for words in (["a", "stand", "x1"], ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(300)], []):
+        sizes, ids = lm.speller(tokenize.tokenizer_path("byte_bpe_50k.tiktoken")).spell([w.encode() for w in words], 50)
+        got = np.split(ids, np.cumsum(sizes)[:-1]) if len(words) else []
+        assert [g.tolist() for g in got] == [tk.encode(" " + w, add_special_tokens=False).ids for w in words]
+
+
 def test_a_very_long_word_has_a_score(spark):
     frame = spark.createDataFrame([(1, "x" * 30000 + " " + "ab" * 9000), (2, "x y"), (10, "q" * 70)], "doc_id long, text string")
     assert all(math.isfinite(r.score) and r.score < 0 for r in lm.report(frame).collect())

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-DIM, HIDDEN, BLOCK, GROUP = 16, 32, 16, 32
+DIM, HIDDEN, BLOCK, GROUP = 16, 16, 16, 32
 #: Exponents are held within this, so that no softmax needs its largest first.
 BOUND = 60
 _FAR = -1e4
@@ -216,14 +216,14 @@ def _rows(t: Tokens, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.nd
     sizes = np.diff(t.begin[low : high + 1])
     last = np.zeros(end - begin, dtype=bool)
     last[(t.begin[low + 1 : high + 1] - begin - 1)[sizes > 0]] = True
-    return t.symbols[begin:end], np.repeat(np.arange(high - low), sizes), last
+    return t.symbols[begin:end].astype(np.int64), np.repeat(np.arange(high - low), sizes), last
 
 
 def _window(t: Tokens, came: tuple[np.ndarray, np.ndarray], at: np.ndarray, low: int, high: int) -> list[np.ndarray]:
     """What came in blocks low to high - 1, led by the block before."""
     own = at[max(low - 1, 0) : high]
     own = own if low else np.concatenate([at[:1], own])
-    return [c[own] for c in came]
+    return [c[own].astype(np.int64) for c in came]
 
 
 def _ends(p: Weights, z: np.ndarray) -> np.ndarray:
@@ -245,7 +245,7 @@ def log_probabilities(p: Weights, t: Tokens, n_first: int, batch: int = 256) ->
         h, _ = _hidden(p, *_window(t, came, at, low, high), start[low:high])
         a, b = int(at[low, 0]), int(at[high - 1, -1]) + 1
         h = h[exists[low:high].reshape(-1)]
-        token[a:b] = np.log(_told(p, "first", h, t.first[a:b]))
+        token[a:b] = np.log(_told(p, "first", h, t.first[a:b].astype(np.int64)))
         said, own, last = _rows(t, a, b)
         z = h.take(own, axis=0)
         z += p["said"].take(said, axis=0)
@@ -283,7 +283,7 @@ def gradients(p: Weights, d: Weights, t: Tokens, came: tuple[np.ndarray, np.ndar
     lo, hi = int(at[low, 0]), int(at[high - 1, -1]) + 1
     there = np.flatnonzero(exists[low:high].reshape(-1))
     hs = h.take(there, axis=0)
-    dhs = _told_back(p, ready, d, "first", hs, t.first[lo:hi])
+    dhs = _told_back(p, ready, d, "first", hs, t.first[lo:hi].astype(np.int64))
     said, own, last = _rows(t, lo, hi)
     if len(said):
         # Symbols that another follows in their word, then the last ones.

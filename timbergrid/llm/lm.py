@@ -11,7 +11,8 @@ Documents whose crc32(doc_id as text) mod 10 is not 0 are learned from; all are
    other ids that begin a word and one for those that don't; an escaped id has its share of the escape's count.
 4. All learning documents train the attention model, each once. Each task that reads chunks is a trainer, so there are
    as many as the input asks for. A trainer runs Adam from common weights through windows in random order, and the
-   weights are averaged in a tree: first after a quarter of every chunk, then, from that average, after the rest.
+   weights are averaged in a tree: first after one document in ``ROUND`` of every chunk, then, from that average, after
+   the others.
 5. A chunk is scored in overlapping context windows, each token once, by batched masked attention. The model's
    probability of a token mixes that of its spelling, by attention, with the token's share of the learning tokens,
    which has a weight of ``WORD_SHARE``.
@@ -38,14 +39,14 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from . import scratch
-from .tokenize import encoder, tokenizer_path
+from .tokenize import tokenizer_path
 from .workers import prepare
 
 CHUNK_BYTES, SYMBOLS, WORD_SHARE = 8 << 20, 1024, 0.25
-#: Parts of a chunk's windows that the rounds of training take, and Adam's rate.
-ROUNDS, RATE = ((0.0, 0.25), (0.25, 1.0)), 0.01
+#: The first round of training takes one in so many documents, the second the others; and Adam's rates in the rounds.
+ROUND, RATES = 4, (0.05, 0.025)
 #: Blocks of a step, fewer where a chunk has less than ``LEAST_STEPS`` such.
-STEP_BLOCKS, LEAST_STEPS = 256, 64
+STEP_BLOCKS, LEAST_STEPS = 512, 64
 #: In the place of a word's number: no word, the end of a document.
 END = -1
 
@@ -84,6 +85,47 @@ class Chunk:
         return np.bincount(self.word[np.repeat(held == 0, self.n_words)], minlength=len(self.hashes))
 
 
+class Speller:
+    """Words as subword ids of a file of byte-level ranks, each word as it stands after a space."""
+
+    def __init__(self, path: str) -> None:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.begins = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.begins[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
+        self.encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def spell(self, words: list[bytes], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids end to end."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for k in range(0, len(words), at_once):
+            some = words[k : k + at_once]
+            got = np.array(self.encode((b" " + b" ".join(some)).decode("utf-8", "replace")), dtype=np.uint32)
+            begin = np.flatnonzero(self.begins[got])
+            if len(begin) == len(some) and begin[0] == 0:
+                sizes.append(np.diff(np.append(begin, len(got))))
+                ids.append(got)
+            else:  # white space beyond ASCII joins words: one by one
+                each = [np.array(self.encode(" " + w.decode("utf-8", "replace")), dtype=np.uint32) for w in some]
+                sizes.append(np.array([len(e) for e in each]))
+                ids += each
+        return np.concatenate(sizes), np.concatenate(ids)
+
+
+_spellers: dict[str, Speller] = {}
+
+
+def speller(path: str) -> Speller:
+    if path not in _spellers:
+        _spellers[path] = Speller(path)
+    return _spellers[path]
+
+
 class Packer:
     """Documents on their way into a chunk."""
 
@@ -106,11 +148,10 @@ class Packer:
         from xxhash import xxh3_64_intdigest
 
         distinct = list(self.numbers)
-        coded = encoder(self.path).encode_words(distinct)
+        sizes, ids = speller(self.path).spell(distinct)
         hashes = np.fromiter(map(xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct)).view(np.int64)
-        sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
         word = np.concatenate(self.word) if self.word else np.zeros(0, np.int32)
-        return Chunk(np.array([len(w) for w in self.word]), word, hashes, sizes, np.frombuffer(b"".join(coded), "<u4"))
+        return Chunk(np.array([len(w) for w in self.word]), word, hashes, sizes, ids)
 
 
 def chunks(docs: DataFrame, path: str) -> DataFrame:
@@ -199,15 +240,16 @@ class Symbols:
     def tokens(self, c: Chunk, of: np.ndarray) -> A.Tokens:
         """The documents of a chunk for which ``of`` is true."""
         word, n = c.word[np.repeat(of, c.n_words)], c.n_words[of].astype(np.int64)
-        symbol, begin, sizes = self.of[c.ids].astype(np.int64), np.cumsum(c.sizes) - c.sizes, c.sizes.astype(np.int64)
+        symbol, begin, sizes = self.of[c.ids], (np.cumsum(c.sizes) - c.sizes).astype(np.int32), c.sizes
         is_word = np.ones(len(word) + len(n), dtype=bool)
         is_word[np.cumsum(n + 1) - 1] = False
-        each = np.zeros(len(is_word) + 1, dtype=np.int64)
+        each = np.zeros(len(is_word) + 1, dtype=np.int32)
         each[1:][is_word] = sizes[word]
-        first, last = np.full((2, len(is_word)), self.end, dtype=np.int64)
+        first, last = np.full((2, len(is_word)), self.end, dtype=np.int32)
         first[is_word], last[is_word] = symbol[begin[word]], symbol[begin[word] + sizes[word] - 1]
-        begins = np.cumsum(each)
-        take = np.arange(begins[-1]) + np.repeat(begin[word] - begins[:-1][is_word], sizes[word])
+        begins = np.cumsum(each, dtype=np.int32)
+        take = np.arange(begins[-1], dtype=np.int32)
+        take += np.repeat(begin[word] - begins[:-1][is_word], sizes[word])
         return A.Tokens(n + 1, first, last, begins, symbol[take], self.end)
 
 
@@ -228,7 +270,7 @@ class Model:
         is_word[end_at] = False
         told = token[is_word].astype(np.float64)
         if len(told):
-            told += np.add.reduceat(symbol.astype(np.float64), t.begin[:-1][is_word])
+            told += np.add.reduceat(symbol, t.begin[:-1][is_word], dtype=np.float64)
             share = np.add.reduceat(self.table.log_share[c.ids], np.cumsum(c.sizes) - c.sizes)
             told += share[c.word]
         return told, token[end_at].astype(np.float64)
@@ -240,15 +282,14 @@ def _fitting(table: Symbols, start: np.ndarray, number: int) -> Callable:
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat, of, seen = start.copy(), A.shapes(table.n_first, table.n_later), 0
         g = np.zeros_like(flat)
-        p, d, adam = A.views(flat, of), A.views(g, of), A.Adam(flat, RATE / (1 + number))
+        p, d, adam = A.views(flat, of), A.views(g, of), A.Adam(flat, RATES[number])
         for chunk, held, c in _each(batches):
-            t = table.tokens(c, held == 0)
+            t = table.tokens(c, (held == 0) & ((np.arange(len(held)) % ROUND == 0) == (number == 0)))
             placed, came = A.blocks(t.counts), t.came()
             n = len(placed[0])
             step = min(STEP_BLOCKS, max(16, n // LEAST_STEPS))
             lows = np.random.default_rng(chunk).permutation(np.arange(0, n, step))
-            begin, end = (round(x * len(lows)) for x in ROUNDS[number])
-            for low in lows[begin:end].tolist():
+            for low in lows.tolist():
                 tokens = A.gradients(p, d, t, came, placed, low, min(low + step, n), table.n_first)
                 g *= np.float32(1 / tokens)
                 adam.step(g)
@@ -280,11 +321,10 @@ def _averaged(rows: DataFrame, start: np.ndarray) -> np.ndarray:
 
 def train(packed: DataFrame, path: str) -> Model:
     """Fit the model; what the driver holds is of the size of the tokenizer's vocabulary or the model."""
-    enc = encoder(path)
-    begins = np.array([(enc.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(enc.vocabulary)])
+    begins = speller(path).begins
     table = Symbols(subword_counts(packed, len(begins)), begins)
     flat = A.initial(table.counts[: table.n_first], table.counts[table.n_first :])
-    for number in range(len(ROUNDS)):
+    for number in range(len(RATES)):
         fitted = packed.select("chunk", "held", "packed").mapInPandas(_fitting(table, flat, number), "trainer int, n long, weights binary")
         flat = _averaged(fitted, flat)
     return Model(table, flat)
@@ -324,7 +364,7 @@ def scored(packed: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     return joined.mapInPandas(run, _SCORES).withColumn("train_tokens", F.lit(n_train).cast("long"))
 
 
-def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     path = tokenizer_path(tokenizer)
     packed = chunks(docs, path)
     prepare(docs.sparkSession, 1)
