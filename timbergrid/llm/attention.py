@@ -234,7 +234,7 @@ def _ends(p: Weights, z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp2(e))
 
 
-def log_probabilities(p: Weights, t: Tokens, n_first: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def log_probabilities(p: Weights, t: Tokens, n_first: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each token but for what is below, and of each symbol but the first of its word, with
     the word's going on before it and its end after the last. A token's own part is that of its first symbol."""
     at, exists, start = blocks(t.counts)

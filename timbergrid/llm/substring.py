@@ -11,15 +11,17 @@ one shard and every other shard can be left alone.
 3. Those words go to shards by minimizer. A minimizer that occurs more than ``CROWD`` times is dealt window by window,
    by the hash of the window's words, and equal windows are one row with the sum of their weights. So a passage of the
    whole corpus spreads over all shards, and each of its windows is indexed once, whatever stands around it.
-4. In a shard a compressed, weighted FM-index is built, and its stretches are streamed through it: backward search
-   over the wavelet matrix gives matching statistics, and intervals of ``WINDOW`` words or more whose weight is at
-   least two are reported as a mask of window starts.
-5. Masks return to all occurrences and are gathered by document; words under a reported window go.
+4. From each shard's stretches a weighted FM-index is built and stored, compressed, in the shared folder.
+5. The documents' stretches are streamed through their shard's stored index: backward search over the wavelet matrix
+   gives matching statistics, and intervals of ``WINDOW`` words or more whose weight is at least two are reported as a
+   mask of window starts.
+6. Masks return to all occurrences and are gathered by document; words under a reported window go.
 
-Windows are judged on the input alone. Words are compared by 32-bit hashes, position by position over 35 words.
+Windows are judged on the input alone. Words are compared by 64-bit hashes, position by position over 35 words.
 
 Defined results: null texts have no words; texts of fewer words than a window keep them all; repeated rows repeat each
-other; a document may repeat itself; very long texts are handled in stretches; an empty table gives an empty result.
+other; a document may repeat itself; very long texts are handled in stretches; an empty table gives an empty result;
+columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,9 +57,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    from zlib import crc32
+    from xxhash import xxh3_64_intdigest
 
-    return np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 class Spans:
@@ -70,7 +72,7 @@ class Spans:
         power[0] = inverse[0] = 1
         self.inverse = np.multiply.accumulate(inverse)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_mix(words.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[:n], out=self.sums[1:])
+        np.cumsum(_mix(words + np.uint64(1)) * np.multiply.accumulate(power)[:n], out=self.sums[1:])
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[begin]) * self.inverse[begin])
@@ -168,13 +170,23 @@ def _indexed(contents: DataFrame) -> DataFrame:
     return contents.where("not crowded").select(*names).unionByName(windows.select(*names))
 
 
-def _search(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.drop_duplicates(["minimizer", "whole", "crowded"])
-    lengths = np.array([len(w) // 4 for w in group["words"]], dtype=np.int64)
-    index = fmindex.FMIndex(np.frombuffer(b"".join(group["words"]), dtype=np.uint32), lengths, group["weight"].to_numpy(dtype=np.int64))
-    masks = fmindex.repeated_windows(index, lengths, WINDOW)
-    found = masks != 0
-    return pd.DataFrame({"minimizer": group["minimizer"][found], "whole": group["whole"][found], "mask": _signed(masks[found]), "crowded": group["crowded"][found]})
+def _words(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The words of stretches end to end, and how many each has."""
+    return np.frombuffer(b"".join(group["words"]), dtype=np.uint64), np.array([len(w) // 8 for w in group["words"]], dtype=np.int64)
+
+
+def _build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    index = fmindex.FMIndex.built(*_words(group), group["weight"].to_numpy(dtype=np.int64))
+    return pd.DataFrame({"shard": [key[0]], "image": [index.image()]})
+
+
+def _search(group: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
+    names = ["minimizer", "whole", "mask", "crowded"]
+    if not len(group):
+        return pd.DataFrame(columns=names)
+    words, lengths = _words(group)
+    masks = fmindex.repeated_windows(fmindex.FMIndex.read(images["image"].iloc[0]), words, lengths, WINDOW)
+    return group.assign(mask=_signed(masks)).loc[masks != 0, names]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -186,11 +198,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     supplier = F.min(F.struct("id", "h", "n", "start", "windows")).alias("s")
     named = live.groupBy("minimizer", "whole", "crowded").agg(F.count(F.lit(1)).alias("weight"), supplier).select("minimizer", "whole", "crowded", "weight", "s.*")
     contents = scratch.materialize(_contents(docs, named), "stretch-words")
-    indexed = scratch.materialize(_indexed(contents), "stretches-to-index")
-    total = indexed.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
+    indexed = _indexed(contents).dropDuplicates(["minimizer", "whole", "crowded"])
+    total = contents.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
     dealt = indexed.withColumn("shard", F.pmod(F.xxhash64("dealt_by"), F.lit(shards)).cast("int"))
-    masks = scratch.materialize(dealt.groupBy("shard").applyInPandas(_search, "minimizer long, whole long, mask long, crowded boolean"), "masks")
+    dealt = scratch.materialize(dealt, "stretches-to-index")
+    indexes = scratch.materialize(dealt.groupBy("shard").applyInPandas(_build, "shard int, image binary"), "fm-indexes")
+    streamed = dealt.groupBy("shard").cogroup(indexes.groupBy("shard"))
+    masks = scratch.materialize(streamed.applyInPandas(_search, "minimizer long, whole long, mask long, crowded boolean"), "masks")
     windows = masks.where("crowded").select(F.col("minimizer").alias("dealt_by"), F.col("whole").alias("same"))
     crowd = contents.where("crowded").select("minimizer", "whole", "offset", "dealt_by", F.xxhash64("words").alias("same"))
     again = crowd.join(windows, ["dealt_by", "same"]).select("minimizer", "whole", F.expr("shiftleft(1L, offset)").alias("mask"))
