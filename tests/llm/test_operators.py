@@ -299,7 +299,7 @@ def test_powers_join_whole_exponents_by_lines():
     assert np.allclose(got, 2**whole * (1 + x - whole), rtol=1e-4)
 
 
-def test_decontamination(spark, table, docs):
+def test_decontamination(spark, table, docs, monkeypatch):
     texts = dict(docs)
     long = " ".join(texts[40].split()[25:50])
     items = [(1, long), (2, long.upper()), (3, "Stand! of, the9"), (4, None), (5, "..."), (None, texts[5][:80]), (7, "never seen words here " * 5), (1, long)]
@@ -311,6 +311,9 @@ def test_decontamination(spark, table, docs):
     assert decontam.keep(table, frame).count() == got.where("not contaminated").count()
     assert decontam.report(table, frame.limit(0)).where("n_hit = 0").count() == len(docs)
     assert decontam.report(table.limit(0), frame).count() == 0
+    # Many blocks, and words that are not broadcast, give the same.
+    monkeypatch.setattr(decontam, "BLOCK_ROWS", 40)
+    assert rows(decontam.report(table, frame), *names) == sorted(brute.contamination(docs, items), key=str)
 
 
 def test_simhash(table, docs, monkeypatch):
@@ -324,6 +327,16 @@ def test_simhash(table, docs, monkeypatch):
     assert simhash.report(table.limit(0)).count() == 0
 
 
+def test_the_row_that_stays_is_the_same_in_any_order(spark):
+    text = "one two three four five"
+    said = [(1, text, "b", 7), (1, text, "a", 7), (1, text, None, 7), (2, text, "c", 7), (None, "", "d", 7), (None, "", "d", 7)]
+    for order in (said, said[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, _root string, rows long")
+        kept = simhash.keep(frame)
+        assert kept.dtypes == frame.dtypes
+        assert rows(kept, "doc_id", "_root", "rows") == [(1, "a", 7), (None, "d", 7)]
+
+
 def test_links_of_near_fingerprints(spark, monkeypatch):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(6)]
