@@ -11,7 +11,8 @@ A key is told by 96 bits of hash (64-bit xxHash and 32-bit Murmur3).
 
 Defined results: a null or empty text is one empty line; lines whose key is empty are never dropped; each row counts as
 a document, repeated rows too; very long texts are processed whole, a row's line positions being its own; null doc_ids
-and ties need no rule, as every line of a common key goes; an empty table gives an empty result.
+and ties need no rule, as every line of a common key goes; an empty table gives an empty result; ``report`` ignores
+other columns, ``clean`` carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,29 +46,68 @@ def _hashes(text: Column, min_chars: int) -> Column:
 
 
 class RunStore:
-    """Levelled runs of (h, g, n)."""
+    """Levelled runs of (h, g, n).
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT) -> None:
+    Each run is a table in a folder of the store's; ``save`` writes which there are, and ``open`` takes them up again,
+    in this session or another, for the next batch.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT, folder: str | None = None) -> None:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.levels: list[list[str]] = []
+        self.folder = folder or scratch.new_path(spark, "runs")
         self.name = f"timbergrid_run_{uuid.uuid4().hex}"
         self.written = 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def save(self) -> None:
+        """A new version of the store's list of runs; readers take the latest."""
+        listed = [(level, run.removeprefix(self.name)) for level, runs in enumerate(self.levels) for run in runs]
+        rows = self.spark.createDataFrame([(self.name, self.written, self.min_docs, self.fanout, self.buckets, level, run) for level, run in listed], "name string, written int, min_docs int, fanout int, buckets int, level int, run string")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/list")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> RunStore:
+        rows = spark.read.parquet(f"{folder}/list").orderBy("level", "run").collect()  # as many as there are runs
+        rows = [r for r in rows if r["written"] == max(x["written"] for x in rows)]
+        store = cls(spark, rows[0]["min_docs"], rows[0]["fanout"], folder)
+        store.name, store.written, store.buckets = rows[0]["name"], rows[0]["written"], rows[0]["buckets"]
+        for r in rows:
+            run = store.name + r["run"]
+            if not spark.catalog.tableExists(run):
+                spark.sql(f"CREATE TABLE {run} (h BIGINT, g INT, n BIGINT) USING parquet CLUSTERED BY (h, g) SORTED BY (h, g) INTO {store.buckets} BUCKETS LOCATION '{folder}/{run}'")
+            while len(store.levels) <= r["level"]:
+                store.levels.append([])
+            store.levels[r["level"]].append(run)
+        return store
+
+    def forget(self) -> None:
+        """Take the runs out of the session's catalog; their files stay until the folder goes."""
+        for level in self.levels:
+            for run in level:
+                self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self.levels = []
+
     def _write(self, run: DataFrame) -> str:
         name = f"{self.name}_{self.written}"
         self.written += 1
-        run.repartition(self.buckets, "h", "g").write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").format("parquet").option("path", scratch.new_path(self.spark, "run")).saveAsTable(name)
+        run.repartition(self.buckets, "h", "g").write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(x) for level in self.levels for x in level]
 
     def _sum(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs merged two by two: both are sorted by the key, and equal keys' counts add up.
+
+        Not a union that is grouped: Spark 4.1 takes a union of bucketed tables for one that is dealt by their key,
+        leaves out the shuffle and gives a key once for each table.
+        """
         merged = runs[0]
-        for r in runs[1:]:
-            merged = merged.unionByName(r)
-        return merged.groupBy("h", "g").agg(F.sum("n").alias("n"))
+        for run in runs[1:]:
+            other = run.select("h", "g", F.col("n").alias("more"))
+            merged = merged.join(other, ["h", "g"], "full").select("h", "g", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+        return merged
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: (h, g, n), one row for each key."""
@@ -100,7 +140,9 @@ def common_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     store = RunStore(spark, min_docs)
     for b in range(batches):
         store.add(counts.where(F.col("batch") == b).drop("batch"))
-    return scratch.materialize(store.common(), "common-lines")
+    common = scratch.materialize(store.common(), "common-lines")
+    store.forget()
+    return common
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
