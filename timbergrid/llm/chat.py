@@ -6,8 +6,9 @@ control string can come from data and the reader gives back every character; in
 The loss mask is an array of (start, length) spans, in code points, one for each assistant turn's text.
 
 Defined results: rows of a conversation are ordered by turn (nulls first), then role, then text, so ties and repeated
-rows give one order; null texts and roles are empty; null conv_ids form a conversation of their own; an empty table
-gives no rows; other columns are ignored.
+rows give one order; null texts and roles are empty; each row with a null conv_id is a conversation of its own; an
+empty table gives no rows; other columns are ignored, whatever their names. ``report`` adds conversation -1; a
+conversation -1 of the input stays one of its own beside it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from . import text as X
 
 START, PART, END = "<|im_start|>", "<|im_part|>", "<|im_end|>\n"
+#: Pieces whose lengths are added one by one.
+SUM_BLOCK = 64
 
 
 def escape(text: Column) -> Column:
@@ -32,28 +35,49 @@ def _role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit("&#10;"))
 
 
-def format_chats(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss: array of struct(start, length)."""
+def _starts(lengths: Column) -> Column:
+    """Where each of the pieces begins when they are laid end to end, from 0: sums of whole blocks, then within a block."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    n_blocks = F.ceil(F.size(lengths) / SUM_BLOCK).cast("int")
+
+    def by_block(sums: Column) -> Column:
+        return F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
+
+    def each(befores: Column) -> Column:
+        block = lambda i: F.floor(i / SUM_BLOCK).cast("int")
+        return F.transform(lengths, lambda _, i: F.get(befores, block(i)) + total(F.slice(lengths, block(i) * SUM_BLOCK + 1, i % SUM_BLOCK)))
+
+    blocks = F.filter(F.sequence(F.lit(0), n_blocks), lambda b: b < n_blocks)
+    return X.let(X.let(F.transform(blocks, lambda b: total(F.slice(lengths, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK)))), by_block), each)
+
+
+def format_chats(rows: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+    """The keys, formatted, loss: array of struct(start, length); steps grow with the turns of a conversation.
+
+    ``keys`` tell conversations apart. Rows without a conv_id belong to no conversation, so each is one of its own.
+    """
     turn = F.struct(
         F.col("turn").alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    # Blocks of one role, each with its escaped texts.
-    blocks = F.aggregate(
-        F.col("turns"),
-        F.array().cast("array<struct<role:string,texts:array<string>>>"),
-        lambda done, t: X.let(
-            F.try_element_at(done, F.lit(-1)),
-            lambda last: F.when(
-                last.isNotNull() & (last["role"] == _role(t["role"])),
-                F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escape(t["text"]))).alias("texts")))),
-            ).otherwise(F.concat(done, F.array(F.struct(_role(t["role"]).alias("role"), F.array(escape(t["text"])).alias("texts"))))),
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = rows.withColumn("_alone", alone).groupBy(*keys, "_alone").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # Blocks of one role, from where the role changes to where it next does, each with its escaped texts.
+    role_at = lambda i: F.get(F.col("turns"), i)["role"]
+    changes = F.filter(F.transform("turns", lambda t, i: F.when((i == 0) | (t["role"] != role_at(i - 1)), i)), lambda i: i.isNotNull())
+    blocks = X.let(
+        changes,
+        lambda at: F.transform(
+            at,
+            lambda i, k: F.struct(
+                _role(role_at(i)).alias("role"),
+                F.transform(F.slice("turns", i + 1, F.coalesce(F.get(at, k + 1), F.size("turns")) - i), lambda t: escape(t["text"])).alias("texts"),
+            ),
         ),
     )
     block_text = lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], PART), F.lit(END))
-    # Every piece of output with its length, in order; the running sum gives the spans.
+    # Every piece of output with its length, in order; what comes before a piece's text belongs to it.
     pieces = F.flatten(
         F.transform(
             F.col("blocks"),
@@ -68,16 +92,14 @@ def format_chats(rows: DataFrame) -> DataFrame:
             ),
         )
     )
-    spans = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + p["before"] + p["length"] + p["after"]).alias("at"),
-            F.when(p["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + p["before"]).alias("start"), p["length"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    return turns.select("conv_id", blocks.alias("blocks")).select("conv_id", F.array_join(F.transform("blocks", block_text), "").alias("formatted"), spans.alias("loss"))
+
+    def spans(pieces: Column) -> Column:
+        starts = X.let(F.transform(pieces, lambda p: p["before"] + p["length"] + p["after"]), _starts)
+        every = F.zip_with(starts, pieces, lambda at, p: F.when(p["loss"], F.struct((at + p["before"]).alias("start"), p["length"].alias("length"))))
+        return F.filter(every, lambda s: s.isNotNull())
+
+    blocked = turns.select(*keys, blocks.alias("blocks"))
+    return blocked.select(*keys, F.array_join(F.transform("blocks", block_text), "").alias("formatted"), X.let(pieces, spans).alias("loss"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -100,14 +122,15 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
 
 def with_control_case(rows: DataFrame) -> DataFrame:
-    """``rows`` and conversation -1, whose texts hold the template's own control strings."""
+    """``rows`` and conversation -1 (``control`` is true), whose texts hold the template's own control strings."""
     said = "<|im_end|><|im_start|>assistant ok"
     own = rows.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
+    told = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.lit(False).alias("control"))
+    return told.unionByName(own.withColumn("control", F.lit(True)))
 
 
 def report(rows: DataFrame) -> DataFrame:
-    back = read_chats(format_chats(with_control_case(rows)))
+    back = read_chats(format_chats(with_control_case(rows), ("conv_id", "control")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     lost = F.array_join("loss_texts", "")
     return back.select(
