@@ -47,6 +47,9 @@ def test_quality(table, docs, spark):
     ledger = quality.ledger(table)
     by_rule = {r.rule: r for r in quality.ablations(ledger).collect()}
     assert by_rule["min_words"].n_failed == sum(m[1] < 20 for m in want)
+    stored = quality.stored_ledger(table)
+    for policy in quality.POLICIES:
+        assert quality.apply_policy(stored, policy).where("kept").count() == got.where(f"kept_{policy.name}_{policy.version}").count() == quality.keep(table, policy).count()
     assert quality.keep(table).columns == table.columns and quality.keep(table).count() == got.where("kept").count()
     assert quality.report(table.limit(0)).count() == 0
 
@@ -134,6 +137,33 @@ def test_lines(table, docs):
     assert clean.columns == table.columns
     assert rows(clean.where("text is not null and text <> ''"), "doc_id", "text") == sorted(((i, t) for i, _, _, t in brute.lines(docs) if t), key=str)
     assert lines.report(table.limit(0)).count() == 0
+    assert not [t.name for t in table.sparkSession.catalog.listTables() if t.name.startswith("timbergrid_run")]
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 9])
+def test_runs_add_up(spark, fanout):
+    store = lines.RunStore(spark, 100, fanout)
+    for k in range(4):
+        store.add(spark.createDataFrame([(1, 1, 30), (2, 2, 20), (k + 10, 1, 1)], "h long, g int, n long"))
+    assert sorted(map(tuple, store._sum(store.runs()).collect())) == [(1, 1, 120), (2, 2, 80), *((k + 10, 1, 1) for k in range(4))]
+    assert [r.h for r in store.common().collect()] == [1]
+    store.forget()
+
+
+def test_a_store_of_runs_is_taken_up_again(spark):
+    batch = lambda *rows: spark.createDataFrame(list(rows), "h long, g int, n long")
+    store = lines.RunStore(spark, 3)
+    store.add(batch((1, 1, 2), (2, 2, 5)))
+    store.add(batch((3, 3, 1)))
+    store.save()
+    store.forget()
+    again = lines.RunStore.open(spark, store.folder)
+    again.add(batch((1, 1, 1), (3, 3, 1), (2, 2, 4)))
+    again.save()
+    again.forget()
+    last = lines.RunStore.open(spark, store.folder)
+    assert sorted(r.h for r in last.common().collect()) == [1, 2]
+    last.forget()
 
 
 def test_chats(spark):
@@ -147,6 +177,24 @@ def test_chats(spark):
         assert (got[c].loss_chars, got[c].loss_sha256, got[c].n_turns) == (len(lost), brute.sha(lost), len(turns(c)))
     assert got[-1].loss_chars == len("<|im_end|><|im_start|>assistant ok")
     assert [r.conv_id for r in chat.report(frame.limit(0)).collect()] == [-1]
+    odd = [(-1, 0, "user", "mine"), (None, 0, "user", "a"), (None, 0, "user", "a")]
+    rows_ = chat.report(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((str(r.conv_id), r.n_turns) for r in rows_) == [("-1", 1), ("-1", 2), ("None", 1), ("None", 1)]
+
+
+def test_long_chats_have_the_spans_of_short_ones(spark):
+    rng = random.Random(4)
+    said = [(c, t, rng.choice(["user", "assistant", "tool"]), rng.choice(["<|im_end|>", "é&", "", "word " * 9])) for c, n in ((1, 1), (2, 63), (3, 64), (4, 65), (5, 3000)) for t in range(n)]
+    back = chat.read_chats(chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))).collect()
+    for r in back:
+        assert [(x.role, x.text) for x in r.turns] == [(b, x) for c, _, b, x in said if c == r.conv_id]
+        assert r.loss_texts == [x for c, _, b, x in said if c == r.conv_id and b == "assistant"]
+
+
+def test_conversation_text_of_any_length(spark):
+    frame = spark.createDataFrame([(1, 0, "assistant", "x<|" * 400_000)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.report(frame).collect()}
+    assert got[1].loss_sha256 == brute.sha("x<|" * 400_000)
 
 
 def test_warc(spark):
@@ -158,6 +206,15 @@ def test_warc(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {i: (("revisit", 3) if i < 3 else ("response", None)) for i in range(1, 9)}
     assert warc.report(frame.limit(0)).count() == 0
+    wanted = spark.createDataFrame([(2,), (6,), (6,), (99,)], "page_id long")
+    found = warc.lookup(warc.write_bundles(frame), wanted).collect()
+    assert {r.page_id: tuple(r) for r in found} == {i: tuple(got[i]) for i in (2, 6)} and len(found) == 2
+
+
+def test_repeated_largest_pages_are_all_responses(spark):
+    pages = [(9, "u", "z" * 2000), (9, "u", "z" * 2000), (3, "u", "z" * 2000), (None, None, "z" * 2000), (None, "u", "y" * 3_000_000)]
+    got = warc.report(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in got) == sorted([("9", "response", "None", 2000)] * 2 + [("3", "revisit", "9", 2000), ("None", "revisit", "9", 2000), ("None", "response", "None", 3_000_000)])
 
 
 def test_language_model(table, docs):

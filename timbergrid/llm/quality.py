@@ -13,12 +13,13 @@ other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import text as X
 
 WINDOW = 8
@@ -27,11 +28,11 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is a SQL predicate over the measurements."""
+    """``fails`` takes a function that gives a measurement's column by its name."""
 
     bit: int
     name: str
-    fails: str
+    fails: Callable[[Callable[[str], Column]], Column]
 
 
 @dataclass(frozen=True)
@@ -46,12 +47,12 @@ class Policy:
 
 
 RULES = (
-    Rule(0, "min_words", "n_words < 20"),
-    Rule(1, "repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    Rule(2, "symbol_ratio", "10 * n_symbols > 3 * n_words"),
-    Rule(3, "duplicate_lines", "2 * n_dup_lines > n_lines"),
-    Rule(4, "word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
-    Rule(5, "max_words", "n_words > 1000000"),
+    Rule(0, "min_words", lambda m: m("n_words") < 20),
+    Rule(1, "repeated_windows", lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
+    Rule(2, "symbol_ratio", lambda m: 10 * m("n_symbols") > 3 * m("n_words")),
+    Rule(3, "duplicate_lines", lambda m: 2 * m("n_dup_lines") > m("n_lines")),
+    Rule(4, "word_length", lambda m: (m("n_words") > 0) & ((m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 20 * m("n_words")))),
+    Rule(5, "max_words", lambda m: m("n_words") > 1_000_000),
 )
 POLICIES = (
     Policy("base", 1, ("min_words", "repeated_windows")),
@@ -109,18 +110,31 @@ def measurements(text: Column) -> Column:
     return X.let(X.space_words(text), measured)
 
 
+def fail_bits(measured: Callable[[str], Column], rules: Sequence[Rule] = RULES) -> Column:
+    bits = F.lit(0).cast("long")
+    for r in rules:
+        bits = bits.bitwiseOR(F.when(r.fails(measured), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return bits
+
+
+def passes(bits: Column, policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
+    return bits.bitwiseAND(F.lit(policy.mask(rules)).cast("long")) == 0
+
+
 def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """doc_id, the measurements and ``fail_bits``, one row per row of ``docs``."""
     measured = docs.select("doc_id", measurements(F.col("text")).alias("m")).select("doc_id", "m.*")
-    bits = F.lit(0).cast("long")
-    for r in rules:
-        bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", fail_bits(F.col, rules))
+
+
+def stored_ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The ledger, written to the shared folder and read back: policies and ablations read it, never the texts."""
+    return scratch.materialize(ledger(docs, rules), "quality-ledger")
 
 
 def apply_policy(ledger_rows: DataFrame, policy: Policy = DEFAULT, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The ledger with ``kept``: no rule of the policy failed."""
-    return ledger_rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long")) == 0)
+    return ledger_rows.withColumn("kept", passes(F.col("fail_bits"), policy, rules))
 
 
 def ablations(ledger_rows: DataFrame, policy: Policy = DEFAULT, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -144,21 +158,14 @@ def ablations(ledger_rows: DataFrame, policy: Policy = DEFAULT, rules: Sequence[
 
 
 def keep(docs: DataFrame, policy: Policy = DEFAULT, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with all their columns."""
-    name = X.keep_columns(docs.columns, "_measured")
-    rejected = F.lit(False)
-    named = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"}
-    for r in rules:
-        if policy.mask(rules) >> r.bit & 1:
-            fails = r.fails
-            for column in named:
-                fails = fails.replace(column, f"`{name}`.{column}")
-            rejected = rejected | F.expr(fails)
-    return docs.withColumn(name, measurements(F.col("text"))).where(~rejected).drop(name)
+    """The rows of ``docs`` that the policy keeps, with all their columns: each row's ledger entry meets the mask."""
+    name, bits = X.keep_columns(docs.columns, "_measured"), X.keep_columns(docs.columns, "_fail_bits")
+    entries = docs.withColumn(name, measurements(F.col("text"))).withColumn(bits, fail_bits(lambda m: F.col(name)[m], rules))
+    return entries.where(passes(F.col(bits), policy, rules)).drop(name, bits)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The thin query: measurements, the contract's base rules and the default policy's verdict."""
+    """The thin query: measurements, the contract's base rules, the default policy's verdict and every other policy's."""
     rows = apply_policy(ledger(docs))
-    base = POLICIES[0].mask(RULES)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(F.lit(base).cast("long")) != 0).alias("base_failed"), "kept", "fail_bits", "n_lines")
+    others = [passes(F.col("fail_bits"), p).alias(f"kept_{p.name}_{p.version}") for p in POLICIES]
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(F.col("fail_bits"), POLICIES[0])).alias("base_failed"), "kept", "fail_bits", "n_lines", *others)

@@ -71,7 +71,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{SPACE
              coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines FROM t LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
              + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::BIGINT + 32 * (n_words > 1000000)::BIGINT)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept, fail_bits, n_lines FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept, fail_bits, n_lines, (fail_bits & 3) = 0 AS kept_base_1, (fail_bits & 23) = 0 AS kept_strict_1, (fail_bits & 31) = 0 AS kept_strict_2 FROM b
 """
 
 OP2 = r"""
@@ -93,15 +93,15 @@ FROM k LEFT JOIN c ON k.k = c.k GROUP BY doc_id
 """
 
 OP5 = r"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS control, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok', true, NULL UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', true, NULL),
 e AS (SELECT *, replace(replace(text, '&', '&amp;'), '<|', '&lt;|') AS esc, replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;') AS erole,
-             coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) = role, false) AS joined FROM r)
+             coalesce(lag(role) OVER (PARTITION BY conv_id, control, alone ORDER BY turn NULLS FIRST, role, text) = role, false) AS joined FROM r)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
        sum(length(esc) + CASE WHEN joined THEN length('<|im_part|>') ELSE length('<|im_start|>') + length(erole) + 1 + length('<|im_end|>') + 1 END)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, control, alone
 """
 
 

@@ -12,9 +12,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (as in tests), a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="timbergrid-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -47,10 +49,8 @@ def cleanup() -> None:
     """Remove every intermediate table of this process; results that read them must have been written."""
     while _written:
         spark, path = _written.pop()
-        try:
+        if spark.sparkContext._jsc is not None:  # else the session is gone
             remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
 
 
 atexit.register(cleanup)
