@@ -23,7 +23,7 @@ def test_nearest_polygons(spark):
     near = [*square(1, 15, 0, 10), *square(2, 25, 0, 10), *square(3, 35, 0, 10), *square(4, 5000, 0, 10)]
     got = {r.id: math.sqrt(r.d2) for r in spatial.nearest(spark.createDataFrame(near, SEG), habitat, 16.0).collect()}
     assert got == {1: 5.0, 2: 15.0, 3: 25.0, 4: 4990.0}
-    assert spatial.nearest(habitat, habitat.limit(0)).count() == 0
+    assert [(r.id, r.other, r.d2) for r in spatial.nearest(habitat, habitat.limit(0)).collect()] == [(7, None, None)]  # one row for each left feature
 
 
 def test_setback(spark):
@@ -166,10 +166,10 @@ def test_components_and_patches(spark):
 def test_sweep_runs_as_one_plan(spark):
     from timbergrid.plans.config import Resistance, Sweep, perturbed
 
-    cells = spark.createDataFrame([(r, c, 24, 50.0, 10.0, 0.5) for r in range(8) for c in range(12)], "row int, col int, clc int, meanage double, basalarea double, spruce double")
+    cells = spark.createDataFrame([(r, c, 24, 50.0, 10.0, 0.5) for r in range(8) for c in range(12)], "row int, col int, clc int, meanage double, basalarea double, proportionother double")
     patch = spark.createDataFrame([(r, c, p, 2.0) for p, c in ((1, 0), (2, 6), (3, 11)) for r in (3, 4)], "row int, col int, patch_id long, area_ha double")
     labels = cells.select("row", "col", F.floor(F.col("row") / 2).cast("long").alias("label"))
-    got = network.sweep(cells, patch, labels, perturbed(Resistance(), Sweep(n_runs=2)))
+    got = network.sweep(cells, patch, labels, perturbed(Resistance(coarsen=1), Sweep(n_runs=2)), 8, 12)
     assert {r.label for r in got["robust"].collect()} == {0, 1, 2, 3}
     assert {r.run for r in got["connectivity"].collect()} == {0, 1}
     assert got["robust"].agg(F.max("mean_score")).first()[0] > 0
@@ -194,3 +194,20 @@ def test_flow_over_a_valley(spark):
     assert accum == want and max(accum.values()) > 60
     dtw = {(r.row, r.col): r.dtw for r in hydrology.height_above_stream(dem, flow, spark.createDataFrame([(11, 3)], "row int, col int")).collect()}
     assert dtw[11, 3] == 0.0 and dtw[6, 3] == pytest.approx(5.0)
+
+
+def _ring(i, x0, y0, x1, y1):
+    at = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    return [(i, *map(float, a), *map(float, b)) for a, b in zip(at, at[1:] + at[:1], strict=True)]
+
+
+def test_nearest_of_nested_and_apart_polygons(spark):
+    schema = "id long, x1 double, y1 double, x2 double, y2 double"
+    left = spark.createDataFrame(_ring(1, 40, 40, 60, 60) + _ring(2, 110, 0, 120, 10) + _ring(3, 300, 300, 400, 400) + _ring(4, 95, 95, 105, 105), schema)
+    right = spark.createDataFrame(_ring(7, 0, 0, 100, 100) + _ring(8, 340, 340, 350, 350), schema)
+    got = {r.id: (r.other, r.d2) for r in spatial.nearest(left, right, 20.0, polygons=True).collect()}
+    assert got == {1: (7, 0.0), 2: (7, 100.0), 3: (8, 0.0), 4: (7, 0.0)}
+    hole = spark.createDataFrame(_ring(7, 0, 0, 100, 100) + _ring(7, 30, 30, 70, 70), schema)
+    assert {r.id: r.d2 for r in spatial.nearest(left.where("id = 1"), hole, 20.0, polygons=True).collect()} == {1: 100.0}
+    nothing = spatial.nearest(left, right.limit(0), polygons=True).collect()
+    assert sorted(r.id for r in nothing) == [1, 2, 3, 4] and not any(r.other for r in nothing)

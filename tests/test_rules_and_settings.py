@@ -79,6 +79,26 @@ def test_water_and_missing_stand(spark):
     assert told(spark, [(42, 1.0), (17, None), (24, 240.0)], "c int, v double", column) == pytest.approx([1000.0, 1 + 0.8 * 99, 1 + 0.05 * 99])
 
 
+def test_fixed_values_of_resistance_and_labels(spark):
+    r, s = Resistance(), Sweep()
+    assert sorted(c for codes in r.classes.values() for c in codes) == list(range(1, 50))
+    assert (r.weights, r.dispersal, r.basal_area_cap, r.deciduous_share, r.corridor_slack) == ({"age": 0.3, "structure": 0.25, "species": 0.2, "landcover": 0.25}, 8000.0, 25.0, 0.5, 0.15)
+    assert (s.seed, s.weight_by, s.land_cover_by, s.dispersal_by, s.robust_share, s.n_runs) == (0, 0.4, 0.3, 0.5, 0.8, 20)
+    codes = [(25,), (37,), (32,), (45,), (17,), (40,), (16,), (0,)]
+    assert told(spark, codes, "c int", R.land_cover_term(F.col("c"))) == pytest.approx([0.1, 0.5, 0.55, 0.4, 0.8, 0.7, 0.9, 0.61875])
+    labels = told(spark, [(True, False), (False, True), (False, False)], "p boolean, c boolean", R.harvest_timing(F.col("p"), F.col("c")))
+    assert labels == ["frozen-ground / winter preferred"] * 2 + ["no trafficability restriction"]
+
+
+def test_resistance_of_a_forest_and_a_lake_cell(spark):
+    from timbergrid.operators.raster import resistance_surface
+
+    rows = [(0, 0, 25, 60.0, 10.0, 0.0), (0, 1, 42, 60.0, 10.0, 0.0), (0, 2, 17, None, None, None)]
+    cells = spark.createDataFrame(rows, "row int, col int, clc int, meanage double, basalarea double, proportionother double")
+    want = 1 + 99 * (0.3 * 0.5 + 0.25 * 0.6 + 0.2 * 1.0 + 0.25 * 0.1)
+    assert [r.cost for r in resistance_surface(cells).orderBy("col").collect()] == pytest.approx([want, 1000.0, 80.2])
+
+
 def test_perturbation_is_seeded_and_sums_to_one():
     a, b = perturbed(Resistance(), Sweep(n_runs=4)), perturbed(Resistance(), Sweep(n_runs=4))
     assert a == b and len({c.dispersal for _, c in a}) == 4

@@ -82,3 +82,17 @@ def test_area_summary(spark):
     got = stands.ccf_area_summary(frame).first()
     assert (got.total_ha, got.peat_ha, got.drained_ha, got.ccf_ha, got.ccf_strict_ha, got.ccf_of_drained_pct, got.n_ccf) == (200.0, 170.0, 150.0, 100.0, 88.2, 66.67, 2)
     assert stands.ccf_area_summary(frame.limit(0)).first().ccf_of_total_pct is None
+
+
+def test_frost_of_the_day_before_within_and_after_the_record(spark):
+    days = [(1, dt.date(2020, 1, d), float(t)) for d, t in ((3, -12), (4, 0), (8, 0), (30, 0))] + [(2, dt.date(2020, 1, 5), -20.0)]
+    daily = spark.createDataFrame(days, "station int, date date, tmin double")
+    fellings = [(1, dt.date(2020, 1, 2)), (1, dt.date(2020, 1, 3)), (1, dt.date(2020, 1, 6)), (1, dt.date(2020, 1, 30)), (1, dt.date(2021, 1, 1)), (2, dt.date(2020, 3, 1)), (3, dt.date(2020, 1, 3)), (1, None)]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(fellings)], "n int, station int, date date")
+    got = weather.cold_spell_exempt(frame, daily)
+    assert got.columns == ["n", "station", "date", "cold_spell_exempt"]
+    by_row = {r.n: r.cold_spell_exempt for r in got.collect()}
+    frost = weather.frost_look_back(daily)
+    old = weather.as_of(frame, frost, "date", ["had_frost"]).collect()
+    assert by_row == {r.n: bool(r.had_frost) for r in old if r.date} | {7: False}
+    assert [by_row[i] for i in range(7)] == [False, True, True, False, False, True, False]

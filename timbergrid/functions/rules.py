@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from timbergrid.plans.config import Ccf, Resistance, RootRot
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-HOLDS = "can be driven when the ground bears"
-FROZEN_ONLY = "needs frozen ground"
+#: The labels of the harvest timing.
+HOLDS = "no trafficability restriction"
+FROZEN_ONLY = "frozen-ground / winter preferred"
 
 
 def number(code: Column) -> Column:
@@ -128,7 +129,7 @@ def day_of_stamp(stamp: Column) -> Column:
 
 def land_cover_term(clc: Column, cfg: Resistance = Resistance()) -> Column:
     """Relative resistance of a land-cover class; the mean of all categories where it has none."""
-    by_class = {code: cfg.land_cover[name] for code, name in cfg.classes.items()}
+    by_class = {code: cfg.land_cover[name] for name, codes in cfg.classes.items() for code in codes}
     return looked_up(clc, by_class, sum(cfg.land_cover.values()) / len(cfg.land_cover))
 
 
@@ -142,4 +143,4 @@ def resistance(terms: Sequence[tuple[Column, Column]], clc: Column, cfg: Resista
     blend = F.lit(cfg.low)
     for weight, term in terms:
         blend = blend + weight * term * (cfg.high - cfg.low)
-    return F.when(holds(number(clc).isin([float(x) for x in cfg.water_classes])), F.lit(cfg.water)).otherwise(blend)
+    return F.when(holds(number(clc).isin([float(x) for x in cfg.classes["water"]])), F.lit(cfg.water)).otherwise(blend)

@@ -156,11 +156,12 @@ def erosion_in_buffers(loss: DataFrame, streams: DataFrame, grid: Grid, widths:
 
 
 def resistance_surface(cells: DataFrame, settings: DataFrame | None = None, cfg=None) -> DataFrame:
-    """Cells (row, col, clc, meanage, basalarea, spruce) to ``cost`` under one setting."""
+    """Cells (row, col, clc, meanage, basalarea, proportionother) to ``cost`` under one setting."""
     cfg = cfg or R.Resistance()
     cover = R.land_cover_term(F.col("clc"), cfg)
     w = cfg.weights
-    terms = [(w["land_cover"], cover), (w["age"], R.stand_term(F.col("meanage"), 120.0, cover)), (w["basal_area"], R.stand_term(F.col("basalarea"), 30.0, cover)), (w["spruce"], R.stand_term(F.col("spruce"), 1.0, cover))]
+    stand = lambda column, reference: R.stand_term(R.number(F.col(column)), reference, cover)
+    terms = [(w["age"], stand("meanage", cfg.age_cap)), (w["structure"], stand("basalarea", cfg.basal_area_cap)), (w["species"], stand("proportionother", cfg.deciduous_share)), (w["landcover"], cover)]
     return cells.withColumn("cost", R.resistance(terms, F.col("clc"), cfg))
 
 

@@ -77,15 +77,42 @@ def too_close(left: DataFrame, network: DataFrame, setback: float) -> DataFrame:
     return within(left, network, setback).select("id").distinct()
 
 
-def nearest(left: DataFrame, right: DataFrame, start: float = 1000.0) -> DataFrame:
-    """(id, other, d2): the nearest right feature of every left one, the smallest id of equals; no row without any.
+def containing(features: DataFrame, rings: DataFrame, size: float) -> DataFrame:
+    """(id, other): features of which a corner lies in a polygon (closed rings, holes included) of ``rings``.
+
+    A feature that crosses no edge is in a polygon if one of its corners is. Corners meet the polygons whose box has
+    their bucket, and the edges of those alone are counted that a ray to the east crosses.
+    """
+    corner = features.groupBy("id").agg(F.min(F.struct("x1", "y1")).alias("p")).select("id", F.col("p.x1").alias("px"), F.col("p.y1").alias("py"))
+    box = rings.groupBy(F.col("id").alias("other")).agg(*[f(F.col(c)).alias(n) for f, c, n in ((F.min, "x1", "x_min"), (F.max, "x1", "x_max"), (F.min, "y1", "y_min"), (F.max, "y1", "y_max"))])
+    at = lambda c: F.floor(F.col(c) / size)
+    boxes = box.withColumn("bx", F.explode(F.sequence(at("x_min"), at("x_max")))).withColumn("by", F.explode(F.sequence(at("y_min"), at("y_max"))))
+    near = corner.withColumns({"bx": at("px"), "by": at("py")}).join(boxes, ["bx", "by"])
+    near = near.where(F.col("px").between(F.col("x_min"), F.col("x_max")) & F.col("py").between(F.col("y_min"), F.col("y_max"))).select("id", "px", "py", "other")
+    edges = rings.where("y1 <> y2").select(F.col("id").alias("other"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
+    crossed = F.expr("(v1 > py) <> (v2 > py) and px < u1 + (py - v1) * (u2 - u1) / (v2 - v1)")
+    return near.join(edges, "other").groupBy("id", "other").agg(F.count_if(crossed).alias("n")).where("n % 2 = 1").select("id", "other")
+
+
+def nearest(left: DataFrame, right: DataFrame, start: float = 1000.0, polygons: bool = False) -> DataFrame:
+    """(id, other, d2): the nearest right feature of every left one, the smallest id of equals; NULLs without any.
 
     Features whose nearest is within the reach are done; the reach then doubles for the rest. Rounds grow with the
-    logarithm of the farthest distance, and each looks at near buckets only.
+    logarithm of the farthest distance, and each looks at near buckets only. With ``polygons`` both sides are closed
+    rings, and one that holds the other is at distance 0.
     """
     if right.isEmpty():
-        return left.select("id", F.lit(None).cast(right.schema["id"].dataType).alias("other"), F.lit(None).cast("double").alias("d2")).limit(0)
+        return left.select("id", F.lit(None).cast(right.schema["id"].dataType).alias("other"), F.lit(None).cast("double").alias("d2")).distinct()
     todo, reach, done = left, float(start), None
+    if polygons:
+        within_ = containing(right, left, reach).select(F.col("other").alias("id"), F.col("id").alias("other"))
+        held = containing(left, right, reach).unionByName(within_)
+        # An edge that crosses is at distance 0 too, so equals are told by the smallest id of both kinds.
+        touching = within(left, right, reach).where("d2 = 0").select("id", "other")
+        done = cut(held.unionByName(touching).groupBy("id").agg(F.min("other").alias("other")).withColumn("d2", F.lit(0.0)))
+        todo = cut(todo.join(done.select("id"), "id", "left_anti"))
+        if todo.isEmpty():
+            return done
     while True:
         best = within(todo, right, reach).groupBy("id").agg(F.min(F.struct("d2", "other")).alias("b")).select("id", "b.other", "b.d2")
         best = cut(best)

@@ -18,6 +18,8 @@ from timbergrid.plans.config import RootRot
 
 BY = ("station",)
 DIGITS = 6
+#: Stations whose last days are broadcast, a few dozen bytes each.
+STATIONS = 100_000
 
 
 def wide(long: DataFrame, variables: Sequence[str], by: Sequence[str] = BY) -> DataFrame:
@@ -80,9 +82,27 @@ def as_of(left: DataFrame, right: DataFrame, date: str, values: Sequence[str], b
     return both.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
+def as_of_day(left: DataFrame, daily: DataFrame, date: str, value: str, by: Sequence[str] = BY) -> DataFrame:
+    """``as_of`` for a daily record: the record is made whole, a row for every day from its first to its last, and left
+    rows meet it in an equi-join by station and day; days after the last take the last.
+
+    Only the record, days times stations, is sorted; left rows are spread by station and day, however few the stations.
+    """
+    ends = daily.groupBy(*by).agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    every = ends.select(*by, F.explode(F.sequence("_from", "_to")).alias("_at"))
+    known = daily.select(*by, F.col("date").alias("_at"), F.col(value).alias("_told"))
+    upto = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    whole = every.join(known, [*by, "_at"], "left").select(*by, "_at", F.last("_told", ignorenulls=True).over(upto).alias(value))
+    last = ends.select(*by, "_to")
+    if last.limit(STATIONS + 1).count() <= STATIONS:
+        last = F.broadcast(last)
+    told = left.join(last, list(by), "left").withColumn("_at", F.least(F.col(date), F.col("_to")))
+    return told.join(whole, [*by, "_at"], "left").select(*[F.col(f"`{c}`") for c in left.columns], value)
+
+
 def cold_spell_exempt(fellings: DataFrame, daily: DataFrame, cfg: RootRot = RootRot(), by: Sequence[str] = BY) -> DataFrame:
     frost = frost_look_back(daily, cfg, by).select(*by, "date", "had_frost")
-    return as_of(fellings, frost, "date", ["had_frost"], by).withColumn("cold_spell_exempt", R.holds(F.col("had_frost"))).drop("had_frost")
+    return as_of_day(fellings, frost, "date", "had_frost", by).withColumn("cold_spell_exempt", R.holds(F.col("had_frost"))).drop("had_frost")
 
 
 def with_runs(daily: DataFrame, flag: Column, by: Sequence[str] = BY) -> DataFrame:

@@ -110,7 +110,7 @@ def j05_setback_violation(spark: SparkSession, sf: str) -> DataFrame:
     + """, r as (select s.*, sqrt(n.b.d2) as m, cast(soiltype as double) > 59 as peat, cast(soiltype as double) >= 60 and fertilityclass <= 3 and drainagestate in (7, 8, 9) and proportionspruce >= 0.5e0 as ccf from n join stands s using (stand_row))
 select stand_row, round_even(area, 3) as area_ha, peat as is_peat, round_even(proportionspruce, 3) as spruce_share, case when peat then proportionspruce >= 0.5e0 else proportionpine + proportionspruce >= 0.5e0 end as rootrot_obligation,
 ccf as ccf_prescribed, round_even(m, 1) as nearest_habitat_m, m <= 2000 as within_habitat_setback, cast(x % 80 as double) as nearest_derived_stream_m, x % 80 <= 30 as within_stream_buffer,
-case when peat or ccf then 'needs frozen ground' else 'can be driven when the ground bears' end as harvest_timing from r""",
+case when peat or ccf then 'frozen-ground / winter preferred' else 'no trafficability restriction' end as harvest_timing from r""",
     "stands",
     "habitats",
 )
@@ -368,10 +368,11 @@ def r10_r11_patches(spark: SparkSession, sf: str) -> DataFrame:
 def g01_g04_sweep(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     g = proxies.frame(spark, sf, "grid")
-    cells = g.select("row", "col", "clc", (c("z") % 161).alias("meanage"), (c("z") % 40).alias("basalarea"), (c("z") % 101 / 100).alias("spruce"))
+    cells = g.select("row", "col", "clc", (c("z") % 161).alias("meanage"), (c("z") % 40).alias("basalarea"), (c("z") % 101 / 100).alias("proportionother"))
     labels = g.select("row", "col", (F.floor(c("row") / 4) * 10 + F.floor(c("col") / 4)).cast("long").alias("label"))
-    settings = perturbed(Resistance(), Sweep())
-    return rounded(network.sweep(cells, _patches(spark, sf), labels, settings)["robust"])
+    # The proxy's grid is 40 cells wide: blocks of two instead of eight.
+    settings = perturbed(Resistance(coarsen=2), Sweep())
+    return rounded(network.sweep(cells, _patches(spark, sf), labels, settings, GRID.n_rows, GRID.n_cols)["robust"])
 
 
 @query()
@@ -388,7 +389,7 @@ def t01_daily_values(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(daily_values(spark.read.parquet(f"{sf}/events.parquet").withColumnRenamed("user_id", "station")), 6)
 
 
-@query("select row, col, clc, round(case when clc in (42, 46, 47, 48, 49) then 1000e0 else 1e0 + 99e0 * t end, 6) as cost from (select row, col, clc, case when clc in (1, 2) then 1e0 when clc = 17 then 0.8e0 when clc in (23, 24, 25) then 0.1e0 when clc in (37, 40) then 0.4e0 else 0.575e0 end as t from grid) q", "grid")
+@query("select row, col, clc, round(case when clc in (42, 46, 47, 48, 49) then 1000e0 else 1e0 + 99e0 * t end, 6) as cost from (select row, col, clc, case when clc between 1 and 16 then 0.9e0 when clc between 17 and 22 then 0.8e0 when clc between 23 and 30 then 0.1e0 when clc in (31, 32) then 0.55e0 when clc between 33 and 37 then 0.5e0 when clc in (38, 39, 40, 44) then 0.7e0 when clc in (41, 43, 45) then 0.4e0 else 0.61875e0 end as t from grid) q", "grid")
 def p16_p18_land_cover_resistance(spark: SparkSession, sf: str) -> DataFrame:
     cover = R.land_cover_term(F.col("clc"))
     return rounded(proxies.frame(spark, sf, "grid").select("row", "col", "clc", R.resistance([(1.0, cover)], F.col("clc")).alias("cost")))

@@ -31,29 +31,49 @@ class Ccf:
     least_spruce_share: float = 0.5
 
 
+#: The land-cover map's classes by category.
+LAND_COVER_CLASSES = {
+    "forest": (23, 24, 25, 26, 27, 28, 29, 30),
+    "transitional": (33, 34, 35, 36, 37),
+    "open_veg": (31, 32),
+    "mire": (41, 43, 45),
+    "agriculture": (17, 18, 19, 20, 21, 22),
+    "bare": (38, 39, 40, 44),
+    "built": (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16),
+    "water": (42, 46, 47, 48, 49),
+}
+#: Relative resistance by category, and weights of the terms.
+LAND_COVER = {"forest": 0.10, "transitional": 0.50, "open_veg": 0.55, "mire": 0.40, "agriculture": 0.80, "bare": 0.70, "built": 0.90, "water": 1.00}
+WEIGHTS = {"age": 0.30, "structure": 0.25, "species": 0.20, "landcover": 0.25}
+
+
 @dataclass(frozen=True)
 class Resistance:
-    """``land_cover``: category to relative resistance; ``classes``: land-cover code to category."""
+    """``land_cover``: category to relative resistance; ``classes``: category to land-cover codes."""
 
     low: float = 1.0
     high: float = 100.0
     water: float = 1000.0
-    #: Open-water classes of the land-cover map.
-    water_classes: tuple[int, ...] = (42, 46, 47, 48, 49)
-    land_cover: Mapping[str, float] = field(default_factory=lambda: {"forest": 0.1, "mire": 0.4, "arable": 0.8, "urban": 1.0})
-    classes: Mapping[int, str] = field(default_factory=lambda: {1: "urban", 2: "urban", 17: "arable", 23: "forest", 24: "forest", 25: "forest", 37: "mire", 40: "mire"})
-    weights: Mapping[str, float] = field(default_factory=lambda: {"land_cover": 0.4, "age": 0.3, "basal_area": 0.15, "spruce": 0.15})
-    dispersal: float = 2000.0
+    age_cap: float = 120.0
+    basal_area_cap: float = 25.0
+    deciduous_share: float = 0.5
+    classes: Mapping[str, tuple[int, ...]] = field(default_factory=lambda: dict(LAND_COVER_CLASSES))
+    land_cover: Mapping[str, float] = field(default_factory=lambda: dict(LAND_COVER))
+    weights: Mapping[str, float] = field(default_factory=lambda: dict(WEIGHTS))
+    dispersal: float = 8000.0
+    coarsen: int = 8
+    corridor_slack: float = 0.15
+    backbone_k: int = 3
 
 
 @dataclass(frozen=True)
 class Sweep:
     n_runs: int = 20
-    seed: int = 42
-    weight_by: float = 0.2
-    land_cover_by: float = 0.2
-    dispersal_by: float = 0.3
-    robust_share: float = 0.8
+    seed: int = 0
+    weight_by: float = 0.40
+    land_cover_by: float = 0.30
+    dispersal_by: float = 0.50
+    robust_share: float = 0.80
 
 
 @dataclass(frozen=True)
@@ -110,7 +130,7 @@ def problems(config: Mapping[str, Any]) -> list[str]:
     ):
         number(path, low, high)
     weights = config.get("resistance", {}).get("weights") if isinstance(config.get("resistance"), Mapping) else None
-    wanted = {"land_cover", "age", "basal_area", "spruce"}
+    wanted = set(WEIGHTS)
     if not isinstance(weights, Mapping) or set(weights) != wanted:
         found.append(f"resistance.weights: exactly {sorted(wanted)} are needed")
     elif not all(map(is_number, weights.values())) or abs(sum(weights.values()) - 1) > 1e-6:
