@@ -71,6 +71,9 @@ def test_crowded_passage_takes_the_other_way(table, docs, monkeypatch):
     monkeypatch.setattr(substring, "CROWD", 3)
     monkeypatch.setattr(substring, "SHARD_WORDS", 500)
     monkeypatch.setattr(substring, "BROADCAST_STRETCHES", 0)
+    want = sorted(brute.substring(docs), key=str)
+    assert rows(substring.report(table), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    monkeypatch.setattr(substring, "BROADCAST_KEYS", 0)
     assert rows(substring.report(table), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring(docs), key=str)
 
 
@@ -85,7 +88,7 @@ def test_crowded_windows_are_indexed_once(spark, monkeypatch):
     docs = [(i, f"{say(40)} {passage} {say(40)}") for i in range(30)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(substring.report(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring(docs), key=str)
-    searched = seen.get("stretches-to-index", seen["stretch-words"]).where(F.octet_length("words") == 8 * substring.WINDOW)
+    searched = substring._indexed(seen["stretch-words"]).where(F.octet_length("words") == 8 * substring.WINDOW)
     # The passage's 16 windows, and those of one word or more around it, which no other document has.
     inside = searched.groupBy("words").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("weight")).where("weight = 30")
     assert inside.count() == 16 and inside.where("rows > 1").count() == 0

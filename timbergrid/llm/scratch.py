@@ -36,7 +36,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch_path = path
+    return found
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    _written.remove((table.sparkSession, table._scratch_path))
+    remove(table.sparkSession, table._scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

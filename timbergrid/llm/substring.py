@@ -41,6 +41,8 @@ WINDOW, RUN = 35, 8
 CROWD, SHARD_WORDS = 5_000, 400_000
 #: Stretches that are broadcast, of some 60 bytes each, in at most so many documents' rows.
 BROADCAST_STRETCHES = 1_500_000
+#: Frequent keys that are broadcast, 16 bytes each.
+BROADCAST_KEYS = 500_000
 _B = 0x9E3779B97F4A7C15
 
 
@@ -135,6 +137,21 @@ def _bounded(by_doc: DataFrame) -> DataFrame:
     return F.broadcast(by_doc) if total <= BROADCAST_STRETCHES else by_doc
 
 
+def _spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once; rows with the hottest keys stay where they are.
+
+    ``hot``: keys and their number of rows n, more than ``CROWD``, so there are fewer of them by that factor. Of more
+    than ``BROADCAST_KEYS`` the hottest are taken, by a bound ten times as high or more; the others are shuffled.
+    """
+    bound = CROWD
+    while hot.where(F.col("n") > bound).limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        bound *= 10
+    hot = hot.where(F.col("n") > bound).select(*keys)
+    there = F.broadcast(table.join(F.broadcast(hot), keys, "left_semi"))
+    others = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys)
+    return rows.join(there, keys).select(others.columns).unionByName(others)
+
+
 def _contents(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The words of each named stretch: minimizer, whole, weight, offset (of the first window), crowded, words, window hash.
 
@@ -158,8 +175,11 @@ def _contents(docs: DataFrame, named: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["minimizer", "whole", "weight", "offset", "words", "dealt_by", "crowded"])
 
     by_doc = named.groupBy("id", "h", "n").agg(F.collect_list(F.struct("start", "windows", "minimizer", "whole", "weight", "crowded")).alias("wanted"))
-    found = _keyed(docs).join(_bounded(scratch.materialize(by_doc, "named")), ["id", "h", "n"])
-    return found.select("text", "wanted").mapInPandas(run, "minimizer long, whole long, weight long, offset int, words binary, dealt_by long, crowded boolean")
+    by_doc = scratch.materialize(by_doc, "named")
+    found = _keyed(docs).join(_bounded(by_doc), ["id", "h", "n"]).select("text", "wanted")
+    words = scratch.materialize(found.mapInPandas(run, "minimizer long, whole long, weight long, offset int, words binary, dealt_by long, crowded boolean"), "stretch-words")
+    scratch.drop(by_doc)
+    return words
 
 
 def _indexed(contents: DataFrame) -> DataFrame:
@@ -170,12 +190,18 @@ def _indexed(contents: DataFrame) -> DataFrame:
     return contents.where("not crowded").select(*names).unionByName(windows.select(*names))
 
 
+def _once(group: pd.DataFrame) -> pd.DataFrame:
+    """Repeated rows of the document that supplies a stretch give it more than once."""
+    return group.drop_duplicates(["minimizer", "whole", "crowded"])
+
+
 def _words(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The words of stretches end to end, and how many each has."""
     return np.frombuffer(b"".join(group["words"]), dtype=np.uint64), np.array([len(w) // 8 for w in group["words"]], dtype=np.int64)
 
 
 def _build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    group = _once(group)
     index = fmindex.FMIndex.built(*_words(group), group["weight"].to_numpy(dtype=np.int64))
     return pd.DataFrame({"shard": [key[0]], "image": [index.image()]})
 
@@ -184,6 +210,7 @@ def _search(group: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
     names = ["minimizer", "whole", "mask", "crowded"]
     if not len(group):
         return pd.DataFrame(columns=names)
+    group = _once(group)
     words, lengths = _words(group)
     masks = fmindex.repeated_windows(fmindex.FMIndex.read(images["image"].iloc[0]), words, lengths, WINDOW)
     return group.assign(mask=_signed(masks)).loc[masks != 0, names]
@@ -194,24 +221,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     light = scratch.materialize(find_stretches(docs), "stretches")
     shared = light.groupBy("minimizer").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    live = scratch.materialize(light.join(shared, "minimizer").withColumn("crowded", F.col("times") > CROWD).drop("times"), "shared-stretches")
+    shared = scratch.materialize(shared, "shared-minimizers")
+    met = _spread_join(light, shared, ["minimizer"], shared.where(F.col("times") > CROWD).withColumnRenamed("times", "n"))
+    live = scratch.materialize(met.withColumn("crowded", F.col("times") > CROWD).drop("times"), "shared-stretches")
+    scratch.drop(light)
+    scratch.drop(shared)
     supplier = F.min(F.struct("id", "h", "n", "start", "windows")).alias("s")
+    many = scratch.materialize(live.groupBy("minimizer", "whole").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "frequent-stretches")
     named = live.groupBy("minimizer", "whole", "crowded").agg(F.count(F.lit(1)).alias("weight"), supplier).select("minimizer", "whole", "crowded", "weight", "s.*")
-    contents = scratch.materialize(_contents(docs, named), "stretch-words")
-    indexed = _indexed(contents).dropDuplicates(["minimizer", "whole", "crowded"])
+    contents = _contents(docs, named)
+    indexed = _indexed(contents)
     total = contents.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
     dealt = indexed.withColumn("shard", F.pmod(F.xxhash64("dealt_by"), F.lit(shards)).cast("int"))
-    dealt = scratch.materialize(dealt, "stretches-to-index")
     indexes = scratch.materialize(dealt.groupBy("shard").applyInPandas(_build, "shard int, image binary"), "fm-indexes")
     streamed = dealt.groupBy("shard").cogroup(indexes.groupBy("shard"))
     masks = scratch.materialize(streamed.applyInPandas(_search, "minimizer long, whole long, mask long, crowded boolean"), "masks")
+    scratch.drop(indexes)
     windows = masks.where("crowded").select(F.col("minimizer").alias("dealt_by"), F.col("whole").alias("same"))
     crowd = contents.where("crowded").select("minimizer", "whole", "offset", "dealt_by", F.xxhash64("words").alias("same"))
     again = crowd.join(windows, ["dealt_by", "same"]).select("minimizer", "whole", F.expr("shiftleft(1L, offset)").alias("mask"))
     masks = masks.where("not crowded").select("minimizer", "whole", "mask").unionByName(again)
     answers = scratch.materialize(masks.groupBy("minimizer", "whole").agg(F.bit_or("mask").alias("mask")), "repeated-windows")
-    return live.join(answers, ["minimizer", "whole"]).groupBy("id", "h", "n").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
+    return _spread_join(live, answers, ["minimizer", "whole"], many).groupBy("id", "h", "n").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
