@@ -211,3 +211,65 @@ def test_nearest_of_nested_and_apart_polygons(spark):
     assert {r.id: r.d2 for r in spatial.nearest(left.where("id = 1"), hole, 20.0, polygons=True).collect()} == {1: 100.0}
     nothing = spatial.nearest(left, right.limit(0), polygons=True).collect()
     assert sorted(r.id for r in nothing) == [1, 2, 3, 4] and not any(r.other for r in nothing)
+
+
+def brute_fill(z, rise=1e-4):
+    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    best = {k: v for k, v in z.items() if any((k[0] + a, k[1] + b) not in z for a, b in around)}
+    heap = [(v, k) for k, v in best.items()]
+    heapq.heapify(heap)
+    while heap:
+        d, (r, c) = heapq.heappop(heap)
+        for a, b in around:
+            k = (r + a, c + b)
+            if d == best[r, c] and k in z and (n := max(z[k], d + rise)) < best.get(k, math.inf):
+                best[k] = n
+                heapq.heappush(heap, (n, k))
+    return best
+
+
+@pytest.mark.parametrize("tile", [4, 256])
+def test_filled_in_tiles(spark, tile):
+    rng = random.Random(11)
+    z = {(r, c): float(rng.randrange(30)) for r in range(23) for c in range(18) if rng.random() > 0.01}
+    dem = spark.createDataFrame([(*k, v) for k, v in z.items()], "row int, col int, z double")
+    assert {(r.row, r.col): r.z for r in hydrology.filled(dem, tile=tile).collect()} == brute_fill(z)
+    assert hydrology.filled(dem.limit(0), tile=tile).count() == 0
+
+
+def test_least_cost_in_small_tiles(spark):
+    rng = random.Random(6)
+    cost = {(r, c): rng.choice([1.0, 5.0, 50.0]) for r in range(14) for c in range(11) if rng.random() > 0.2}
+    seeds = {1: [(r, c) for r, c in cost if r < 1], 9: [(r, c) for r, c in cost if r > 12 and c < 4]}
+    grid = spark.createDataFrame([(run, *k, v + run) for k, v in cost.items() for run in (0, 1)], "run int, row int, col int, cost double")
+    patches = spark.createDataFrame([(run, p, *k) for p, ks in seeds.items() for k in ks for run in (0, 1)], "run int, patch_id long, row int, col int")
+    want = {(run, p, *k): v for run in (0, 1) for p, ks in seeds.items() for k, v in brute_costs({k: v + run for k, v in cost.items()}, ks).items()}
+    got = {(r.run, r.patch_id, r.row, r.col): r.cost for r in network.tiled_fields(patches, grid, tile=3).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_corridors_against_brute_force(spark):
+    rng = random.Random(8)
+    cost = {(r, c): rng.choice([1.0, 4.0, 9.0]) for r in range(10) for c in range(10)}
+    seeds = {1: [(0, 0), (0, 1)], 2: [(9, 9)], 3: [(0, 9)]}
+    area, dispersal, slack = {1: 2.0, 2: 3.0, 3: 5.0}, 40.0, 0.15
+    fields = {p: brute_costs(cost, ks) for p, ks in seeds.items()}
+    pairs = {(i, j): min(min(fields[i][k] for k in seeds[j]), min(fields[j][k] for k in seeds[i])) for i, j in ((1, 2), (1, 3), (2, 3))}
+    want = {}
+    for (i, j), edge in pairs.items():
+        through = {k: fields[i][k] + fields[j][k] for k in cost}
+        least = min(through.values())
+        for k, v in through.items():
+            if v <= least * (1 + slack):
+                want[k] = want.get(k, 0.0) + area[i] * area[j] * math.exp(-edge / dispersal)
+    grid = spark.createDataFrame([(0, *k, v) for k, v in cost.items()], "run int, row int, col int, cost double")
+    patches = spark.createDataFrame([(0, p, *k) for p, ks in seeds.items() for k in ks], "run int, patch_id long, row int, col int")
+    nodes = spark.createDataFrame([(0, p, a, dispersal) for p, a in area.items()], "run int, patch_id long, area_ha double, dispersal double")
+    found = network.cost_fields(patches, grid)
+    density = network.corridors(found, network.pair_costs(found, patches), nodes, slack).collect()
+    assert {(r.row, r.col): r.density for r in density} == pytest.approx(want)
+    # A stand of a corridor's cell and of one without, over two runs of one network.
+    labels = spark.createDataFrame([(7, 0, 0), (7, 9, 9), (8, 5, 0)], "label long, row int, col int")
+    runs = spark.createDataFrame([(0,), (1,)], "run int")
+    scores = {(r.run, r.label): r.score for r in network.stand_scores(labels, network.corridors(found, network.pair_costs(found, patches), nodes, slack), runs).collect()}
+    assert scores[0, 7] == pytest.approx((want.get((0, 0), 0) + want.get((9, 9), 0)) / 2) and scores[0, 8] == pytest.approx(want.get((5, 0), 0.0)) and scores[1, 7] == 0.0

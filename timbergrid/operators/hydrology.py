@@ -1,14 +1,16 @@
 """Flow over grids of heights: filling, D8 directions, accumulation, channels, height above the stream.
 
-All are joins of cells with their neighbours; accumulation and height above stream follow pointers in doubling steps,
-so rounds grow with the logarithm of the longest path. Pits are filled to their spill height rather than breached.
+Pits are filled to their spill height rather than breached, tile by tile, in as many rounds as a way out crosses tiles.
+Directions are joins of cells with their neighbours; accumulation and height above stream follow pointers in doubling
+steps, so their rounds grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timbergrid.operators import tiles
 from timbergrid.operators.checkpoints import cut
 
 _AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
@@ -25,21 +27,14 @@ def _around(cells: DataFrame, value: str) -> DataFrame:
     return near.select("row", "col", "own", "o.k", "o.n", (F.col("row") + F.col("o.r")).alias("nr"), (F.col("col") + F.col("o.c")).alias("nc")).join(there, ["nr", "nc"])
 
 
-def filled(dem: DataFrame, z: str = "z", rise: float = 1e-4) -> DataFrame:
+def filled(dem: DataFrame, z: str = "z", rise: float = 1e-4, tile: int = tiles.TILE) -> DataFrame:
     """(row, col, z): every pit raised to its lowest way out; cells at the rim of the data are outlets.
 
-    Each raised cell stands ``rise`` above the next on its way out, so that flats drain.
+    Each raised cell stands ``rise`` above the next on its way out, so that flats drain. Tiles fill on their own and
+    exchange their edges until none changes.
     """
-    near = cut(_around(dem.where(F.col(z).isNotNull()), z).select("row", "col", "nr", "nc"))
-    rim = near.groupBy("row", "col").count().where("count < 8").select("row", "col", F.lit(True).alias("rim"))
-    state = cut(dem.where(F.col(z).isNotNull()).select("row", "col", F.col(z).cast("double").alias("z")).join(rim, ["row", "col"], "left").withColumn("w", F.when(F.coalesce("rim", F.lit(False)), F.col("z")).otherwise(F.lit(float("inf")))))
-    while True:
-        there = state.select(F.col("row").alias("nr"), F.col("col").alias("nc"), F.col("w").alias("there"))
-        low = near.join(there, ["nr", "nc"]).groupBy("row", "col").agg(F.min("there").alias("low"))
-        after = cut(state.join(low, ["row", "col"], "left").withColumn("next", F.when(F.coalesce("rim", F.lit(False)), F.col("w")).otherwise(F.least("w", F.greatest("z", F.coalesce(F.col("low") + rise, F.col("z")))))))
-        if after.where("next <> w").isEmpty():
-            return after.select("row", "col", F.col("w").alias("z"))
-        state = after.select("row", "col", "z", "rim", F.col("next").alias("w"))
+    cells = dem.where(F.col(z).isNotNull()).select("row", "col", F.col(z).alias("g"), F.lit(None).cast("double").alias("v"))
+    return tiles.settled(cells, [], lambda d, here, there, length: max(there, d + rise), rim=True, tile=tile).withColumnRenamed("v", "z")
 
 
 def d8(dem: DataFrame, z: str = "z") -> DataFrame:

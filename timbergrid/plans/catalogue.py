@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from timbergrid.functions import rules as R
 from timbergrid.operators import hydrology, network, raster, spatial, stands, stats, weather
-from timbergrid.plans import proxies
+from timbergrid.operators.checkpoints import cut
+from timbergrid.plans import modules, proxies
 from timbergrid.plans.config import Resistance, Sweep, perturbed
 from timbergrid.streaming.weather import daily_values
 
 Query = Callable[[SparkSession, str], DataFrame]
-GRID = spatial.Grid(0.0, 640.0, 16.0, 40, 40)
+RES = 16.0
 WIDTHS = (10.0, 20.0, 30.0)
 FEATURE_Z = 150.0
 BANDS = {0.5: "dtw_050", 1.0: "dtw_1", 2.0: "dtw_2", 4.0: "dtw_4", 10.0: "dtw_10"}
@@ -35,6 +36,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _grid(spark: SparkSession, sf: str) -> spatial.Grid:
+    n = proxies.side(spark, sf)
+    return spatial.Grid(0.0, n * RES, RES, n, n)
+
+
+SIDE = proxies.SIDE_SQL.format(lineitem="lineitem")
+
+
 @query(
     """select stand_row, coalesce(try_cast(soiltype as double) > 59, false) as is_peat,
 case when coalesce(try_cast(soiltype as double) > 59, false) then proportionspruce >= 0.5e0 else proportionpine + proportionspruce >= 0.5e0 end as rootrot_obligation,
@@ -107,17 +116,23 @@ def j05_setback_violation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     NEAREST
-    + """, r as (select s.*, sqrt(n.b.d2) as m, cast(soiltype as double) > 59 as peat, cast(soiltype as double) >= 60 and fertilityclass <= 3 and drainagestate in (7, 8, 9) and proportionspruce >= 0.5e0 as ccf from n join stands s using (stand_row))
+    + f""", rs as (select 68000e0 / {SIDE} as res, {SIDE} as side), sc as (select row as fr, col as fc from grid where accum_cells >= 270), cell as (select stand_row, round_even((68000 - y) / res, 0) as r, round_even(x / res, 0) as c, res from stands, rs where round_even((68000 - y) / res, 0) < side and round_even(x / res, 0) < side),
+sd as (select stand_row, sqrt(min((r - fr) * (r - fr) + (c - fc) * (c - fc))) * min(res) as st from cell, sc group by stand_row)"""
+    + """, r as (select s.*, sd.st, sqrt(n.b.d2) as m, cast(soiltype as double) > 59 as peat, cast(soiltype as double) >= 60 and fertilityclass <= 3 and drainagestate in (7, 8, 9) and proportionspruce >= 0.5e0 as ccf from n join stands s using (stand_row) left join sd using (stand_row))
 select stand_row, round_even(area, 3) as area_ha, peat as is_peat, round_even(proportionspruce, 3) as spruce_share, case when peat then proportionspruce >= 0.5e0 else proportionpine + proportionspruce >= 0.5e0 end as rootrot_obligation,
-ccf as ccf_prescribed, round_even(m, 1) as nearest_habitat_m, m <= 2000 as within_habitat_setback, cast(x % 80 as double) as nearest_derived_stream_m, x % 80 <= 30 as within_stream_buffer,
+ccf as ccf_prescribed, round_even(m, 1) as nearest_habitat_m, m <= 2000 as within_habitat_setback, round_even(st, 1) as nearest_derived_stream_m, coalesce(st <= 30, false) as within_stream_buffer,
 case when peat or ccf then 'frozen-ground / winter preferred' else 'no trafficability restriction' end as harvest_timing from r""",
     "stands",
     "habitats",
+    "grid",
 )
 def c01_site_plan(spark: SparkSession, sf: str) -> DataFrame:
     rows = proxies.frame(spark, sf, "stands")
     habitat = _nearest(spark, sf).select(F.col("id").alias("stand_row"), F.sqrt("d2").alias("nearest_habitat_m"))
-    stream = rows.select("stand_row", (F.col("x") % 80).cast("double").alias("nearest_derived_stream_m"))
+    n = proxies.side(spark, sf)
+    grid = spatial.Grid(0.0, 68000.0, 68000.0 / n, n, n)
+    streams = proxies.frame(spark, sf, "grid").select("row", "col", F.when(F.col("accum_cells") >= 270, 1.0).otherwise(-32768.0).alias("stream"))
+    stream = modules.stream_distance(rows, raster.stream_cells(streams), grid)
     return stands.site_plan(rows, habitat, stream, 2000.0, 30.0)
 
 
@@ -238,28 +253,30 @@ def s20_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(weather.wide(w.unpivot(["date"], ["rrday", "snow"], "param", "value"), ["rrday", "snow"], ()))
 
 
-NEAR = """with s as (select row as fr, col as fc, row % 2 as side from grid where z > 150), c as (select * from (select unnest(range(0, 40)) as row) r, (select unnest(range(0, 40)) as col) k),
-d as (select row, col, min((row - fr) * (row - fr) + (col - fc) * (col - fc)) filter (side = 0) as a, min((row - fr) * (row - fr) + (col - fc) * (col - fc)) filter (side = 1) as b from c left join s on true group by row, col)"""
+def near(derived: str = "z > 150 and row % 2 = 0", mapped: str = "z > 150 and row % 2 = 1") -> str:
+    """SQL: every cell with the least squared distances, a and b, to two sets of cells."""
+    return f"""with s as (select row as fr, col as fc, {derived} as is_a, {mapped} as is_b from grid), c as (select * from (select unnest(range(0, {SIDE})) as row) r, (select unnest(range(0, {SIDE})) as col) k),
+d as (select row, col, min((row - fr) * (row - fr) + (col - fc) * (col - fc)) filter (is_a) as a, min((row - fr) * (row - fr) + (col - fc) * (col - fc)) filter (is_b) as b from c left join (select * from s where is_a or is_b) f on true group by row, col)"""
+
+
+NEAR = near()
+BUFFERS = """, w as (select unnest([10e0, 20e0, 30e0]) as width), e as (select *, coalesce(a * 256 <= width * width, false) as na, coalesce(b * 256 <= width * width, false) as nb from d, w)
+select width, round_even(count(*) filter (na) * 0.0256e0, 1) as derived_ha, round_even(count(*) filter (nb) * 0.0256e0, 1) as mapped_ha, round_even(count(*) filter (na and not nb) * 0.0256e0, 1) as additional_ha from e group by width
+having count(*) filter (na or nb) > 0"""
 
 
 def _features(spark: SparkSession, sf: str, side: int) -> DataFrame:
     return proxies.frame(spark, sf, "grid").where((F.col("z") > FEATURE_Z) & (F.col("row") % 2 == side)).select("row", "col")
 
 
-@query(
-    NEAR
-    + """, w as (select unnest([10e0, 20e0, 30e0]) as width), e as (select *, coalesce(a * 256 <= width * width, false) as na, coalesce(b * 256 <= width * width, false) as nb from d, w)
-select width, round_even(count(*) filter (na) * 0.0256e0, 1) as derived_ha, round_even(count(*) filter (nb) * 0.0256e0, 1) as mapped_ha, round_even(count(*) filter (na and not nb) * 0.0256e0, 1) as additional_ha from e group by width
-having count(*) filter (na or nb) > 0""",
-    "grid",
-)
+@query(NEAR + BUFFERS, "grid")
 def a05_buffer_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.buffer_report(_features(spark, sf, 0), _features(spark, sf, 1), GRID, WIDTHS)
+    return raster.buffer_report(_features(spark, sf, 0), _features(spark, sf, 1), _grid(spark, sf), WIDTHS)
 
 
 @query(NEAR + " select cast(row as int) as row, cast(col as int) as col, cast(a as bigint) as d2 from d where a is not null", "grid")
 def r05_distance_transform(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.distance_everywhere(_features(spark, sf, 0), GRID)
+    return raster.distance_everywhere(_features(spark, sf, 0), _grid(spark, sf))
 
 
 SLOPE = """with g as (select row, col, z, lag(z) over x as l, lead(z) over x as r, lag(z) over y as u, lead(z) over y as d from grid window x as (partition by row order by col), y as (partition by col order by row)),
@@ -268,12 +285,12 @@ sl as (select row, col, degrees(atan(sqrt(power(case when l is null and r is nul
 
 @query(SLOPE + " select row, col, round(slope_deg, 6) as slope_deg from sl", "grid")
 def r07_slope(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(raster.slope_degrees(proxies.frame(spark, sf, "grid"), GRID.res))
+    return rounded(raster.slope_degrees(proxies.frame(spark, sf, "grid"), RES))
 
 
 def _loss(spark: SparkSession, sf: str) -> DataFrame:
     g = proxies.frame(spark, sf, "grid")
-    return raster.soil_loss(g.join(raster.slope_degrees(g, GRID.res), ["row", "col"]), GRID.res, K_TABLE, C_TABLE, 300.0)
+    return raster.soil_loss(g.join(raster.slope_degrees(g, RES), ["row", "col"]), RES, K_TABLE, C_TABLE, 300.0)
 
 
 LOSS = SLOPE + """, lo as (select row, col, power(least(accum_cells * 16, 100) / 22.13e0, 0.4e0) * power(sin(radians(slope_deg)) / 0.0896e0, 1.3e0) as ls,
@@ -285,9 +302,14 @@ def p12_p15_soil_loss(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_loss(spark, sf).select("row", "col", "ls", "k", "c", "a"))
 
 
-@query()
+ERODED = """, er as (select row, col, 300e0 * (k * ls * c) as a from lo), bo as (select coalesce(quantile_cont(a, 0.9) filter (a > 0), 0e0) as bound from er), w as (select unnest([10e0, 20e0, 30e0]) as width),
+h as (select width, coalesce(er.a >= bound, false) as high from d left join er using (row, col), bo, w where d.a * 256 <= width * width)
+select width, round_even(count(*) * 0.0256e0, 1) as buffer_ha, round_even(count(*) filter (high) * 0.0256e0, 1) as high_ha, round_even(count(*) filter (high) / greatest(count(*), 1), 3) as high_share from h group by width"""
+
+
+@query(LOSS + ", " + NEAR[5:] + ERODED, "grid")
 def a06_erosion_in_buffers(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.erosion_in_buffers(_loss(spark, sf), _features(spark, sf, 0), GRID, WIDTHS)
+    return raster.erosion_in_buffers(_loss(spark, sf), _features(spark, sf, 0), _grid(spark, sf), WIDTHS)
 
 
 @query("select cast(floor(row / 4) as int) as row, cast(floor(col / 4) as int) as col, round(avg(z), 6) as z from grid group by 1, 2", "grid")
@@ -296,11 +318,12 @@ def a15_resample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select cast(floor(row / 3) as int) as row, cast(floor(col / 3) as int) as col, round(case when avg(z) > 500 then 1000e0 else greatest(avg(z), 0.001e0) end, 6) as cost from grid where row < 39 and col < 39 group by 1, 2",
+    f"select cast(floor(row / 3) as int) as row, cast(floor(col / 3) as int) as col, round(case when avg(z) > 500 then 1000e0 else greatest(avg(z), 0.001e0) end, 6) as cost from grid where row < {SIDE} // 3 * 3 and col < {SIDE} // 3 * 3 group by 1, 2",
     "grid",
 )
 def a14_coarsened_cost(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(raster.coarsened(proxies.frame(spark, sf, "grid").withColumnRenamed("z", "cost"), 3, 40, 40))
+    n = proxies.side(spark, sf)
+    return rounded(raster.coarsened(proxies.frame(spark, sf, "grid").withColumnRenamed("z", "cost"), 3, n, n))
 
 
 @query(
@@ -312,7 +335,17 @@ def a08_w05_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.compared(proxies.frame(spark, sf, "grid"), "dtw", "z"))
 
 
-@query()
+def _benchmark(column: str) -> str:
+    return f"""select n, case when n >= 100 then round_even(corr_r, 3) end as spearman, case when n >= 100 then round_even(corr_l, 3) end as pearson_log, case when n >= 100 then round_even(ratio, 1) end as median_ratio, '{column}' as label
+from (select count(*) as n, corr(ra, rb) as corr_r, corr(ln(1 + a), ln(1 + b)) as corr_l, median(b / greatest(a, 1e-9)) as ratio
+from (select a, b, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 as rb
+from (select {column} as a, mk as b from er where covered and {column} > 0 and mk > 0) p) r) t"""
+
+
+BENCHMARK = ", er as (select l.*, 300e0 * (k * ls * c) as a, 300e0 * (k * ls * c) + z / 64 as mk, klass > 1 as covered from lo l join grid using (row, col))\n" + " union all ".join(map(_benchmark, ("a", "ls", "k", "c")))
+
+
+@query(LOSS + BENCHMARK, "grid")
 def a07_erosion_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return stats.erosion_benchmark(_loss(spark, sf).withColumns({"covered": F.col("klass") > 1, "mk": F.col("a") + F.col("z") / 64}), "mk", ["a", "ls", "k", "c"])
 
@@ -354,31 +387,48 @@ def a13_connectivity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(network.connectivity(network.max_product(edges, _nodes(edges)), _nodes(edges)))
 
 
-def _patches(spark: SparkSession, sf: str) -> DataFrame:
-    cells = proxies.frame(spark, sf, "grid").where(F.col("z") > 80)
-    return network.patches(cells.select("row", "col"), 1.0, GRID.cell_ha, 2 * GRID.cell_ha)
+def _patches(spark: SparkSession, sf: str, least: int = 4) -> DataFrame:
+    """Patches of the cells in the highest tenth of z, of ``least`` cells or more."""
+    g = proxies.frame(spark, sf, "grid")
+    cells = g.join(F.broadcast(g.agg(F.percentile("z", F.lit(0.9)).alias("bound"))), F.col("z") >= F.col("bound"))  # one row
+    return network.patches(cells.select("row", "col"), 1.0, RES * RES / 1e4, least * RES * RES / 1e4)
 
 
 @query()
 def r10_r11_patches(spark: SparkSession, sf: str) -> DataFrame:
-    return _patches(spark, sf)
+    return _patches(spark, sf, 2)
 
 
-@query()
-def g01_g04_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col
+def _sweep(spark: SparkSession, sf: str, settings: list, patch: DataFrame) -> dict[str, DataFrame]:
+    c, n = F.col, proxies.side(spark, sf)
     g = proxies.frame(spark, sf, "grid")
     cells = g.select("row", "col", "clc", (c("z") % 161).alias("meanage"), (c("z") % 40).alias("basalarea"), (c("z") % 101 / 100).alias("proportionother"))
-    labels = g.select("row", "col", (F.floor(c("row") / 4) * 10 + F.floor(c("col") / 4)).cast("long").alias("label"))
-    # The proxy's grid is 40 cells wide: blocks of two instead of eight.
-    settings = perturbed(Resistance(coarsen=2), Sweep())
-    return rounded(network.sweep(cells, _patches(spark, sf), labels, settings, GRID.n_rows, GRID.n_cols)["robust"])
+    labels = g.select("row", "col", (F.floor(c("row") / 4) * n + F.floor(c("col") / 4)).cast("long").alias("label"))
+    return network.sweep(cells, patch, labels, settings, n, n)
+
+
+# The proxy's grid is small at small scale factors: blocks of four cells instead of eight.
+NETWORK = Resistance(coarsen=4)
+
+
+@query()
+def g01_g04_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_sweep(spark, sf, perturbed(NETWORK, Sweep()), _patches(spark, sf))["robust"])
+
+
+@query()
+def c06_network_report(spark: SparkSession, sf: str) -> DataFrame:
+    patch = cut(_patches(spark, sf))
+    base, swept = _sweep(spark, sf, [(0, NETWORK)], patch), _sweep(spark, sf, perturbed(NETWORK, Sweep()), patch)
+    area = proxies.frame(spark, sf, "grid").groupBy((F.floor(F.col("row") / 4) * proxies.side(spark, sf) + F.floor(F.col("col") / 4)).cast("long").alias("label")).agg((F.count(F.lit(1)) * RES * RES / 1e4).alias("area_ha"))
+    nodes = proxies.frame(spark, sf, "habitats").select(F.concat(F.lit("habitat_"), F.col("habitattype").cast("string")).alias("node_type"))
+    return modules.network_report(nodes, base, swept, area)
 
 
 @query()
 def r12_r14_depth_to_water(spark: SparkSession, sf: str) -> DataFrame:
     dem = proxies.frame(spark, sf, "grid").select("row", "col", (F.col("z") + 7 * F.col("row")).alias("z"))
-    return rounded(hydrology.depth_to_water(dem, [0.5, 1.0], GRID.res))
+    return rounded(hydrology.depth_to_water(dem, [0.5, 1.0], RES))
 
 
 @query(
@@ -395,6 +445,58 @@ def p16_p18_land_cover_resistance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(proxies.frame(spark, sf, "grid").select("row", "col", "clc", R.resistance([(1.0, cover)], F.col("clc")).alias("cost")))
 
 
+def _part(section: str, item: str, metrics: tuple[str, ...], sql: str) -> str:
+    rows = ", ".join(f"struct_pack(metric := '{m}', value := cast({m} as double))" for m in metrics)
+    return f"select section, item, u.metric as metric, round(u.value, 6) as value from (select '{section}' as section, {item} as item, unnest([{rows}]) as u from ({sql}) x) y"
+
+
+def _streams(spark: SparkSession, sf: str, threshold_ha: float) -> DataFrame:
+    return hydrology.channels(proxies.frame(spark, sf, "grid"), threshold_ha, RES)
+
+
+TREND = """with v as ($winters), p as (select a.station, sign(b.days - a.days) as s from v a join v b on a.station = b.station and b.winter > a.winter),
+k as (select station, sum(s) as s, count(*) as pairs, count(*) filter (s = 0) as tied from p group by station), l as (select station, count(*) as n, regr_slope(days, winter) as slope from v group by station)
+select station, n, coalesce(s, 0) as s, case when n >= 4 then s / sqrt(pairs * (pairs - tied)) end as tau, case when n >= 4 then slope end as slope from l left join k using (station)"""
+
+
+def _report_sql() -> str:
+    width, g = "cast(cast(width as int) as varchar)", proxies.ctes("grid")
+    told = {name: sql for name, (_, sql) in _found.items()}
+    parts = [_part(f"buffers_{t:g}ha", width, modules.BUFFER, g + ", " + near(f"accum_cells * 256 >= {t}e0 * 10000", "z > 150")[5:] + BUFFERS) for t in modules.THRESHOLDS_HA]
+    parts += [_part(f"erosion_{t:g}ha", width, modules.ERODED, g + ", " + (LOSS + ", " + near(f"accum_cells * 256 >= {t}e0 * 10000", "false")[5:] + ERODED)[5:]) for t in modules.THRESHOLDS_HA]
+    for section, item, metrics, name in (
+        ("ccf_peatland", "''", modules.CCF, "a01_ccf_area_summary"),
+        ("ccf_rootrot_conflict", "''", modules.CONFLICT, "a02_ccf_rootrot_conflict"),
+        ("deadwood", "''", modules.DEADWOOD, "a03_deadwood"),
+        ("habitat_proximity", width, modules.PROXIMITY, "a04_habitat_proximity"),
+        ("felling_window", "station || ' ' || decade", modules.DECADES, "a11_conflict_free_decades"),
+        ("felling_winters", "station || ' ' || winter", modules.WINTERS, "a11_conflict_free_winters"),
+        ("erosion_benchmark", "label", modules.BENCHMARK, "a07_erosion_benchmark"),
+        ("workability_classes", "klass", modules.CLASSES, "a09_class_table"),
+    ):
+        parts.append(_part(section, item, metrics, told[name]))
+    parts.append(_part("felling_ends", "station", modules.ENDS, f"select station, arg_min(mean_days, decade) as first_decade_mean, arg_max(mean_days, decade) as last_decade_mean from ({told['a11_conflict_free_decades']}) q group by station"))
+    parts.append(_part("felling_trend", "station", modules.TREND, TREND.replace("$winters", told["a11_conflict_free_winters"])))
+    return "\nunion all\n".join(parts)
+
+
+@query(_report_sql())
+def c05_planning_report(spark: SparkSession, sf: str) -> DataFrame:
+    found = queries()
+    run = lambda name: found[name](spark, sf)
+    grid, loss = _grid(spark, sf), _loss(spark, sf)
+    mapped = proxies.frame(spark, sf, "grid").where(F.col("z") > FEATURE_Z).select("row", "col")
+    streams = {t: _streams(spark, sf, t) for t in modules.THRESHOLDS_HA}
+    return rounded(
+        modules.planning_report(
+            buffers={t: raster.buffer_report(s, mapped, grid, WIDTHS) for t, s in streams.items()},
+            eroded={t: raster.erosion_in_buffers(loss, s, grid, WIDTHS) for t, s in streams.items()},
+            ccf=run("a01_ccf_area_summary"), conflict=run("a02_ccf_rootrot_conflict"), dead=run("a03_deadwood"), proximity=run("a04_habitat_proximity"),
+            decades=run("a11_conflict_free_decades"), winters=run("a11_conflict_free_winters"), trend=run("w09_trend"), benchmark=run("a07_erosion_benchmark"), classes=run("a09_class_table"),
+        )
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _found.items()}
 

@@ -1,6 +1,7 @@
 """Domain tables derived from the supplied ones, as SQL that Spark and DuckDB both run.
 
-``{orders}`` and the like stand for a table: a DataFrame in Spark, a view's name in DuckDB.
+``{orders}`` and the like stand for a table: a DataFrame in Spark, a view's name in DuckDB. ``{side}`` is the number of
+rows and of columns of the grid, which grows with the root of the table that it is made of.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ select l_orderkey * 8 + l_linenumber as decl_id, cast(l_suppkey % 3 as int) as s
        (l_partkey % 97)/16.0e0 + 1.0e0 as dtw_4, (l_partkey % 97)/16.0e0 + 2.0e0 as dtw_10
 from {lineitem}""",
     "grid": """
-select cast(l_partkey % 40 as int) as row, cast(l_suppkey % 40 as int) as col, cast(sum(l_linenumber) as double) as z,
+select cast(l_partkey % {side} as int) as row, cast(l_suppkey % {side} as int) as col, cast(sum(l_linenumber) as double) as z,
        cast(max(l_linenumber) as int) as klass, cast(sum(l_partkey) % 50 as int) as clc, cast(1 + sum(l_suppkey) % 4 as int) as soil,
        cast(sum(l_orderkey) % 300 as double) as accum_cells, cast(sum(l_orderkey) % 640 as double) / 64.0e0 as dtw
 from {lineitem} group by 1, 2""",
@@ -48,14 +49,23 @@ from (select s_suppkey, s_nationkey, s_suppkey + n as near
       from {supplier} cross join (values (1), (2), (4), (8), (16), (32), (64), (128), (256), (512)) as o(n)) a
 join {supplier} b on b.s_suppkey = a.near and b.s_nationkey % 2 = a.s_nationkey % 2""",
 }
+#: The grid's side: about 40 items to a cell, 40 cells at least.
+SIDE_SQL = "(select greatest(40, cast(floor(sqrt(count(*) / 40.0e0)) as bigint)) from {lineitem})"
 _TABLES = ("orders", "part", "supplier", "lineitem")
 
 
+def side(spark: SparkSession, sf_dir: str) -> int:
+    return spark.sql("select " + SIDE_SQL + " as side", lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")).first()["side"]
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"{{{t}}}" in SQL[name]}
+    used: dict = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"{{{t}}}" in SQL[name]}
+    if "{side}" in SQL[name]:
+        used["side"] = side(spark, sf_dir)
     return spark.sql(SQL[name], **used)
 
 
 def ctes(*names: str) -> str:
     """``with`` clause of the tables, for the SQL that results are held against."""
-    return "with " + ",\n".join(f"{n} as ({SQL[n].format(**{t: t for t in _TABLES})})" for n in names) + "\n"
+    told = {t: t for t in _TABLES}
+    return "with " + ",\n".join(f"{n} as ({SQL[n].format(**told, side=SIDE_SQL.format(**told))})" for n in names) + "\n"
