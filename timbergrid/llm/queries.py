@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, idfiles, lines, lm, packing, quality, simhash, substring, warc
+from . import chat, codes, decontam, fim, idfiles, lines, lm, packing, quality, simhash, substring, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_substring_dedup, op3_token_files, op4_line_dedup, op5_chat_formatting, op6_warc, op7_lm_scoring, op8_decontamination, op9_simhash, op10_packing]
+    found = [op1_quality_rules, op2_substring_dedup, op3_token_files, op4_line_dedup, op5_chat_formatting, op6_warc, op7_lm_scoring, op8_decontamination, op9_simhash, op10_packing, op11_topk_search, op12_vector_codes, op13_fill_in_middle]
     return {f.__name__: f for f in found}
 
 
@@ -127,5 +139,47 @@ SELECT doc_id, n_words, n_hit, n_items, sha256(items) AS items_sha256, n_hit > 0
 """
 
 
+USABLE = "vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0"
+
+OP11 = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {USABLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+def _op12() -> str:
+    parts, entries, rounds = 16, 64, 2
+    told = [
+        f"e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {USABLE})",
+        f"p AS (SELECT vec_id, label, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM e, (SELECT unnest(range({parts})) AS part))",
+        f"c0 AS (SELECT part, dense_rank() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for r in range(rounds + 1):
+        told.append(
+            f"a{r} AS (SELECT vec_id, label, p.part, any_value(x) AS x, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT p.*, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM p JOIN c{r} c ON c.part = p.part) p GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY vec_id, label, p.part")
+        )
+        if r < rounds:
+            told += [
+                f"m{r} AS (SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS i) GROUP BY part, entry, i) GROUP BY part, entry)",
+                f"c{r + 1} AS (SELECT part, entry, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (part, entry))",
+            ]
+    told += [
+        f"o AS (SELECT vec_id, label, string_agg(lpad(lower(printf('%x', entry)), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)",
+        f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})",
+    ]
+    return "WITH " + ",\n".join(told) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, h"
+
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(a, b) AS x, greatest(a, b) AS y FROM k),
+c AS (SELECT *, substring(t, 1, x) AS p, substring(t, x + 1, y - x) AS m, substring(t, y + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op6_warc": OP6, "op4_line_dedup": OP4, "op5_chat_formatting": OP5, "op8_decontamination": OP8}
+    return {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op6_warc": OP6, "op4_line_dedup": OP4, "op5_chat_formatting": OP5, "op8_decontamination": OP8, "op11_topk_search": OP11, "op12_vector_codes": _op12(), "op13_fill_in_middle": OP13}
