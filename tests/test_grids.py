@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from timbergrid.operators import hydrology, network, raster, spatial, stats
+from timbergrid.operators import hydrology, network, raster, spatial, stats, tiles
 from timbergrid.operators.spatial import Grid
 
 SEG = "id int, x1 double, y1 double, x2 double, y2 double"
@@ -134,7 +134,7 @@ def test_least_cost_both_ways(spark):
     grid = spark.createDataFrame([(0, *k, v) for k, v in cost.items()], "run int, row int, col int, cost double")
     patches = spark.createDataFrame([(0, p, *k) for p, ks in seeds.items() for k in ks], "run int, patch_id long, row int, col int")
     want = {(p, *k): v for p, ks in seeds.items() for k, v in brute_costs(cost, ks).items()}
-    for fields in (network.cost_fields(patches, grid), network.cost_fields(patches, grid, task_cells=1)):
+    for fields in (network.cost_fields(patches, grid), network.cost_fields(patches, grid, tile=4)):
         assert {(r.patch_id, r.row, r.col): r.cost for r in fields.collect()} == pytest.approx(want)
     pair = network.pair_costs(network.cost_fields(patches, grid), patches).collect()
     assert [(r.i, r.j, r.cost) for r in pair] == [(1, 2, pytest.approx(min(want[1, *k] for k in seeds[2])))]
@@ -244,7 +244,7 @@ def test_least_cost_in_small_tiles(spark):
     grid = spark.createDataFrame([(run, *k, v + run) for k, v in cost.items() for run in (0, 1)], "run int, row int, col int, cost double")
     patches = spark.createDataFrame([(run, p, *k) for p, ks in seeds.items() for k in ks for run in (0, 1)], "run int, patch_id long, row int, col int")
     want = {(run, p, *k): v for run in (0, 1) for p, ks in seeds.items() for k, v in brute_costs({k: v + run for k, v in cost.items()}, ks).items()}
-    got = {(r.run, r.patch_id, r.row, r.col): r.cost for r in network.tiled_fields(patches, grid, tile=3).collect()}
+    got = {(r.run, r.patch_id, r.row, r.col): r.cost for r in network.cost_fields(patches, grid, tile=3).collect()}
     assert got == pytest.approx(want)
 
 
@@ -273,3 +273,65 @@ def test_corridors_against_brute_force(spark):
     runs = spark.createDataFrame([(0,), (1,)], "run int")
     scores = {(r.run, r.label): r.score for r in network.stand_scores(labels, network.corridors(found, network.pair_costs(found, patches), nodes, slack), runs).collect()}
     assert scores[0, 7] == pytest.approx((want.get((0, 0), 0) + want.get((9, 9), 0)) / 2) and scores[0, 8] == pytest.approx(want.get((5, 0), 0.0)) and scores[1, 7] == 0.0
+
+
+def test_fields_of_more_layers_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "LAYERS", 2)
+    monkeypatch.setattr(tiles, "TABLES", 1)
+    rng = random.Random(9)
+    cost = {(r, c): rng.choice([1.0, 5.0, 50.0]) for r in range(12) for c in range(12)}
+    seeds = {p: [rng.choice(list(cost))] for p in range(7)} | {7: [(40, 40)]}
+    grid = spark.createDataFrame([(0, *k, v) for k, v in cost.items()], "run int, row int, col int, cost double")
+    patches = spark.createDataFrame([(0, p, *k) for p, ks in seeds.items() for k in ks], "run int, patch_id long, row int, col int")
+    want = {(p, *k): v for p, ks in seeds.items() if p < 7 for k, v in brute_costs(cost, ks).items()}
+    assert {(r.patch_id, r.row, r.col): r.cost for r in network.cost_fields(patches, grid, tile=5).collect()} == pytest.approx(want)
+    assert network.cost_fields(patches.limit(0), grid, tile=5).count() == network.cost_fields(patches, grid.limit(0)).count() == 0
+
+
+def test_only_tiles_that_were_sent_an_edge_are_settled(spark, monkeypatch):
+    """A way along a corridor crosses the tiles one after another; each is settled a few times, not once a round."""
+    written = []
+    own = tiles.cut
+    monkeypatch.setattr(tiles, "cut", lambda df: written.append(own(df)) or written[-1])
+    grid = spark.createDataFrame([(0, c, 1.0) for c in range(64)], "row int, col int, g double")
+    start = spark.createDataFrame([(0, 0, 0.0)], "row int, col int, v double")
+    got = tiles.settled(grid, start, [], lambda d, here, there, length: d + (here + there) * (length / 2), tile=4)
+    assert {r.col: r.v for r in got.collect()} == {c: float(c) for c in range(64)}
+    settled = [t.where("dr = 0 and dc = 0").count() for t in written if "dr" in t.columns]
+    assert len(settled) >= 16 and max(settled) <= 2
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_paths_by_squares_of_blocks(spark, block):
+    rng = random.Random(3)
+    edges = {}
+    for run in (0, 1):
+        strip = [(k, k + 1) for k in range(24)]  # a path of 24 hops, and shorter ways across
+        for i, j in strip + [tuple(sorted(rng.sample(range(25), 2))) for _ in range(12)]:
+            edges[run, 10 * i, 10 * j] = float(rng.randrange(1, 30))
+    nodes = [(run, 10 * k, 5.0 + run) for run in (0, 1) for k in range(27)]  # two without any edge
+    want = {(run, i, j): 0.0 if i == j else math.inf for run, i, _ in nodes for r, j, _ in nodes if r == run}
+    for (run, i, j), c in edges.items():
+        want[run, i, j] = want[run, j, i] = min(want[run, i, j], c / (5.0 + run))
+    for run in (0, 1):
+        for k in range(0, 270, 10):
+            for i in range(0, 270, 10):
+                for j in range(0, 270, 10):
+                    want[run, i, j] = min(want[run, i, j], want[run, i, k] + want[run, k, j])
+    frame = spark.createDataFrame([(*k, c) for k, c in edges.items()], "run int, i long, j long, cost double")
+    told = spark.createDataFrame(nodes, "run int, patch_id long, dispersal double")
+    got = {(r.run, r.i, r.j): r.p for r in network.max_product(frame, told, block=block).collect()}
+    assert got == pytest.approx({k: math.exp(-v) for k, v in want.items() if v < math.inf})
+    alone = network.max_product(frame.limit(0), told, block=block)
+    assert {(r.run, r.i, r.j, r.p) for r in alone.collect()} == {(run, i, i, 1.0) for run, i, _ in nodes}
+
+
+def test_rounds_of_squaring_grow_with_the_logarithm_of_hops(spark, monkeypatch):
+    rounds = []
+    own = network.cut
+    monkeypatch.setattr(network, "cut", lambda df: rounds.append(df) or own(df))
+    frame = spark.createDataFrame([(0, k, k + 1, 1.0) for k in range(70)], "run int, i long, j long, cost double")
+    told = spark.createDataFrame([(0, k, 1.0) for k in range(71)], "run int, patch_id long, dispersal double")
+    got = network.max_product(frame, told)
+    assert got.where("i = 0 and j = 70").first().p == pytest.approx(math.exp(-70))
+    assert len(rounds) <= 2 + 8

@@ -7,6 +7,7 @@ steps, so their rounds grow with the logarithm of the longest path.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ def filled(dem: DataFrame, z: str = "z", rise: float = 1e-4, tile: int = tiles.T
     Each raised cell stands ``rise`` above the next on its way out, so that flats drain. Tiles fill on their own and
     exchange their edges until none changes.
     """
-    cells = dem.where(F.col(z).isNotNull()).select("row", "col", F.col(z).alias("g"), F.lit(None).cast("double").alias("v"))
-    return tiles.settled(cells, [], lambda d, here, there, length: max(there, d + rise), rim=True, tile=tile).withColumnRenamed("v", "z")
+    cells = dem.where(F.col(z).isNotNull()).select("row", "col", F.col(z).alias("g"))
+    return tiles.settled(cells, None, [], lambda d, here, there, length: np.maximum(there, d + rise), tile=tile).withColumnRenamed("v", "z")
 
 
 def d8(dem: DataFrame, z: str = "z") -> DataFrame:
