@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timbergrid.llm import codes, fim, topk, vectors
+from timbergrid.llm import chat, codes, fim, topk, vectors
 
 SCHEMA = "vec_id long, embedding array<double>, label int, v string, d double, n int, row int, `order` int"
 
@@ -176,3 +176,23 @@ def test_every_unit_is_found_by_its_run(text):
     assert [runs.byte_of(u) for u in range(len(text) + 1)] == [len(text[:u].encode()) for u in range(len(text) + 1)]
     widths = [len(c.encode()) for c in text]
     assert len(runs.width) == sum(1 for i, w in enumerate(widths) if not i or w != widths[i - 1])
+
+
+def test_mask_is_read_by_place(spark):
+    """A long conversation, a text that is empty, and a mask that isn't made of whole texts."""
+    turns = [(1, i, "user" if i % 5 == 0 else "assistant", "" if i % 7 == 0 else f"<|& turn {i} ü") for i in range(5000)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(rows)
+    read = chat.read_chats(made).first()
+    assert [(t.role, t.text) for t in read.turns] == [t[2:] for t in turns]
+    assert list(read.loss_texts) == [t[3] for t in turns if t[2] == "assistant"]
+    whole = made.first().formatted
+    spans = [(3, 9), (20, 5), (len(whole) - 4, 4)]
+    partial = made.withColumn("loss", F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(n).cast("long").alias("length")) for a, n in spans]))
+    assert list(chat.read_chats(partial).first().loss_texts) == [whole[a : a + n].replace("&lt;|", "<|").replace("&amp;", "&") for a, n in spans]
+
+
+def test_places_of_many_pieces(spark):
+    lengths = [(i * 7919) % 23 for i in range(4500)]
+    got = spark.createDataFrame([(lengths,), ([],), ([5],)], "x array<long>").select(chat._starts(F.col("x")).alias("s")).collect()
+    assert [list(r.s) for r in got] == [[sum(lengths[:i]) for i in range(4500)], [], [0]]

@@ -35,20 +35,24 @@ def _role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit("&#10;"))
 
 
-def _starts(lengths: Column) -> Column:
-    """Where each of the pieces begins when they are laid end to end, from 0: sums of whole blocks, then within a block."""
+def _starts(lengths: Column, levels: int = 3) -> Column:
+    """Where each of the pieces begins when they are laid end to end, from 0.
+
+    A piece adds the lengths before it in its block of ``SUM_BLOCK`` to where the block begins, which is found likewise
+    from the blocks' sums; so the steps are ``levels`` blocks a piece, up to ``SUM_BLOCK`` ** ``levels`` pieces.
+    """
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    if levels == 1:
+        return F.transform(lengths, lambda _, i: total(F.slice(lengths, F.lit(1), i)))
     n_blocks = F.ceil(F.size(lengths) / SUM_BLOCK).cast("int")
 
-    def by_block(sums: Column) -> Column:
-        return F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
-
     def each(befores: Column) -> Column:
         block = lambda i: F.floor(i / SUM_BLOCK).cast("int")
         return F.transform(lengths, lambda _, i: F.get(befores, block(i)) + total(F.slice(lengths, block(i) * SUM_BLOCK + 1, i % SUM_BLOCK)))
 
     blocks = F.filter(F.sequence(F.lit(0), n_blocks), lambda b: b < n_blocks)
-    return X.let(X.let(F.transform(blocks, lambda b: total(F.slice(lengths, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK)))), by_block), each)
+    sums = F.transform(blocks, lambda b: total(F.slice(lengths, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK))))
+    return X.let(X.let(sums, lambda x: _starts(x, levels - 1)), each)
 
 
 def format_chats(rows: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
@@ -94,7 +98,7 @@ def format_chats(rows: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataF
     )
 
     def spans(pieces: Column) -> Column:
-        starts = X.let(F.transform(pieces, lambda p: p["before"] + p["length"] + p["after"]), _starts)
+        starts = X.let(F.transform(pieces, lambda p: p["before"] + p["length"] + p["after"]), lambda x: _starts(x))
         every = F.zip_with(starts, pieces, lambda at, p: F.when(p["loss"], F.struct((at + p["before"]).alias("start"), p["length"].alias("length"))))
         return F.filter(every, lambda s: s.isNotNull())
 
@@ -103,22 +107,40 @@ def format_chats(rows: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataF
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns: array of struct(role, text), loss_texts: array of the texts under the mask, all from the output."""
+    """conv_id, turns: array of struct(role, text), loss_texts: array of the texts under the mask, all from the output.
+
+    The output is cut once, at its marks. Texts then have their places by the lengths before them, and are under the
+    mask where a span has the same place: texts and spans are sorted together, so that a span stands before its text.
+    Only of a mask with other spans than whole texts is each span cut out of the whole output.
+    """
 
     def block(b: Column) -> Column:
-        return X.let(
-            F.locate("\n", b),
-            lambda at: X.let(
-                unescape(F.replace(F.substring(b, F.lit(1), at - 1), F.lit("&#10;"), F.lit("\n"))),
-                lambda role: F.transform(F.split(F.substring(b, at + 1, F.length(b)), r"<\|im_part\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text"))),
-            ),
-        )
+        def texts(at: Column, parts: Column) -> Column:
+            role = unescape(F.replace(F.substring(b, F.lit(1), at - 1), F.lit("&#10;"), F.lit("\n")))
+            before = lambda i: F.when(i == 0, at + len(START)).otherwise(F.lit(len(PART))).cast("long")
+            after = lambda i: F.when(i == F.size(parts) - 1, F.lit(len(END))).otherwise(F.lit(0)).cast("long")
+            return X.let(role, lambda r: F.transform(parts, lambda t, i: F.struct(r.alias("role"), unescape(t).alias("text"), before(i).alias("before"), F.length(t).cast("long").alias("length"), after(i).alias("after"))))
+
+        return X.let(F.locate("\n", b), lambda at: X.let(F.split(F.substring(b, at + 1, F.length(b)), r"<\|im_part\|>"), lambda parts: texts(at, parts)))
 
     # Every block ends with END, so the last part after it is empty, and each part begins with START.
     parts = F.split(F.col("formatted"), r"<\|im_end\|>\n")
     inner = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda b: block(F.substring(b, F.lit(len(START) + 1), F.length(b))))
-    masked = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select("conv_id", "formatted", F.flatten(inner).alias("turns"), masked.alias("loss_texts"))
+    read = formatted.select("conv_id", "formatted", "loss", F.flatten(inner).alias("pieces"))
+    starts = X.let(F.transform("pieces", lambda p: p["before"] + p["length"] + p["after"]), lambda x: _starts(x))
+    place = lambda start, kind, length, text: F.struct(start.alias("start"), F.lit(kind).alias("kind"), length.alias("length"), text.alias("text"))
+    placed = F.zip_with(starts, "pieces", lambda at, p: place(at + p["before"], 1, p["length"], p["text"]))
+    spans = F.transform("loss", lambda s: place(s["start"], 0, s["length"], F.lit(None).cast("string")))
+
+    def under(both: Column) -> Column:
+        span = lambda i: F.get(both, i - 1)
+        hit = lambda p, i: (i > 0) & (p["kind"] == 1) & (span(i)["kind"] == 0) & (span(i)["start"] == p["start"]) & (span(i)["length"] == p["length"])
+        return F.filter(F.transform(both, lambda p, i: F.when(hit(p, i), p["text"])), lambda t: t.isNotNull())
+
+    found = read.withColumn("found", X.let(F.sort_array(F.concat(placed, spans)), under))
+    cut = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    masked = F.when(F.size("found") == F.size("loss"), F.col("found")).otherwise(cut)
+    return found.select("conv_id", "formatted", F.transform("pieces", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text"))).alias("turns"), masked.alias("loss_texts"))
 
 
 def with_control_case(rows: DataFrame) -> DataFrame:
