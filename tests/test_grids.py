@@ -21,7 +21,7 @@ def square(i, x, y, a):
 def test_nearest_polygons(spark):
     habitat = spark.createDataFrame(square(7, 0, 0, 10), SEG)
     near = [*square(1, 15, 0, 10), *square(2, 25, 0, 10), *square(3, 35, 0, 10), *square(4, 5000, 0, 10)]
-    got = {r.id: math.sqrt(r.d2) for r in spatial.nearest(spark.createDataFrame(near, SEG), habitat, 16.0).collect()}
+    got = {r.id: math.sqrt(r.d2) for r in spatial.nearest(spark.createDataFrame(near, SEG), habitat).collect()}
     assert got == {1: 5.0, 2: 15.0, 3: 25.0, 4: 4990.0}
     assert [(r.id, r.other, r.d2) for r in spatial.nearest(habitat, habitat.limit(0)).collect()] == [(7, None, None)]  # one row for each left feature
 
@@ -205,10 +205,10 @@ def test_nearest_of_nested_and_apart_polygons(spark):
     schema = "id long, x1 double, y1 double, x2 double, y2 double"
     left = spark.createDataFrame(_ring(1, 40, 40, 60, 60) + _ring(2, 110, 0, 120, 10) + _ring(3, 300, 300, 400, 400) + _ring(4, 95, 95, 105, 105), schema)
     right = spark.createDataFrame(_ring(7, 0, 0, 100, 100) + _ring(8, 340, 340, 350, 350), schema)
-    got = {r.id: (r.other, r.d2) for r in spatial.nearest(left, right, 20.0, polygons=True).collect()}
+    got = {r.id: (r.other, r.d2) for r in spatial.nearest(left, right, polygons=True).collect()}
     assert got == {1: (7, 0.0), 2: (7, 100.0), 3: (8, 0.0), 4: (7, 0.0)}
     hole = spark.createDataFrame(_ring(7, 0, 0, 100, 100) + _ring(7, 30, 30, 70, 70), schema)
-    assert {r.id: r.d2 for r in spatial.nearest(left.where("id = 1"), hole, 20.0, polygons=True).collect()} == {1: 100.0}
+    assert {r.id: r.d2 for r in spatial.nearest(left.where("id = 1"), hole, polygons=True).collect()} == {1: 100.0}
     nothing = spatial.nearest(left, right.limit(0), polygons=True).collect()
     assert sorted(r.id for r in nothing) == [1, 2, 3, 4] and not any(r.other for r in nothing)
 
@@ -335,3 +335,39 @@ def test_rounds_of_squaring_grow_with_the_logarithm_of_hops(spark, monkeypatch):
     got = network.max_product(frame, told)
     assert got.where("i = 0 and j = 70").first().p == pytest.approx(math.exp(-70))
     assert len(rounds) <= 2 + 8
+
+
+@pytest.mark.parametrize("levels", [None, 1, 9])
+def test_nearest_goes_down_the_pyramid(spark, levels):
+    """Ties, equal points, a crowd far from everything, stragglers, NULL coordinates on both sides, repeated rows."""
+    rng = random.Random(12)
+    at = lambda n, x, spread: [(x + rng.randrange(spread), x + rng.randrange(spread)) for _ in range(n)]
+    right = [(i, float(x), float(y)) for i, (x, y) in enumerate(at(60, 0, 40) + at(40, 100_000, 5) + [(7, 7)] * 5)] + [(900, None, 1.0), (901, 1.0, None)]
+    left = [(i, float(x), float(y)) for i, (x, y) in enumerate(at(50, 0, 40) + at(10, -3_000_000, 9) + at(10, 50_000, 5000) + at(5, 9_000_000, 9) + [(3, 3)] * 2)]
+    points = lambda rows: spark.createDataFrame([(i, x, y, x, y) for i, x, y in rows], "id long, x1 double, y1 double, x2 double, y2 double")
+    want = {i: min(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in right if u is not None and v is not None) for i, x, y in left}
+    odd = [(500, None, 2.0), (501, 2.0, None), *left[:3]]
+    got = spatial.nearest(points(left + odd), points(right), levels=levels).collect()
+    assert len(got) == len(left) + 2
+    assert {r.id: (r.d2, r.other) for r in got} == {k: (float(d), j) for k, (d, j) in want.items()} | {500: (None, None), 501: (None, None)}
+    nothing = spatial.nearest(points(left[:2]), points(right[-2:])).collect()
+    assert [(r.other, r.d2) for r in nothing] == [(None, None)] * 2
+
+
+def test_nearest_polygons_against_all_pairs(spark):
+    rng = random.Random(14)
+
+    def rings(n, first, reach, most):
+        return [e for i in range(n) for e in square(first + i, rng.randrange(reach), rng.randrange(reach), rng.randrange(1, most))]
+
+    left, right = rings(60, 0, 900, 30), rings(30, 100, 900, 120)
+
+    def apart(a, b):
+        box = lambda es: (min(e[1] for e in es), max(e[1] for e in es), min(e[2] for e in es), max(e[2] for e in es))
+        (a0, a1, a2, a3), (b0, b1, b2, b3) = box(a), box(b)
+        return max(0, a0 - b1, b0 - a1) ** 2 + max(0, a2 - b3, b2 - a3) ** 2
+
+    own = lambda es, i: [e for e in es if e[0] == i]
+    want = {i: min((apart(own(left, i), own(right, j)), j) for j in range(100, 130)) for i in range(60)}
+    got = spatial.nearest(spark.createDataFrame(left, SEG), spark.createDataFrame(right, SEG), polygons=True).collect()
+    assert {r.id: (r.d2, r.other) for r in got} == want

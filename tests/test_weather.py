@@ -96,3 +96,22 @@ def test_frost_of_the_day_before_within_and_after_the_record(spark):
     old = weather.as_of(frame, frost, "date", ["had_frost"]).collect()
     assert by_row == {r.n: bool(r.had_frost) for r in old if r.date} | {7: False}
     assert [by_row[i] for i in range(7)] == [False, True, True, False, False, True, False]
+
+
+def test_days_that_a_record_has_twice(spark):
+    """A left row stays one row: of several values of its day the largest counts."""
+    days = [(1, dt.date(2020, 5, 1), False), (1, dt.date(2020, 5, 1), True), (1, dt.date(2020, 5, 1), True), (1, dt.date(2020, 5, 3), False), (1, dt.date(2020, 5, 3), None)]
+    daily = spark.createDataFrame(days, "station int, date date, had_frost boolean")
+    asked = spark.createDataFrame([(7, 1, dt.date(2020, 5, 2)), (8, 1, dt.date(2020, 5, 9)), (9, 1, dt.date(2020, 4, 1))], "id int, station int, date date")
+    got = sorted((r.id, r.had_frost) for r in weather.as_of_day(asked, daily, "date", "had_frost").collect())
+    assert got == [(7, True), (8, False), (9, None)]
+
+
+def test_obligation_and_workability_keep_their_rows(spark):
+    start = dt.date(2020, 1, 1)
+    record = [(1, start + dt.timedelta(k), float(k % 9), 1.0, -5.0 if k < 20 else 4.0, 0.0) for k in range(60)]
+    twice = spark.createDataFrame(record + record[10:14] + [(1, record[30][1], 50.0, 1.0, -20.0, 0.0)], "station int, date date, rrday double, tday double, tmin double, snow double")
+    asked = spark.createDataFrame([(k, 1, record[k][1], "60", 0.1, 0.7, 1.0, 2.0) for k in (11, 12, 30, 31, 59)], "decl_id int, station int, date date, soiltype string, proportionpine double, proportionspruce double, b1 double, b2 double")
+    assert sorted(r.decl_id for r in stands.obligation(asked, twice).collect()) == [11, 12, 30, 31, 59]
+    rows = {r.decl_id: r for r in stands.workability(asked, twice, {1.0: "b1", 4.0: "b2"}).collect()}
+    assert len(rows) == 5 and rows[30].wetness > rows[31].wetness

@@ -6,6 +6,7 @@ equi-joins on square buckets with an exact test after, never inequality joins.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,50 +78,94 @@ def too_close(left: DataFrame, network: DataFrame, setback: float) -> DataFrame:
     return within(left, network, setback).select("id").distinct()
 
 
-def containing(features: DataFrame, rings: DataFrame, size: float) -> DataFrame:
-    """(id, other): features of which a corner lies in a polygon (closed rings, holes included) of ``rings``.
+def _boxes(edges: DataFrame, key: str) -> DataFrame:
+    """(key, x_min, x_max, y_min, y_max, px, py): the box of every feature and one of its corners."""
+    box = edges.groupBy(F.col("id").alias(key)).agg(F.min(F.least("x1", "x2")).alias("x_min"), F.max(F.greatest("x1", "x2")).alias("x_max"), F.min(F.least("y1", "y2")).alias("y_min"), F.max(F.greatest("y1", "y2")).alias("y_max"), F.min(F.struct("x1", "y1")).alias("p"))
+    return box.select(key, "x_min", "x_max", "y_min", "y_max", F.col("p.x1").alias("px"), F.col("p.y1").alias("py"))
 
-    A feature that crosses no edge is in a polygon if one of its corners is. Corners meet the polygons whose box has
-    their bucket, and the edges of those alone are counted that a ray to the east crosses.
-    """
-    corner = features.groupBy("id").agg(F.min(F.struct("x1", "y1")).alias("p")).select("id", F.col("p.x1").alias("px"), F.col("p.y1").alias("py"))
-    box = rings.groupBy(F.col("id").alias("other")).agg(*[f(F.col(c)).alias(n) for f, c, n in ((F.min, "x1", "x_min"), (F.max, "x1", "x_max"), (F.min, "y1", "y_min"), (F.max, "y1", "y_max"))])
-    at = lambda c: F.floor(F.col(c) / size)
-    boxes = box.withColumn("bx", F.explode(F.sequence(at("x_min"), at("x_max")))).withColumn("by", F.explode(F.sequence(at("y_min"), at("y_max"))))
-    near = corner.withColumns({"bx": at("px"), "by": at("py")}).join(boxes, ["bx", "by"])
-    near = near.where(F.col("px").between(F.col("x_min"), F.col("x_max")) & F.col("py").between(F.col("y_min"), F.col("y_max"))).select("id", "px", "py", "other")
-    edges = rings.where("y1 <> y2").select(F.col("id").alias("other"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
-    crossed = F.expr("(v1 > py) <> (v2 > py) and px < u1 + (py - v1) * (u2 - u1) / (v2 - v1)")
-    return near.join(edges, "other").groupBy("id", "other").agg(F.count_if(crossed).alias("n")).where("n % 2 = 1").select("id", "other")
+
+BOX = ("x_min", "x_max", "y_min", "y_max")
+
+
+def _covered() -> list[Column]:
+    return [F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max")]
+
+
+def _apart(a: str, b: str) -> Column:
+    """Squared distance of two boxes whose columns have these prefixes."""
+    return F.expr("+".join(f"pow(greatest(0D, {a}{c}_min - {b}{c}_max, {b}{c}_min - {a}{c}_max), 2)" for c in "xy"))
 
 
-def nearest(left: DataFrame, right: DataFrame, start: float = 1000.0, polygons: bool = False) -> DataFrame:
+def _farthest(a: str, b: str) -> Column:
+    return F.expr("+".join(f"pow(greatest(abs({a}{c}_max - {b}{c}_min), abs({b}{c}_max - {a}{c}_min)), 2)" for c in "xy"))
+
+
+def _near(bound: Column | str) -> Column:
+    """A bound with room for what floating point may have lost."""
+    return F.col(bound) * (1 + 1e-9) + 1e-9
+
+
+def nearest(left: DataFrame, right: DataFrame, polygons: bool = False, levels: int | None = None) -> DataFrame:
     """(id, other, d2): the nearest right feature of every left one, the smallest id of equals; NULLs without any.
 
-    Features whose nearest is within the reach are done; the reach then doubles for the rest. Rounds grow with the
-    logarithm of the farthest distance, and each looks at near buckets only. With ``polygons`` both sides are closed
-    rings, and one that holds the other is at distance 0.
+    Right features lie in a pyramid of buckets: a bucket has the box of the features that begin in it, a bucket of the next
+    level those of four. Left features of one bucket go down the pyramid together; a bucket is left out that is farther
+    than some other bucket's farthest corner. What is left at the bottom are few features for each left one: those whose
+    boxes are nearer than the nearest known corner are measured edge by edge. So no left feature meets all right ones,
+    however far away it is, and rounds grow with the logarithm of the right features' number.
+
+    An edge with a NULL coordinate isn't there; a left feature without edges gets NULLs. With ``polygons`` both sides are
+    closed rings, and one that holds the other is at distance 0. ``levels``: of the pyramid, else by the number of
+    right features, four to a bucket of the lowest if they were even.
     """
-    if right.isEmpty():
-        return left.select("id", F.lit(None).cast(right.schema["id"].dataType).alias("other"), F.lit(None).cast("double").alias("d2")).distinct()
-    todo, reach, done = left, float(start), None
+    known = F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull()
+    ids, kind = left.select("id").distinct(), right.schema["id"].dataType
+    left, right = left.where(known), right.where(known)
+    boxes = cut(_boxes(right, "other"))
+    whole = boxes.agg(*_covered(), F.count(F.lit(1)).alias("n")).first()
+    if not whole["n"]:
+        return ids.select("id", F.lit(None).cast(kind).alias("other"), F.lit(None).cast("double").alias("d2"))
+    if levels is None:
+        levels = max(1, math.ceil(math.log2(whole["n"]) / 2) - 1)
+    size = max(whole["x_max"] - whole["x_min"], whole["y_max"] - whole["y_min"], 1e-9) / 2**levels
+    at = lambda c, low: F.floor((F.col(c) - low) / size).cast("long")
+    placed = boxes.withColumns({"bx": at("x_min", whole["x_min"]), "by": at("y_min", whole["y_min"])})
+    lowest = placed.groupBy("bx", "by").agg(*_covered())
+    up = lowest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"bx": F.expr("shiftright(bx, level)"), "by": F.expr("shiftright(by, level)")})
+    pyramid = cut(up.groupBy("level", "bx", "by").agg(*_covered()).select("level", "bx", "by", *[F.col(c).alias(f"r{c}") for c in BOX]))
+    # Left features whose boxes span the same buckets walk together.
+    features = _boxes(left, "id").withColumns({"k0": at("x_min", whole["x_min"]), "k1": at("x_max", whole["x_min"]), "k2": at("y_min", whole["y_min"]), "k3": at("y_max", whole["y_min"])})
+    features = cut(features)
+    group = ["k0", "k1", "k2", "k3"]
+    walk = features.groupBy(*group).agg(*_covered())
+    best = F.min("far").over(Window.partitionBy(*group))
+    top = pyramid.where(F.col("level") == levels).drop("level")  # four buckets at most
+    met = walk.join(F.broadcast(top))
+    for level in range(levels, -1, -1):
+        met = met.withColumns({"near": _apart("", "r"), "far": _farthest("", "r")}).withColumn("best", best).where(F.col("near") <= _near("best"))
+        if level:
+            above = cut(met.select(*group, *BOX, F.col("bx").alias("ux"), F.col("by").alias("uy")))
+            below = pyramid.where(F.col("level") == level - 1).withColumns({"ux": F.shiftright("bx", 1), "uy": F.shiftright("by", 1)}).drop("level")
+            met = above.join(below, ["ux", "uy"]).drop("ux", "uy")
+    found = met.select(*group, "bx", "by")
+    own = features.select("id", *group, *[F.col(c).alias(f"l{c}") for c in BOX], F.col("px").alias("lx"), F.col("py").alias("ly"))
+    pairs = own.join(found, group).join(placed, ["bx", "by"])
+    pairs = pairs.withColumns({"near": _apart("l", ""), "corner": F.expr("pow(lx - px, 2) + pow(ly - py, 2)")})
+    pairs = pairs.withColumn("best", F.min("corner").over(Window.partitionBy("id"))).where(F.col("near") <= _near("best"))
+    pairs = cut(pairs.select("id", "other", "near", "lx", "ly", "px", "py"))
+    edges = lambda d, key: d.select(F.col("id").alias(key), F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
+    ends = edges(right, "other")
+    told = pairs.select("id", "other").join(left, "id").join(ends, "other").groupBy("id", "other").agg(F.min(squared_distance()).alias("d2"))
     if polygons:
-        within_ = containing(right, left, reach).select(F.col("other").alias("id"), F.col("id").alias("other"))
-        held = containing(left, right, reach).unionByName(within_)
-        # An edge that crosses is at distance 0 too, so equals are told by the smallest id of both kinds.
-        touching = within(left, right, reach).where("d2 = 0").select("id", "other")
-        done = cut(held.unionByName(touching).groupBy("id").agg(F.min("other").alias("other")).withColumn("d2", F.lit(0.0)))
-        todo = cut(todo.join(done.select("id"), "id", "left_anti"))
-        if todo.isEmpty():
-            return done
-    while True:
-        best = within(todo, right, reach).groupBy("id").agg(F.min(F.struct("d2", "other")).alias("b")).select("id", "b.other", "b.d2")
-        best = cut(best)
-        done = best if done is None else done.unionByName(best)
-        todo = cut(todo.join(best.select("id"), "id", "left_anti"))
-        if todo.isEmpty():
-            return done
-        reach *= 2
+        # A feature that crosses no edge of a polygon is in it if one of its corners is.
+        boxed = pairs.where("near = 0")
+        crossed = lambda x, y: F.count_if(F.expr(f"(v1 > {y}) <> (v2 > {y}) and {x} < u1 + ({y} - v1) * (u2 - u1) / (v2 - v1)")) % 2 == 1
+        in_right = boxed.join(ends, "other").groupBy("id", "other").agg(crossed("lx", "ly").alias("held"))
+        in_left = boxed.join(edges(left, "id"), "id").groupBy("id", "other").agg(crossed("px", "py").alias("held"))
+        held = in_right.unionByName(in_left).where("held").select("id", "other", F.lit(0.0).alias("d2"))
+        told = told.unionByName(held)
+    nearest_ = told.groupBy("id").agg(F.min(F.struct("d2", "other")).alias("b")).select("id", "b.other", "b.d2")
+    return ids.join(nearest_, "id", "left")
 
 
 def burned(edges: DataFrame, grid: Grid) -> DataFrame:
@@ -213,7 +258,3 @@ def stations_near(stations: DataFrame, west: float, south: float, east: float, n
 def first_of_tiles(cells: DataFrame) -> DataFrame:
     """A mosaic: of overlapping tiles the first wins; ``cells``: tile_seq, row, col, value."""
     return cells.groupBy("row", "col").agg(F.min_by("value", "tile_seq").alias("value"))
-
-
-def numbered(df: DataFrame, key: str, by: str) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(key)))

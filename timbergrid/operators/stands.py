@@ -98,10 +98,11 @@ def workability(declarations: DataFrame, daily: DataFrame, bands: dict[float, st
     """Declarations with DTW bands: wetness of the day, threshold, blended and soil-adjusted DTW, frozen, workable.
 
     A day without weather has no threshold and no DTW, and isn't frozen. The calendar meets the declarations in an
-    equi-join by station and day.
+    equi-join by station and day. Of several rows of a day the wettest counts, and of those a frozen one.
     """
     c = F.col
-    calendar = weather.frozen_ground(weather.wetness_percentile(daily, by=by), by=by).select(*by, "date", "wetness", "frozen")
+    calendar = weather.frozen_ground(weather.wetness_percentile(daily, by=by), by=by)
+    calendar = calendar.groupBy(*by, "date").agg(F.max(F.struct("wetness", "frozen")).alias("_day")).select(*by, "date", "_day.wetness", "_day.frozen")
     rows = declarations.join(calendar, [*by, "date"], "left").withColumn("threshold", R.threshold_ha(c("wetness")))
     rows = rows.withColumns({"dtw_m": R.at_threshold(c("threshold"), {t: c(name) for t, name in bands.items()}), "is_peat": R.is_peat(c("soiltype")), "frozen": R.holds(c("frozen"))})
     rows = rows.withColumn("adjusted_dtw_m", R.adjusted_dtw(c("dtw_m"), c("is_peat")))

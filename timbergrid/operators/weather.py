@@ -87,10 +87,11 @@ def as_of_day(left: DataFrame, daily: DataFrame, date: str, value: str, by: Sequ
     rows meet it in an equi-join by station and day; days after the last take the last.
 
     Only the record, days times stations, is sorted; left rows are spread by station and day, however few the stations.
+    Of several values of a day the largest counts (true before false), so a left row stays one row.
     """
     ends = daily.groupBy(*by).agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
     every = ends.select(*by, F.explode(F.sequence("_from", "_to")).alias("_at"))
-    known = daily.select(*by, F.col("date").alias("_at"), F.col(value).alias("_told"))
+    known = daily.groupBy(*by, F.col("date").alias("_at")).agg(F.max(value).alias("_told"))
     upto = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     whole = every.join(known, [*by, "_at"], "left").select(*by, "_at", F.last("_told", ignorenulls=True).over(upto).alias(value))
     last = ends.select(*by, "_to")

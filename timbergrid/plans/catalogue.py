@@ -82,7 +82,7 @@ def a03_deadwood(spark: SparkSession, sf: str) -> DataFrame:
 
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
     left = spatial.points(proxies.frame(spark, sf, "stands"), "stand_row", "x", "y")
-    return spatial.nearest(left, spatial.points(proxies.frame(spark, sf, "habitats"), "hid", "hx", "hy"), 2000.0)
+    return spatial.nearest(left, spatial.points(proxies.frame(spark, sf, "habitats"), "hid", "hx", "hy"))
 
 
 NEAREST = """with n as (select stand_row, min(struct_pack(d2 := (x - hx) * (x - hx) + (y - hy) * (y - hy), hid := hid)) as b from stands, habitats group by stand_row)"""
