@@ -1,18 +1,73 @@
-"""Cutting lineage in iterative jobs: reliable checkpoints in the folder that the cluster names."""
+"""Cutting lineage in iterative jobs: tables in the folder that the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the checkpoint folder. Where none is set a local session takes a temporary one; a cluster's must name one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (context.master or "").startswith("local"):
+
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not (context.master or "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="timbergrid-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="timbergrid-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet and read back: what follows starts from a scan, and a lost executor costs its tasks.
+
+    A checkpointed RDD would run the plan twice, and keep the plan's own guess of its size. In a loop that joins a state
+    with itself that guess squares every round, until planning takes longer than the work; a table has its real size.
+    Where no folder is set a local session takes a temporary one; a cluster's must name one.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/timbergrid-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that nothing reads any more."""
+    for t in tables:
+        _written.remove((t.sparkSession, t._cut_path))
+        _remove(t.sparkSession, t._cut_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _cleanup() -> None:
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is not None:  # else the session is gone
+            _remove(spark, path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once, for Python functions that run there."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId not in _shipped and package.is_dir():  # else it came as a zip itself
+        target = Path(tempfile.mkdtemp(prefix="timbergrid-")) / f"{package.name}_package.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(target))
+    _shipped.add(context.applicationId)

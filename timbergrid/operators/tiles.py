@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbergrid.operators.checkpoints import cut
+from timbergrid.operators.checkpoints import cut, ship
 
 TILE = 256
 LAYERS = 16
@@ -79,6 +79,7 @@ def settled(ground: DataFrame, starts: DataFrame | None, keys: Sequence[str], of
     ground is none. Without ``starts`` the cells that lack one of their eight neighbours start with their ground.
     ``layer`` is a column of whole numbers that tells fields over one ground apart.
     """
+    ship(ground.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in ground.schema}
     reach = ground.agg(F.max("row").alias("r"), F.max("col").alias("c"), F.min("row").alias("r0"), F.min("col").alias("c0")).first()
     if reach["r"] is None:
