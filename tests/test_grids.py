@@ -301,7 +301,7 @@ def test_only_tiles_that_were_sent_an_edge_are_settled(spark, monkeypatch):
     assert len(settled) >= 16 and max(settled) <= 2
 
 
-@pytest.mark.parametrize("block", [4, 512])
+@pytest.mark.parametrize("block", [4, 1024])
 def test_paths_by_squares_of_blocks(spark, block):
     rng = random.Random(3)
     edges = {}
