@@ -21,12 +21,19 @@ FEATURE_Z = 150.0
 BANDS = {0.5: "dtw_050", 1.0: "dtw_1", 2.0: "dtw_2", 4.0: "dtw_4", 10.0: "dtw_10"}
 K_TABLE = {1: 0.013, 2: 0.043, 3: 0.031}
 C_TABLE = {12: 0.15, 25: 0.0015, 33: 0.1}
+#: What the SQL of a query says that has a table which refers to itself.
+RECURSIVE = " from w join "
 _found: dict[str, tuple[Query, str | None]] = {}
 
 
 def query(sql: str | None = None, *tables: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        _found[f.__name__] = f, None if sql is None else (proxies.ctes(*tables) + (", " + sql.lstrip()[5:] if sql.lstrip().startswith("with ") else sql) if tables else sql)
+        told = sql
+        if sql is not None and tables:
+            told = proxies.ctes(*tables) + (", " + sql.lstrip()[5:] if sql.lstrip().startswith("with ") else sql)
+            if RECURSIVE in sql:
+                told = told.replace("with ", "with recursive ", 1)
+        _found[f.__name__] = f, told
         return f
 
     return add
@@ -427,8 +434,61 @@ def c06_network_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def r12_r14_depth_to_water(spark: SparkSession, sf: str) -> DataFrame:
-    dem = proxies.frame(spark, sf, "grid").select("row", "col", (F.col("z") + 7 * F.col("row")).alias("z"))
-    return rounded(hydrology.depth_to_water(dem, [0.5, 1.0], RES))
+    return rounded(hydrology.depth_to_water(_dem(spark, sf), [0.5, 1.0], RES))
+
+
+def _dem(spark: SparkSession, sf: str) -> DataFrame:
+    return proxies.frame(spark, sf, "grid").select("row", "col", (F.col("z") + 7 * F.col("row")).alias("z"))
+
+
+@query()
+def r12_breached_surface(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(hydrology.breached(_dem(spark, sf), 20))
+
+
+STEPS = "(values (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) as o(k, dr, dc)"
+AROUND = f"e as (select row, col, z + 7 * row as z from grid), n as (select a.row, a.col, a.z, b.z as there, o.k, o.dr, o.dc from e a cross join {STEPS} join e b on b.row = a.row + dr and b.col = a.col + dc)"
+CHANNEL_HA = (0.1, 0.3, 0.6)
+LINKS = (
+    "with "
+    + AROUND
+    + f""", f as (select row, col, row + dr as tr, col + dc as tc from n where z > there qualify row_number() over (partition by row, col order by (z - there) / case when dr <> 0 and dc <> 0 then sqrt(2e0) else 1e0 end desc, k) = 1),
+w as (select row, col from e union all select f.tr, f.tc from w join f using (row, col)), acc as (select row, col, count(*) as n from w group by row, col),
+t as (select unnest([{", ".join(f"{t}e0" for t in CHANNEL_HA)}]) as t), s as (select t, row, col from acc, t where n >= t * 10000 / 256),
+d as (select s.t, s.row, s.col, f.tr, f.tc from s join f using (row, col) join s x on x.t = s.t and x.row = f.tr and x.col = f.tc), u as (select t, tr as row, tc as col, count(*) as n from d group by 1, 2, 3),
+l as (select s.t, s.row as hr, s.col as hc, s.row, s.col from s left join u using (t, row, col) where coalesce(n, 0) <> 1 union all select l.t, l.hr, l.hc, d.tr, d.tc from l join d on d.t = l.t and d.row = l.row and d.col = l.col join u on u.t = l.t and u.row = d.tr and u.col = d.tc and u.n = 1),
+m as (select l.t, hr, hc, sum(case when d.row <> tr and d.col <> tc then sqrt(2e0) * 16 else 16 end) as m from l join d on d.t = l.t and d.row = l.row and d.col = l.col group by 1, 2, 3)
+select t.t as threshold_ha, count(m) as n_segments, round(coalesce(sum(m), 0), 6) as length_m, round(coalesce(max(m), 0), 6) as longest_m from t left join m on m.t = t.t group by t.t"""
+)
+
+
+@query(LINKS, "grid")
+def r13_channel_links(spark: SparkSession, sf: str) -> DataFrame:
+    flow = cut(hydrology.d8(_dem(spark, sf)))
+    return rounded(hydrology.channel_report(cut(hydrology.accumulation(flow)), flow, list(CHANNEL_HA), RES))
+
+
+def _shared_sql() -> str:
+    number = {step: k for k, step in enumerate(hydrology._AROUND)}
+    near = "v as (select row, col, z, " + ", ".join(f"max(there) filter (k = {k}) as z{k}" for k in range(8)) + " from n group by row, col, z)"
+    facets = []
+    for i, (direct, diagonal) in enumerate(hydrology.FACETS):
+        a, b = number[direct], number[diagonal]
+        facets.append(f"select row, col, {i} as i, {direct[0]} as r1, {direct[1]} as c1, {diagonal[0]} as r2, {diagonal[1]} as c2, z - z{a} as s1, z{a} - z{b} as s2, atan2(z{a} - z{b}, z - z{a}) as g from v")
+    return (
+        AROUND
+        + f""", {near}, fa as ({" union all ".join(facets)}),
+sl as (select *, case when g < 0 then s1 when g > pi() / 4 then (s1 + s2) / sqrt(2e0) else sqrt(s1 * s1 + s2 * s2) end as slope, greatest(0e0, least(1e0, g / (pi() / 4))) as p from fa where s1 is not null and s2 is not null),
+be as (select * from sl where slope > 0 qualify row_number() over (partition by row, col order by round(slope, 9) desc, i) = 1),
+fl as (select row, col, row + r1 as tr, col + c1 as tc, 1 - p as q from be where p < 1 union all select row, col, row + r2, col + c2, p from be where p > 0),
+w as (select 0 as n, row, col, 1e0 as m from e union all select w.n + 1, fl.tr, fl.tc, sum(w.m * fl.q) from w join fl using (row, col) group by w.n + 1, fl.tr, fl.tc)
+select row, col, round(sum(m), 6) as accum_cells from w group by row, col"""
+    )
+
+
+@query("with " + _shared_sql(), "grid")
+def r14_shared_accumulation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(hydrology.shared_accumulation(hydrology.d_infinity(_dem(spark, sf))))
 
 
 @query(
