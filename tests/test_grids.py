@@ -371,3 +371,32 @@ def test_nearest_polygons_against_all_pairs(spark):
     want = {i: min((apart(own(left, i), own(right, j)), j) for j in range(100, 130)) for i in range(60)}
     got = spatial.nearest(spark.createDataFrame(left, SEG), spark.createDataFrame(right, SEG), polygons=True).collect()
     assert {r.id: (r.d2, r.other) for r in got} == want
+
+
+@pytest.mark.parametrize("bins, few", [(4, 3), (1024, 4096), (2, 1)])
+def test_quantiles_by_ranges(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(stats, "BINS", bins)
+    monkeypatch.setattr(stats, "FEW", few)
+    rng = random.Random(17)
+    rows = [("a", rng.choice([0.0, 1.0, 2.5])) for _ in range(70)] + [("b", rng.uniform(-9, 9) * 10 ** rng.randrange(-20, 20)) for _ in range(41)] + [(None, 5.0), ("one", -3.0), ("c", None), ("c", float("nan")), ("b", float("inf"))]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.fraction): r.value for r in stats.quantiles(frame, "v", [0.0, 0.37, 0.5, 0.9, 1.0], ["g"]).collect()}
+    want = {}
+    for g in ("a", "b", None, "one"):
+        vs = sorted(v for k, v in rows if k == g and v is not None and math.isfinite(v))
+        for f in (0.0, 0.37, 0.5, 0.9, 1.0):
+            at = (len(vs) - 1) * f
+            a, b = vs[math.floor(at)], vs[math.ceil(at)]
+            want[g, f] = a + (b - a) * (at - math.floor(at))
+    assert got == pytest.approx(want, rel=1e-9)
+    whole = stats.quantiles(frame.where("g = 'a'"), "v", [0.5]).collect()
+    assert [(r.fraction, r.value) for r in whole] == [(0.5, want["a", 0.5])]
+    assert stats.quantiles(frame.limit(0), "v", [0.5], ["g"]).count() == 0
+
+
+def test_class_table(spark):
+    rows = [(k, d) for k, ds in {1: [8.0, 9.0, 0.5], 2: [3.0, 4.0], 5: [0.2, 1.5], 6: [0.1], 7: [5.0], 4: [0.0]}.items() for d in ds]
+    got = {r.klass: (r.n, r.median_dtw, r.workable_share) for r in stats.class_table(spark.createDataFrame(rows, "klass int, dtw double")).collect()}
+    assert got == {"1": (3, 8.0, 0.667), "2": (2, 3.5, 1.0), "5": (2, 0.85, 0.5), "6": (1, 0.1, 0.0), "1-3": (5, 4.0, 0.8), "all": (8, 2.25, 0.625)}
+    told = stats.class_table(spark.createDataFrame([(k, 10.0 - k) for k in range(1, 7)], "klass int, dtw double"))
+    assert told.where("klass = 'all'").first().spearman == -1.0 and told.where("spearman is not null").count() == 1

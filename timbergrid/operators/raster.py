@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from timbergrid.functions import rules as R
 from timbergrid.operators.spatial import Grid
+from timbergrid.operators.stats import quantiles
 
 
 def stream_cells(cells: DataFrame, band: str = "stream", nodata: float = -32768.0) -> DataFrame:
@@ -146,7 +147,7 @@ def soil_loss(cells: DataFrame, res: float, k_table: Mapping[int, float], c_tabl
 
 def erosion_in_buffers(loss: DataFrame, streams: DataFrame, grid: Grid, widths: Sequence[float], pct: float = 0.9) -> DataFrame:
     """Per width: buffer hectares, those of high erosion, and their share. High: at or above the percentile of a > 0."""
-    bound = loss.where("a > 0").agg(F.coalesce(F.percentile("a", F.lit(pct)), F.lit(0.0)).alias("bound"))  # one row
+    bound = quantiles(loss.where("a > 0"), "a", [pct]).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("bound"))  # one row
     near = distance_within(streams, max(widths) / grid.res, grid.n_rows, grid.n_cols)
     rows = loss.where("a is not null").join(near, ["row", "col"], "right").join(F.broadcast(bound))
     each = rows.withColumn("width", F.explode(F.array(*[F.lit(float(w)) for w in widths]))).where(F.col("d2") * (grid.res * grid.res) <= F.col("width") * F.col("width"))
@@ -167,4 +168,5 @@ def resistance_surface(cells: DataFrame, settings: DataFrame | None = None, cfg=
 
 def valid_pixel_stats(cells: DataFrame, value: str = "value", nodata: Sequence[float] = (32766, 32767)) -> DataFrame:
     valid = cells.where(~F.col(value).isin(*[float(x) for x in nodata]))
-    return valid.agg(F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max"), F.count(value).alias("n"))
+    told = valid.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
+    return told.join(quantiles(valid, value, [0.5]).select(F.col("value").alias("median")), how="left").select("min", "median", "max", "n")  # one row each

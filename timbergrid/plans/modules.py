@@ -27,7 +27,7 @@ ENDS = ("first_decade_mean", "last_decade_mean")
 #: The trend's p stays in the trend's own table.
 TREND = ("n", "s", "tau", "slope")
 BENCHMARK = ("n", "spearman", "pearson_log", "median_ratio")
-CLASSES = ("n", "median_dtw", "workable_share")
+CLASSES = ("n", "median_dtw", "workable_share", "spearman")
 
 
 def stream_distance(stands: DataFrame, streams: DataFrame, grid: spatial.Grid) -> DataFrame:
