@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbergrid.functions import geodesy
 from timbergrid.operators.checkpoints import cut
 
 
@@ -248,11 +249,17 @@ def sheets_for_box(sheets: DataFrame, x_min: float, y_min: float, x_max: float,
 
 
 def stations_near(stations: DataFrame, west: float, south: float, east: float, north: float, most_km: float = 40.0) -> DataFrame:
-    """Stations within a great-circle distance of a box of degrees, nearest first."""
-    c = F.col
-    rows = stations.dropDuplicates(["fmisid"]).withColumns({"_lon": F.greatest(F.lit(west), F.least(F.lit(east), c("lon"))), "_lat": F.greatest(F.lit(south), F.least(F.lit(north), c("lat")))})
-    h = F.pow(F.sin(F.radians(c("lat") - c("_lat")) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("_lat")) * F.pow(F.sin(F.radians(c("lon") - c("_lon")) / 2), 2)
-    return rows.withColumn("km", 2 * 6371.0088 * F.asin(F.sqrt(h))).where(c("km") <= most_km).drop("_lon", "_lat").orderBy("km", "fmisid")
+    """Stations within a distance, on the ellipsoid, of a box of degrees, nearest first."""
+    lon, lat = F.greatest(F.lit(west), F.least(F.lit(east), F.col("lon"))), F.greatest(F.lit(south), F.least(F.lit(north), F.col("lat")))
+    rows = stations.dropDuplicates(["fmisid"]).withColumn("km", geodesy.distance_m(F.col("lon"), F.col("lat"), lon, lat) / 1000)
+    return rows.where(F.col("km") <= most_km).orderBy("km", "fmisid")
+
+
+def box_degrees(areas: DataFrame) -> DataFrame:
+    """``areas`` (x_min, y_min, x_max, y_max in metres) with west, south, east, north: the degrees of two opposite corners."""
+    corner = lambda n: geodesy.from_plane(F.col(f"x_{n}"), F.col(f"y_{n}"))
+    (lon0, lat0), (lon1, lat1) = corner("min"), corner("max")
+    return areas.withColumns({"west": F.least(lon0, lon1), "south": F.least(lat0, lat1), "east": F.greatest(lon0, lon1), "north": F.greatest(lat0, lat1)})
 
 
 def first_of_tiles(cells: DataFrame) -> DataFrame:

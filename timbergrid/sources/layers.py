@@ -45,8 +45,9 @@ def catchment(spark: SparkSession, path: str, identifier: str, level: str = "tas
 
 
 def protected_areas(layers: Mapping[str, DataFrame | None]) -> DataFrame:
-    """All layers together with their name in ``pa_source``; missing ones are skipped."""
-    return reduce(DataFrame.unionByName, [d.withColumn("pa_source", F.lit(name)) for name, d in layers.items() if d is not None])
+    """All layers together with their name in ``pa_source``; missing ones are skipped, and without any there are no rows."""
+    found = [d.withColumn("pa_source", F.lit(name)) for name, d in layers.items() if d is not None]
+    return reduce(DataFrame.unionByName, found) if found else SparkSession.active().createDataFrame([], "x double, y double, pa_source string")
 
 
 def nodes(protected: DataFrame, habitats: DataFrame, support: DataFrame, stands: DataFrame, old_age: float = 120) -> DataFrame:
