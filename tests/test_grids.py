@@ -400,3 +400,21 @@ def test_class_table(spark):
     assert got == {"1": (3, 8.0, 0.667), "2": (2, 3.5, 1.0), "5": (2, 0.85, 0.5), "6": (1, 0.1, 0.0), "1-3": (5, 4.0, 0.8), "all": (8, 2.25, 0.625)}
     told = stats.class_table(spark.createDataFrame([(k, 10.0 - k) for k in range(1, 7)], "klass int, dtw double"))
     assert told.where("klass = 'all'").first().spearman == -1.0 and told.where("spearman is not null").count() == 1
+
+
+def test_resistance_of_burned_stands(spark):
+    """Of two stands over a cell the later counts where it has a value; off stands and without values land cover counts."""
+    from timbergrid.plans.config import Resistance
+
+    cfg, grid = Resistance(), Grid(0.0, 40.0, 10.0, 4, 4)
+    edges = spark.createDataFrame(square(1, 0, 0, 40) + square(2, 0, 0, 20), SEG)
+    stands = spark.createDataFrame([(1, "60", 12.5, 0.25), (2, "old", 25.0, None)], "id int, meanage string, basalarea double, proportionother double")
+    cover = spark.createDataFrame([(r, c, 24.0) for r in range(2) for c in range(2)], "row int, col int, clc double")
+    bands = {(r.row, r.col): (r.meanage, r.basalarea, r.proportionother) for r in raster.stand_bands(edges, stands, grid, ["meanage", "basalarea", "proportionother"]).collect()}
+    assert bands == {(r, c): (60.0, 25.0, 0.25) if r > 1 and c < 2 else (60.0, 12.5, 0.25) for r in range(4) for c in range(4)}
+    w, t = cfg.weights, cfg.land_cover[next(k for k, v in cfg.classes.items() if 24 in v)]
+    blend = lambda basal: cfg.low + (cfg.high - cfg.low) * (w["age"] * 0.5 + w["structure"] * (1 - basal / 25) + w["species"] * 0.5 + w["landcover"] * t)
+    got = {(r.row, r.col): r.cost for r in raster.stand_resistance(edges, stands, cover, Grid(0.0, 40.0, 20.0, 2, 2), grid).collect()}
+    assert got == pytest.approx({k: blend(b[1]) for k, b in bands.items()})
+    none = raster.stand_resistance(edges.limit(0), stands, cover, Grid(0.0, 40.0, 20.0, 2, 2), grid).collect()
+    assert {round(r.cost, 9) for r in none} == {round(cfg.low + (cfg.high - cfg.low) * t, 9)} and len(none) == 16

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbergrid.functions import rules as R
-from timbergrid.operators.spatial import Grid
+from timbergrid.operators.spatial import Grid, burned
 from timbergrid.operators.stats import quantiles
 
 
@@ -166,6 +166,27 @@ def resistance_surface(cells: DataFrame, settings: DataFrame | None = None, cfg=
     return cells.withColumn("cost", R.resistance(terms, F.col("clc"), cfg))
 
 
+def stand_bands(edges: DataFrame, stands: DataFrame, grid: Grid, attributes: Sequence[str]) -> DataFrame:
+    """(row, col, attributes): each attribute burned from the stands' polygons; over a cell the last stand with a value wins.
+
+    ``edges``: id and rings; ``stands``: id and the attributes, numbers or texts; what is no number is no value.
+    Polygons are burned once for all attributes, which meet in one grouping.
+    """
+    told = stands.select("id", *[R.number(F.col(a)).alias(a) for a in attributes])
+    cells = burned(edges, grid).join(told, "id")
+    return cells.groupBy("row", "col").agg(*[F.max_by(a, F.when(F.col(a).isNotNull(), F.col("id"))).alias(a) for a in attributes])
+
+
+def stand_resistance(edges: DataFrame, stands: DataFrame, land_cover: DataFrame, cover_grid: Grid, grid: Grid, cfg=None) -> DataFrame:
+    """(row, col, clc, cost) of every cell of a grid: land cover brought to it, stand attributes burned onto it.
+
+    Cells off all stands, and attributes without a value, fall back to the land cover's term.
+    """
+    bands = stand_bands(edges, stands, grid, ["meanage", "basalarea", "proportionother"])
+    cover = aligned(land_cover, cover_grid, grid, "clc")
+    return resistance_surface(cover.join(bands, ["row", "col"], "left"), cfg=cfg).select("row", "col", "clc", "cost")
+
+
 def valid_pixel_stats(cells: DataFrame, value: str = "value", nodata: Sequence[float] = (32766, 32767)) -> DataFrame:
     valid = cells.where(~F.col(value).isin(*[float(x) for x in nodata]))
     told = valid.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))

@@ -12,6 +12,7 @@ from timbergrid.operators import hydrology, network, raster, spatial, stands, st
 from timbergrid.operators.checkpoints import cut
 from timbergrid.plans import modules, proxies
 from timbergrid.plans.config import Resistance, Sweep, perturbed
+from timbergrid.sources import layers
 from timbergrid.streaming.weather import daily_values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,8 +429,25 @@ def c06_network_report(spark: SparkSession, sf: str) -> DataFrame:
     patch = cut(_patches(spark, sf))
     base, swept = _sweep(spark, sf, [(0, NETWORK)], patch), _sweep(spark, sf, perturbed(NETWORK, Sweep()), patch)
     area = proxies.frame(spark, sf, "grid").groupBy((F.floor(F.col("row") / 4) * proxies.side(spark, sf) + F.floor(F.col("col") / 4)).cast("long").alias("label")).agg((F.count(F.lit(1)) * RES * RES / 1e4).alias("area_ha"))
-    nodes = proxies.frame(spark, sf, "habitats").select(F.concat(F.lit("habitat_"), F.col("habitattype").cast("string")).alias("node_type"))
-    return modules.network_report(nodes, base, swept, area)
+    return modules.network_report(_node_sources(spark, sf), base, swept, area)
+
+
+def _node_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Habitats stand for protected areas of two sources too, stands of one drainage for supported ones."""
+    habitats = proxies.frame(spark, sf, "habitats").withColumnsRenamed({"hx": "x", "hy": "y"})
+    rows = proxies.frame(spark, sf, "stands")
+    protected = layers.protected_areas({"state": habitats.where("habitattype = 1").select("x", "y"), "private": None, "natura_sac": habitats.where("habitattype = 3").select("x", "y")})
+    return layers.nodes(protected, habitats, rows.where("drainagestate = 9"), rows)
+
+
+@query(
+    """select node_type, count(*) as n_nodes from (select case habitattype when 1 then 'pa_state' else 'pa_natura_sac' end as node_type from habitats union all select 'habitat_s10' from habitats
+union all select 'ymparistotuki' from stands where drainagestate = 9 union all select 'old_stand' from stands where meanage >= 120) q group by node_type""",
+    "habitats",
+    "stands",
+)
+def a16_node_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _node_sources(spark, sf).groupBy("node_type").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 @query()
@@ -505,6 +523,32 @@ def p16_p18_land_cover_resistance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(proxies.frame(spark, sf, "grid").select("row", "col", "clc", R.resistance([(1.0, cover)], F.col("clc")).alias("cost")))
 
 
+def _resistance_sql() -> str:
+    """Squares about the stands, as wide as their area tells; a cell belongs to a square that holds its centre."""
+    cfg = Resistance()
+    cover = "case " + " ".join(f"when clc in ({', '.join(map(str, codes))}) then {cfg.land_cover[name]}e0" for name, codes in cfg.classes.items()) + f" else {sum(cfg.land_cover.values()) / len(cfg.land_cover)}e0 end"
+    term = lambda c, most: f"case when {c} is null then t else 1 - least(greatest({c} / {most}e0, 0e0), 1e0) end"
+    w = cfg.weights
+    blend = f"{w['age']}e0 * {term('meanage', cfg.age_cap)} + {w['structure']}e0 * {term('basalarea', cfg.basal_area_cap)} + {w['species']}e0 * {term('proportionother', cfg.deciduous_share)} + {w['landcover']}e0 * t"
+    return f"""with rs as (select 68000e0 / {SIDE} as res, {SIDE} as side), c as (select r.row, k.col, (k.col + 0.5e0) * res as cx, 68000 - (r.row + 0.5e0) * res as cy from rs, (select unnest(range(0, {SIDE})) as row) r, (select unnest(range(0, {SIDE})) as col) k),
+b as (select c.row, c.col, arg_max(meanage, stand_row) as meanage, arg_max(basalarea, stand_row) as basalarea, arg_max(1 - proportionspruce - proportionpine, stand_row) as proportionother
+from c join stands s on cx >= x - area * 100 and cx < x + area * 100 and cy >= y - area * 100 and cy < y + area * 100 group by c.row, c.col),
+j as (select c.row, c.col, coalesce(g.clc, 0) as clc, meanage, basalarea, proportionother from c left join b using (row, col) left join grid g on g.row = c.row and g.col = c.col), q as (select *, {cover} as t from j)
+select cast(row as int) as row, cast(col as int) as col, cast(clc as double) as clc, round(case when clc in ({", ".join(map(str, cfg.classes["water"]))}) then {cfg.water}e0 else {cfg.low}e0 + ({blend}) * ({cfg.high}e0 - {cfg.low}e0) end, 9) as cost from q"""
+
+
+@query(_resistance_sql(), "stands", "grid")
+def r09_stand_resistance(spark: SparkSession, sf: str) -> DataFrame:
+    n = proxies.side(spark, sf)
+    grid = spatial.Grid(0.0, 68000.0, 68000.0 / n, n, n)
+    rows = proxies.frame(spark, sf, "stands").withColumn("id", F.col("stand_row")).withColumn("h", F.col("area") * 100)
+    at = [(F.col("x") + i * F.col("h"), F.col("y") + j * F.col("h")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    sides = F.array(*[F.struct(*[c.cast("double").alias(name) for c, name in zip((*at[k], *at[(k + 1) % 4]), ("x1", "y1", "x2", "y2"), strict=True)]) for k in range(4)])
+    edges = rows.select("id", F.explode(sides).alias("e")).select("id", "e.*")
+    attributes = rows.select("id", "meanage", "basalarea", (1 - F.col("proportionspruce") - F.col("proportionpine")).alias("proportionother"))
+    return rounded(raster.stand_resistance(edges, attributes, proxies.frame(spark, sf, "grid").select("row", "col", F.col("clc").cast("double").alias("clc")), grid, grid), 9)
+
+
 def _part(section: str, item: str, metrics: tuple[str, ...], sql: str) -> str:
     rows = ", ".join(f"struct_pack(metric := '{m}', value := cast({m} as double))" for m in metrics)
     return f"select section, item, u.metric as metric, round(u.value, 6) as value from (select '{section}' as section, {item} as item, unnest([{rows}]) as u from ({sql}) x) y"
