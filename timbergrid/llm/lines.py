@@ -1,7 +1,10 @@
 """Line dedup: levelled sorted runs of line hashes.
 
-The store is a set of runs, each a table of (key hash, number of documents), bucketed and sorted by the hash, so that
-two runs meet in a merge join without a shuffle. Documents come in batches. A batch is reduced to its own counts,
+The store is a set of runs, each a table of (key hash, number of documents), bucketed by the hash and sorted within its
+files. Two runs, or a run and a batch dealt by the hash, meet in a merge join whose bucketed sides aren't shuffled. Spark
+doesn't trust the files' order, since a bucket may have several, and sorts each bucket again; and what a merge of two runs
+gives is dealt anew when a third is merged into it, as a full join's keys have no partitioning that Spark knows of.
+Documents come in batches. A batch is reduced to its own counts,
 merge-anti-joined with the keys that the runs already know to be common, and what is left becomes a run of level 0.
 When ``FANOUT`` runs share a level they are compacted into one run of the next level, their counts added up. After the
 last batch one compaction over all runs gives the exact common keys: a key that the anti-join held back was common

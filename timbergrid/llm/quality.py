@@ -160,7 +160,9 @@ def ablations(ledger_rows: DataFrame, policy: Policy = DEFAULT, rules: Sequence[
 def keep(docs: DataFrame, policy: Policy = DEFAULT, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with all their columns: each row's ledger entry meets the mask."""
     name, bits = X.keep_columns(docs.columns, "_measured"), X.keep_columns(docs.columns, "_fail_bits")
-    entries = docs.withColumn(name, measurements(F.col("text"))).withColumn(bits, fail_bits(lambda m: F.col(name)[m], rules))
+    # As the one element of an array that is taken apart: else the filter would be pushed below the measurement, and
+    # would hold it anew for every rule.
+    entries = docs.select("*", F.explode(F.array(measurements(F.col("text")))).alias(name)).withColumn(bits, fail_bits(lambda m: F.col(name)[m], rules))
     return entries.where(passes(F.col(bits), policy, rules)).drop(name, bits)
 
 
