@@ -377,19 +377,28 @@ def w11_backbone(spark: SparkSession, sf: str) -> DataFrame:
     return network.backbone(proxies.frame(spark, sf, "edges"))
 
 
-
-
 def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select("run", F.explode(F.array("i", "j")).alias("patch_id")).distinct().withColumns({"area_ha": (F.col("patch_id") * 17 % 97 + 3) / 8, "dispersal": F.lit(400.0)})
 
 
-@query()
+#: Least sums over walks of 1, 2 and so on edges, up to as many as there are nodes.
+PATHS = """with b as (select i, j, cost / 400e0 as c from edges union all select j, i, cost / 400e0 from edges), nd as (select distinct i as k, (i * 17 % 97 + 3) / 8e0 as area from b),
+w as (select 0 as n, k as i, k as j, 0e0 as d from nd union all select w.n + 1, w.i, b.j, min(w.d + b.c) from w join b on b.i = w.j where w.n < (select count(*) from nd) group by w.n + 1, w.i, b.j),
+p as (select i, j, exp(-min(d)) as p from w group by i, j)"""
+
+
+@query(PATHS + " select 0 as run, i, j, round(p, 6) as p from p", "edges")
 def g02_max_product(spark: SparkSession, sf: str) -> DataFrame:
     edges = proxies.frame(spark, sf, "edges")
     return rounded(network.max_product(edges, _nodes(edges)))
 
 
-@query()
+@query(
+    PATHS
+    + """, r as (select p.i, a.area as ai, sum(b.area * p.p) as s from p join nd a on a.k = p.i join nd b on b.k = p.j group by 1, 2), t as (select sum(ai * s) as total, sum(ai) as area from r)
+select 0 as run, i as patch_id, round(100 * (2 * ai * s - ai * ai) / total, 6) as dpc, round(total / (area * area), 6) as pc from r, t""",
+    "edges",
+)
 def a13_connectivity(spark: SparkSession, sf: str) -> DataFrame:
     edges = proxies.frame(spark, sf, "edges")
     return rounded(network.connectivity(network.max_product(edges, _nodes(edges)), _nodes(edges)))
