@@ -119,3 +119,35 @@ def test_stream_distance_and_sections(spark):
     assert [r.nearest_derived_stream_m for r in none] == [None] * 4
     told = modules.section(spark.createDataFrame([(10.0, 1.5, None)], "width double, a double, b long"), "s", ("a", "b"), F.col("width").cast("int")).collect()
     assert [tuple(r) for r in told] == [("s", "10", "a", 1.5), ("s", "10", "b", None)]
+
+
+def test_features_by_place(spark, tmp_path, capsys):
+    edges = [(k, 641 if k % 2 else 612, "a" if k % 3 else None, 500.0 * (k % 40), 700.0 * (k // 40), 500.0 * (k % 40) + 90.0, 700.0 * (k // 40) - 40.0) for k in range(1600)]
+    frame = spark.createDataFrame(edges, "id long, workcode int, environmentmanagementtype string, x1 double, y1 double, x2 double, y2 double")
+    sinks.write_features(frame, f"{tmp_path}/virtavesikapea", bucket_m=1000.0)
+    area = Area("a", 2050.0, 1000.0, 6000.0, 5000.0)
+    got = layers.topographic(spark, str(tmp_path), "streams", area)
+    want = {e[0] for e in edges if e[5] >= area.x_min and e[3] <= area.x_max and e[4] >= area.y_min and e[6] <= area.y_max}
+    assert {r.id for r in got.collect()} == want and 0 < len(want) < 100
+    got.explain("formatted")
+    assert got.columns == frame.columns and "GreaterThanOrEqual(x_max,2050.0)" in capsys.readouterr().out
+    # Every file's edges lie together: the area meets few of them.
+    whole = spark.read.parquet(f"{tmp_path}/virtavesikapea")
+    boxes = whole.groupBy(F.input_file_name()).agg(F.min("x_min").alias("x0"), F.max("x_max").alias("x1"), F.min("y_min").alias("y0"), F.max("y_max").alias("y1")).collect()
+    met = [b for b in boxes if b.x1 >= area.x_min and b.x0 <= area.x_max and b.y1 >= area.y_min and b.y0 <= area.y_max]
+    assert len(boxes) == 8 and len(met) <= 3
+    with pytest.raises(KeyError):
+        layers.topographic(spark, str(tmp_path), "lakes")
+    support = layers.environmental_support(spark, f"{tmp_path}/virtavesikapea")
+    assert {r.id for r in support.collect()} == {e[0] for e in edges if e[1] == 641 and e[2]}
+
+
+def test_clipped_to_a_polygon_with_a_hole(spark):
+    from timbergrid.operators import raster
+    from timbergrid.operators.spatial import Grid
+
+    ring = lambda a, b: [(1, a, a, b, a), (1, b, a, b, b), (1, b, b, a, b), (1, a, b, a, a)]
+    edges = spark.createDataFrame([(i, *map(float, e)) for i, *e in ring(0, 40) + ring(10, 20)], "id int, x1 double, y1 double, x2 double, y2 double")
+    cells = spark.createDataFrame([(r, c, 1.0) for r in range(6) for c in range(6)], "row int, col int, value double")
+    got = raster.clipped(cells, edges, Grid(0.0, 60.0, 10.0, 6, 6)).collect()
+    assert {(r.row, r.col) for r in got} == {(r, c) for r in range(2, 6) for c in range(4)} - {(4, 1)}

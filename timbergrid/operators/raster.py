@@ -166,6 +166,11 @@ def resistance_surface(cells: DataFrame, settings: DataFrame | None = None, cfg=
     return cells.withColumn("cost", R.resistance(terms, F.col("clc"), cfg))
 
 
+def clipped(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
+    """The cells whose centre lies in one of the polygons, holes left out."""
+    return cells.join(burned(edges, grid).select("row", "col").distinct(), ["row", "col"], "left_semi")
+
+
 def stand_bands(edges: DataFrame, stands: DataFrame, grid: Grid, attributes: Sequence[str]) -> DataFrame:
     """(row, col, attributes): each attribute burned from the stands' polygons; over a cell the last stand with a value wins.
 

@@ -36,6 +36,31 @@ def layer(spark: SparkSession, root: str, key: str, area: Area | None = None) ->
     return rows.where(F.col("x").between(area.x_min, area.x_max) & F.col("y").between(area.y_min, area.y_max))
 
 
+#: Themes of the topographic database, and the work code of environmental support.
+THEMES = {"streams": "virtavesikapea", "rivers": "virtavesialue"}
+SUPPORT_WORK = 641
+
+
+def features(spark: SparkSession, path: str, area: Area | None = None) -> DataFrame:
+    """Edges of ``sinks.write_features`` whose box meets an area; the comparisons reach the scan, which skips row groups."""
+    rows = spark.read.parquet(path)
+    if area is not None:
+        rows = rows.where((F.col("x_max") >= area.x_min) & (F.col("x_min") <= area.x_max) & (F.col("y_max") >= area.y_min) & (F.col("y_min") <= area.y_max))
+    return rows.drop("x_min", "x_max", "y_min", "y_max")
+
+
+def topographic(spark: SparkSession, root: str, theme: str, area: Area | None = None) -> DataFrame:
+    """Edges of a theme of the topographic database; an unknown theme is an error, not an empty table."""
+    if theme not in THEMES:
+        raise KeyError(f"{theme!r} is none of {sorted(THEMES)}")
+    return features(spark, f"{root}/{THEMES[theme]}", area)
+
+
+def environmental_support(spark: SparkSession, path: str, area: Area | None = None) -> DataFrame:
+    """Edges of stands under environmental support: those of its work code, of any kind of management."""
+    return features(spark, path, area).where((F.col("workcode") == SUPPORT_WORK) & F.col("environmentmanagementtype").isNotNull())
+
+
 def catchment(spark: SparkSession, path: str, identifier: str, level: str = "taso4") -> DataFrame:
     fields = {"taso4": "taso4_id", "taso5": "taso5_id"}
     rows = spark.read.parquet(path).where(F.col(fields[level]) == identifier)

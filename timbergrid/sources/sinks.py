@@ -46,3 +46,16 @@ def write_tiles(cells: DataFrame, path: str, tile: int, value: str = "value") ->
     at = F.sequence(F.lit(0), F.lit(tile * tile - 1))
     out = held.select("tile_r", "tile_c", F.transform(at, lambda i: F.try_element_at("m", i)).alias("data"), F.transform(at, lambda i: F.map_contains_key("m", i)).alias("valid"))
     out.write.mode("errorifexists").partitionBy("tile_r").parquet(path)
+
+
+def write_features(edges: DataFrame, path: str, bucket_m: float = 2000.0, files: int = 8) -> None:
+    """Edge tables (id, x1, y1, x2, y2 and more) laid out by place, each edge with its box, for ``layers.features``.
+
+    Files are ranges of buckets in the order of interleaved column and row numbers, so a box meets few row groups.
+    """
+    box = {"x_min": F.least("x1", "x2"), "x_max": F.greatest("x1", "x2"), "y_min": F.least("y1", "y2"), "y_max": F.greatest("y1", "y2")}
+    at = lambda c: F.floor(F.col(c) / bucket_m).cast("long")
+    bit = lambda n, k: F.shiftleft(F.shiftright(n, k).bitwiseAND(F.lit(1)), 2 * k)
+    code = sum((bit(at("x_min"), k) + F.shiftleft(bit(at("y_min"), k), 1) for k in range(1, 20)), bit(at("x_min"), 0) + F.shiftleft(bit(at("y_min"), 0), 1))
+    placed = edges.withColumns(box).withColumn("_place", code)
+    placed.repartitionByRange(files, "_place").sortWithinPartitions("_place", "id").drop("_place").write.mode("errorifexists").parquet(path)
