@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
+from timbergrid.operators.checkpoints import ship
 
 
 def prepare(spark: SparkSession, rows: int = 1000, mb: int = 32) -> None:
     """Ship the package to the executors once, and keep batches of whole texts small whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    if package.is_dir():  # else it came as a zip itself
-        target = Path(tempfile.mkdtemp(prefix="timbergrid-")) / f"{package.name}_package.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
+    ship(spark)
