@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from timbergrid.functions import rules as R
-from timbergrid.plans.config import Area, Resistance, Sweep, perturbed, problems
+from timbergrid.plans.config import Area, Resistance, Sweep, every_problem, perturbed, problems, read_config
 
 
 def told(spark, rows, schema, column):
@@ -109,3 +110,51 @@ def test_problems_are_all_told():
     assert len(problems({"bbox": [1, 2, 0, 3], "rootrot": {"look_back_days": True}})) == 12
     with pytest.raises(ValueError):
         Area("a", 1, 0, 0, 1)
+
+
+def whole_config():
+    return {
+        "bbox": [0, 0, 10, 10],
+        "dtw": {"reference": "dtw_2019", "unit": "cm", "resolution_m": 2, "culvert_burn": False, "pit_removal": "breach", "flow": "dinf", "thresholds_ha": [0.5, 4]},
+        "weather": {"enabled": True, "station": 101, "antecedent_days": [7, 14, 30]},
+        "soil": {"enabled": True, "peat_penalty": 0.5},
+        "rootrot": {"peat_spruce_share": 0.5, "mineral_conifer_share": 0.5, "look_back_days": 21, "period": {"start": "05-01", "end": "11-30"}, "frost_c": -10, "spore_c": 5, "setback_m": 10},
+        "planning": {"buffer_widths_m": [10, 30], "habitat_widths_m": [10], "wet_m": 1, "channel_resolution_m": 16, "retention_trees_ha": 10, "retention_dbh_cm": 15, "deadwood_trees_ha": 5, "deadwood_zone": "south", "deadwood_m3_ha": 5.5, "deadwood_standing": 0.3, "stumps_ha": 4},
+        "ccf": {"most_fertility_class": 3, "least_spruce_share": 0.5, "least_peat_code": 60, "drained_states": [7, 8, 9]},
+        "erosion": {"benchmark": "layer", "r_factor": 300, "length_exponent": 0.4, "slope_exponent": 1.3, "most_length_m": 100, "k_default": 0.02, "c_default": 0.01, "k_by_soil": {"1": 0.01}, "c_by_cover": {"12": 0.15}},
+        "nodes": {"sources": ["old_stands", "habitat_s10"], "old_age": 120},
+        "resistance": {"low": 1, "high": 100, "dispersal": 8000, "weights": dict.fromkeys(("age", "structure", "species", "landcover"), 0.25), "resolution_m": 16, "water": 1000, "age_cap": 120, "basal_area_cap": 25, "deciduous_share": 0.5, "land_cover": {"a": 0.1}, "coarsen": 8, "backbone_k": 3, "corridor_slack": 0.15},
+        "patches": {"merge_m": 200, "least_ha": 1},
+        "sweep": {"n_runs": 20, "robust_share": 0.8, "seed": 0, "weight_by": 0.4, "land_cover_by": 0.3, "dispersal_by": 0.5},
+    }
+
+
+def test_a_whole_configuration_has_no_problems(tmp_path):
+    assert every_problem(whole_config()) == []
+    (tmp_path / "c.json").write_text(json.dumps(whole_config()))
+    assert read_config(str(tmp_path / "c.json")) == whole_config()
+
+
+@pytest.mark.parametrize(
+    "section, key, wrong",
+    [("dtw", "unit", "km"), ("dtw", "culvert_burn", 1), ("dtw", "thresholds_ha", []), ("dtw", "thresholds_ha", [1, 0]), ("dtw", "flow", None), ("weather", "antecedent_days", [7, True]), ("weather", "station", None), ("soil", "peat_penalty", 1.5),
+     ("rootrot", "period", {"start": "05-01"}), ("rootrot", "period", {"start": "13-01", "end": "11-30"}), ("rootrot", "frost_c", "cold"), ("planning", "deadwood_zone", ""), ("planning", "wet_m", -1), ("ccf", "drained_states", [7.5]),
+     ("erosion", "k_by_soil", {}), ("erosion", "c_by_cover", {"1": 2}), ("nodes", "sources", ["old_stands", "ponds"]), ("resistance", "land_cover", {"a": False}), ("resistance", "water", float("nan")), ("sweep", "seed", "x")],
+)
+def test_each_wrong_key_is_one_problem(section, key, wrong, tmp_path):
+    config = whole_config()
+    config[section][key] = wrong
+    (told,) = every_problem(config)
+    assert told.startswith(f"{section}.{key}: ")
+    del config[section][key]
+    assert every_problem(config) == [f"{section}.{key}: it is missing"]
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    with pytest.raises(ValueError, match="it is missing"):
+        read_config(str(tmp_path / "c.json"))
+
+
+def test_a_missing_section_is_told_once():
+    config = whole_config()
+    del config["erosion"]
+    config["soil"] = 3
+    assert every_problem(config) == ["soil: the section is missing", "erosion: the section is missing"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -141,6 +142,131 @@ def problems(config: Mapping[str, Any]) -> list[str]:
     return found
 
 
+def _is_number(x: Any) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool)
+
+
+def _within(low: float, high: float = float("inf")) -> Callable[[Any], bool]:
+    return lambda x: _is_number(x) and low <= x <= high
+
+
+def _one_of(*allowed: str) -> Callable[[Any], bool]:
+    return lambda x: isinstance(x, str) and x in allowed
+
+
+def _listed(each: Callable[[Any], bool]) -> Callable[[Any], bool]:
+    return lambda x: isinstance(x, list | tuple) and len(x) > 0 and all(map(each, x))
+
+
+def _mapped(each: Callable[[Any], bool]) -> Callable[[Any], bool]:
+    return lambda x: isinstance(x, Mapping) and len(x) > 0 and all(map(each, x.values()))
+
+
+def _whole(x: Any) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool)
+
+
+def _flag(x: Any) -> bool:
+    return isinstance(x, bool)
+
+
+def _named(x: Any) -> bool:
+    return isinstance(x, str) and x != ""
+
+
+def _season(x: Any) -> bool:
+    return isinstance(x, Mapping) and all(re.fullmatch(r"(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])", str(x.get(k, ""))) for k in ("start", "end"))
+
+
+def _positive(x: Any) -> bool:
+    return _is_number(x) and x > 0
+
+
+SHARE, AT_LEAST_0 = (_within(0, 1), "a number from 0 to 1"), (_within(0), "a number of 0 or more")
+NUMBER, POSITIVE = (_is_number, "a number"), (_listed(_positive), "a list of positive numbers")
+#: Every other key of a configuration: its section, its name, the test that it must pass, and how that is told.
+KEYS: tuple[tuple[str, str, tuple[Callable[[Any], bool], str]], ...] = (
+    ("dtw", "reference", (_one_of("dtw_2019", "dtw_2023_cmv2"), "dtw_2019 or dtw_2023_cmv2")),
+    ("dtw", "unit", (_one_of("mm", "cm", "m"), "mm, cm or m")),
+    ("dtw", "resolution_m", AT_LEAST_0),
+    ("dtw", "culvert_burn", (_flag, "true or false")),
+    ("dtw", "pit_removal", (_one_of("carve", "breach"), "carve or breach")),
+    ("dtw", "flow", (_one_of("dinf", "d8", "mfd"), "dinf, d8 or mfd")),
+    ("dtw", "thresholds_ha", POSITIVE),
+    ("weather", "enabled", (_flag, "true or false")),
+    ("weather", "station", (lambda x: x is not None and x != "", "a station")),
+    ("weather", "antecedent_days", (_listed(lambda x: _whole(x) and x > 0), "a list of positive whole numbers")),
+    ("soil", "enabled", (_flag, "true or false")),
+    ("soil", "peat_penalty", SHARE),
+    ("rootrot", "period", (_season, "start and end as month and day")),
+    ("rootrot", "frost_c", NUMBER),
+    ("rootrot", "spore_c", NUMBER),
+    ("rootrot", "setback_m", AT_LEAST_0),
+    ("planning", "buffer_widths_m", POSITIVE),
+    ("planning", "habitat_widths_m", POSITIVE),
+    ("planning", "wet_m", AT_LEAST_0),
+    ("planning", "channel_resolution_m", AT_LEAST_0),
+    ("planning", "retention_trees_ha", AT_LEAST_0),
+    ("planning", "retention_dbh_cm", AT_LEAST_0),
+    ("planning", "deadwood_trees_ha", AT_LEAST_0),
+    ("planning", "deadwood_zone", (_named, "a name")),
+    ("planning", "deadwood_m3_ha", AT_LEAST_0),
+    ("planning", "deadwood_standing", SHARE),
+    ("planning", "stumps_ha", AT_LEAST_0),
+    ("ccf", "least_peat_code", AT_LEAST_0),
+    ("ccf", "drained_states", (_listed(_whole), "a list of whole numbers")),
+    ("erosion", "benchmark", (_named, "a name")),
+    ("erosion", "r_factor", AT_LEAST_0),
+    ("erosion", "length_exponent", AT_LEAST_0),
+    ("erosion", "slope_exponent", AT_LEAST_0),
+    ("erosion", "most_length_m", AT_LEAST_0),
+    ("erosion", "k_default", SHARE),
+    ("erosion", "c_default", SHARE),
+    ("erosion", "k_by_soil", (_mapped(_within(0, 1)), "codes with numbers from 0 to 1")),
+    ("erosion", "c_by_cover", (_mapped(_within(0, 1)), "codes with numbers from 0 to 1")),
+    ("nodes", "sources", (_listed(_one_of("protected_areas", "habitat_s10", "ymparistotuki", "old_stands")), "a list of known sources")),
+    ("nodes", "old_age", AT_LEAST_0),
+    ("resistance", "resolution_m", AT_LEAST_0),
+    ("resistance", "water", AT_LEAST_0),
+    ("resistance", "age_cap", AT_LEAST_0),
+    ("resistance", "basal_area_cap", AT_LEAST_0),
+    ("resistance", "deciduous_share", AT_LEAST_0),
+    ("resistance", "land_cover", (_mapped(_within(0, 1)), "categories with numbers from 0 to 1")),
+    ("resistance", "coarsen", AT_LEAST_0),
+    ("resistance", "backbone_k", AT_LEAST_0),
+    ("resistance", "corridor_slack", AT_LEAST_0),
+    ("patches", "merge_m", AT_LEAST_0),
+    ("patches", "least_ha", AT_LEAST_0),
+    ("sweep", "seed", AT_LEAST_0),
+    ("sweep", "weight_by", AT_LEAST_0),
+    ("sweep", "land_cover_by", AT_LEAST_0),
+    ("sweep", "dispersal_by", AT_LEAST_0),
+)
+
+
+def every_problem(config: Mapping[str, Any]) -> list[str]:
+    """``problems`` and what is wrong with all other keys; a section that isn't there is told once, not for each key."""
+    found, missing = problems(config), []
+    for section, key, (good, wanted) in KEYS:
+        part = config.get(section)
+        if not isinstance(part, Mapping):
+            missing += [] if section in missing else [section]
+        elif key not in part:
+            found.append(f"{section}.{key}: it is missing")
+        elif not good(part[key]):
+            found.append(f"{section}.{key}: {wanted} is needed, not {part[key]!r}")
+    return found + [f"{section}: the section is missing" for section in missing]
+
+
+def read_config(path: str) -> dict[str, Any]:
+    """A JSON configuration without problems; else an error that tells all of them."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    if found := every_problem(config):
+        raise ValueError("\n".join(found))
+    return config
+
+
 def config_digest(config: Mapping[str, Any]) -> str:
     """SHA-256 of the configuration in canonical JSON."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
