@@ -71,3 +71,11 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(package.parent))
         context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys into as many partitions as the session shuffles into, however few its bytes are.
+
+    For rows that hold arrays: their work is far above their size, by which Spark would put them into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

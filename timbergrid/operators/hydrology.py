@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbergrid.operators import tiles
-from timbergrid.operators.checkpoints import cut, drop, ship
+from timbergrid.operators.checkpoints import cut, drop, ship, spread
 
 _AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
 
@@ -109,7 +109,7 @@ def breached(dem: DataFrame, reach: int, z: str = "z", rise: float = 1e-4, tile:
 
     cells = dem.where(F.col(z).isNotNull()).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(z).cast("double").alias("z"))
     of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach - 1) / tile).cast("int"), F.floor((F.col(c) + reach + 1) / tile).cast("int")))
-    cuts = cells.withColumn("tr", of("row")).withColumn("tc", of("col")).groupBy("tr", "tc").applyInArrow(cut_ways, "row int, col int, cut double")
+    cuts = spread(cells.withColumn("tr", of("row")).withColumn("tc", of("col")), "tr", "tc").groupBy("tr", "tc").applyInArrow(cut_ways, "row int, col int, cut double")
     least = cuts.groupBy("row", "col").agg(F.min("cut").alias("cut"))
     return cells.join(least, ["row", "col"], "left").select("row", "col", F.least("z", "cut").alias("z"))
 
@@ -193,7 +193,7 @@ def shared_accumulation(flow: DataFrame, tile: int = tiles.TILE) -> DataFrame:
         return pa.table([pa.array([x.as_py()], pa.int32()) for x in key] + [pa.array([x.tobytes()], pa.binary()) for x in (here.astype(np.int32), k, p)], names=[*at, "cells", "k", "p"])
 
     placed = flow.withColumns({c: F.floor(F.col(of) / tile).cast("int") for c, of in (("tr", "row"), ("tc", "col"))})
-    grid = cut(placed.groupBy(*at).applyInArrow(pack, "tr int, tc int, cells binary, k binary, p binary"))
+    grid = cut(spread(placed, *at).groupBy(*at).applyInArrow(pack, "tr int, tc int, cells binary, k binary, p binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +220,7 @@ def shared_accumulation(flow: DataFrame, tile: int = tiles.TILE) -> DataFrame:
 
     todo, rounds = grid.withColumn("came", F.lit(None).cast("array<struct<at:int,amount:double>>")), []
     while True:
-        rounds.append(cut(todo.mapInArrow(run, "leaves boolean, row int, col int, amount double")))
+        rounds.append(cut(spread(todo, *at).mapInArrow(run, "leaves boolean, row int, col int, amount double")))
         sent = rounds[-1].where("leaves")
         if sent.isEmpty():
             break

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbergrid.operators.checkpoints import cut, ship
+from timbergrid.operators.checkpoints import spread as dealt
 
 TILE = 256
 LAYERS = 16
@@ -69,7 +70,7 @@ def ground_tiles(ground: DataFrame, keys: Sequence[str], tile: int) -> DataFrame
     near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col(c) + d) / tile).cast("int")))
     cells = ground.where(F.col("g").isNotNull()).select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("g").cast("double").alias("g"))
     placed = cells.withColumn("tr", F.explode(near("row"))).withColumn("tc", F.explode(near("col")))
-    return placed.groupBy(*at).applyInArrow(pack, "".join(f"{k} {kinds[k]}, " for k in keys) + "tr int, tc int, g binary")
+    return dealt(placed, *at).groupBy(*at).applyInArrow(pack, "".join(f"{k} {kinds[k]}, " for k in keys) + "tr int, tc int, g binary")
 
 
 def settled(ground: DataFrame, starts: DataFrame | None, keys: Sequence[str], offer: Offer, layer: str | None = None, tile: int = TILE) -> DataFrame:
@@ -155,7 +156,7 @@ def settled(ground: DataFrame, starts: DataFrame | None, keys: Sequence[str], of
 
     while True:
         met = todo.join(grounds, [*keys, "tr", "tc"]).select(*at, "start", "edges", "layers", "was", "g")
-        found = cut(met.mapInArrow(settle, head + "dr int, dc int, layers binary, v binary"))
+        found = cut(dealt(met, *at).mapInArrow(settle, head + "dr int, dc int, layers binary, v binary"))
         tables.append(found.where("dr = 0 and dc = 0"))
         if len(tables) > TABLES:
             tables = [cut(latest())]

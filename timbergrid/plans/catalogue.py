@@ -411,7 +411,14 @@ def _patches(spark: SparkSession, sf: str, least: int = 4) -> DataFrame:
     return network.patches(cells.select("row", "col"), 1.0, RES * RES / 1e4, least * RES * RES / 1e4)
 
 
-@query()
+CLOSED = """with bo as (select quantile_cont(z, 0.9) as bound from grid), nd as (select row, col from grid, bo where z >= bound), pl as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) as o(dr, dc)),
+gr as (select distinct row + dr as row, col + dc as col from nd, pl), ri as (select distinct g.row + a as row, g.col + b as col from gr g, (values (-1), (0), (1)) x(a), (values (-1), (0), (1)) y(b)),
+ed as (select * from ri anti join gr using (row, col)), sh as (select distinct row + dr as row, col + dc as col from ed, pl), cl as (select * from gr anti join sh using (row, col) union select * from nd),
+w as (select row as sr, col as sc, row, col from cl union select w.sr, w.sc, n.row, n.col from w join cl n on abs(n.row - w.row) <= 1 and abs(n.col - w.col) <= 1),
+c as (select row, col, min(sr * 4294967296 + sc) as patch_id from w group by row, col), a as (select patch_id, count(*) * 0.0256e0 as area_ha from c group by patch_id)"""
+
+
+@query(CLOSED + " select row, col, patch_id, area_ha from c join a using (patch_id) where area_ha >= 2 * 0.0256e0", "grid")
 def r10_r11_patches(spark: SparkSession, sf: str) -> DataFrame:
     return _patches(spark, sf, 2)
 
