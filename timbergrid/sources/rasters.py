@@ -152,6 +152,7 @@ class TileWriter(DataSourceWriter):
         files, at = _files(self.path)
         if files.get_file_info(at).type.name != "NotFound":
             raise FileExistsError(self.path)
+        files.create_dir(_files(self.staging)[1], recursive=True)
 
     def write(self, iterator: Iterator) -> Written:
         files, at = _files(self.staging)
@@ -159,7 +160,8 @@ class TileWriter(DataSourceWriter):
         for row in iterator:
             out = io.BytesIO()
             np.save(out, np.array([np.nan if x is None else x for x in row.data]).reshape(self.tile, self.tile))
-            files.create_dir(f"{at}/{row.level}", recursive=True)
+            # Not with the folder above it: once that is gone, the job has failed, and a task that still runs fails too.
+            files.create_dir(f"{at}/{row.level}", recursive=False)
             # A task that runs twice writes the same bytes under the same name.
             with files.open_output_stream(f"{at}/{row.level}/{row.tile_r}_{row.tile_c}.npy") as f:
                 f.write(out.getvalue())
@@ -169,15 +171,20 @@ class TileWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         files, at = _files(self.staging)
         tiles = sorted({t for m in messages if m is not None for t in m.tiles})
-        files.create_dir(at, recursive=True)
         with files.open_output_stream(f"{at}/record.json") as f:
             f.write(json.dumps({"tile": self.tile, "tiles": tiles, "record": json.loads(self.record)}, sort_keys=True).encode())
         files.move(at, _files(self.path)[1])
 
     def abort(self, messages: list[Written | None]) -> None:
         files, at = _files(self.staging)
-        if files.get_file_info(at).type.name != "NotFound":
-            files.delete_dir(at)
+        for _ in range(20):  # a task may be writing just now
+            try:
+                if files.get_file_info(at).type.name == "NotFound":
+                    return
+                files.delete_dir(at)
+            except OSError:
+                pass
+            time.sleep(0.1)
 
 
 def pyramid(cells: DataFrame, tile: int, levels: int, value: str = "value") -> DataFrame:
