@@ -144,3 +144,10 @@ def test_depth_to_water_from_an_opened_surface(spark, routing):
     z[8, 4] -= 6.0
     got = {(r.row, r.col): r.dtw for r in hydrology.depth_to_water(table(spark, z), [0.3], 10.0, breach_m=60.0, routing=routing).collect()}
     assert got.keys() == z.keys() and got[19, 4] == 0.0 and got[15, 6] > 0 and min(v for v in got.values() if v is not None) >= 0.0
+
+
+def test_equal_slopes_of_unequal_bits_are_a_tie(spark):
+    #  down to the north-east by 10 / sqrt(2), down to the south-west by sqrt(5 * 5 + 5 * 5): the first facet counts
+    z = {(r, c): 20.0 for r in range(3) for c in range(3)} | {(0, 2): 10.0, (0, 1): 19.0, (1, 2): 19.0, (2, 0): 10.0, (1, 0): 15.0, (2, 1): 19.0}
+    cell = {(r.row, r.col): r for r in hydrology.d_infinity(table(spark, z)).collect()}[1, 1]
+    assert (hydrology._AROUND[cell.k1], hydrology._AROUND[cell.k2], cell.p2) == ((0, 1), (-1, 1), 1.0)

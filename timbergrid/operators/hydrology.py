@@ -143,7 +143,8 @@ def d_infinity(dem: DataFrame, z: str = "z") -> DataFrame:
 
     A facet is the plane through a cell, a direct neighbour and the diagonal one beside it. Its flow is along the
     steepest way down within its eighth of a turn, shared by the angle's distance to both neighbours; the first of
-    equal facets counts. A cell without a falling facet has NULLs.
+    equal facets counts, where slopes are equal to nine digits: a root and a quotient of the same slope end in different
+    bits. A cell without a falling facet has NULLs.
     """
     number = {step: k for k, step in enumerate(_AROUND)}
     near = _around(dem.where(F.col(z).isNotNull()), z).groupBy("row", "col", "own").agg(*[F.max(F.when(F.col("k") == k, F.col("there"))).alias(f"z{k}") for k in range(8)])
@@ -154,7 +155,7 @@ def d_infinity(dem: DataFrame, z: str = "z") -> DataFrame:
         angle = F.atan2(s2, s1)
         slope = F.when(angle < 0, s1).when(angle > math.pi / 4, (F.col("own") - F.col(f"z{k2}")) / 2**0.5).otherwise(F.sqrt(s1 * s1 + s2 * s2))
         share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), angle / (math.pi / 4)))
-        facets.append(F.struct(slope.alias("slope"), F.lit(-n).alias("n"), F.lit(k1).alias("k1"), (1 - share).alias("p1"), F.lit(k2).alias("k2"), share.alias("p2")))
+        facets.append(F.struct(F.round(slope, 9).alias("steep"), F.lit(-n).alias("n"), slope.alias("slope"), F.lit(k1).alias("k1"), (1 - share).alias("p1"), F.lit(k2).alias("k2"), share.alias("p2")))
     best = near.withColumn("f", F.array_max(F.filter(F.array(*facets), lambda f: f["slope"] > 0)))
     return best.select("row", "col", "f.k1", "f.p1", "f.k2", "f.p2")
 
