@@ -32,6 +32,20 @@ def test_setback(spark):
     assert [r.id for r in spatial.too_close(pts, line, 10.0).collect()] == [1]
 
 
+def test_setback_makes_no_pairs(spark, monkeypatch):
+    """Features that all are within the setback of each other aren't paired; a place of many features is one."""
+    written, own = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df: written.append(own(df)) or written[-1])
+    rng = random.Random(4)
+    left = [(k, *2 * (float(rng.randrange(900)), float(rng.randrange(900)))) for k in range(300)] + [(300, None, 1.0, None, 1.0)]
+    right = [(k, *2 * (float(rng.randrange(300)), 0.0)) for k in range(200)] + [(k, *2 * (5.0, 5.0)) for k in range(200, 400)]
+    want = {a[0] for a in left[:300] if any((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 400**2 for b in right)}
+    got = [r.id for r in spatial.too_close(spark.createDataFrame(left, SEG), spark.createDataFrame(right, SEG), 400.0).collect()]
+    assert sorted(got) == sorted(want) and 50 < len(got) < 290
+    pairs = [t for t in written if {"id", "other"} <= set(t.columns)]
+    assert pairs and sum(t.count() for t in pairs) < 20 * 300
+
+
 def test_burn_matches_point_in_polygon(spark):
     grid = Grid(0.0, 200.0, 10.0, 20, 20)
     ring = [(12, 15), (150, 35), (95, 95), (170, 180), (40, 150), (60, 80)]

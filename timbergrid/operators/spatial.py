@@ -75,8 +75,14 @@ def within(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
 
 
 def too_close(left: DataFrame, network: DataFrame, setback: float) -> DataFrame:
-    """ids of left features with a network feature within the setback."""
-    return within(left, network, setback).select("id").distinct()
+    """ids of left features with a network feature within the setback.
+
+    The nearest one tells, so the work follows the left features, not the pairs within the setback. Which feature an edge
+    is of doesn't matter, so each place's edge is one, however many features have it.
+    """
+    ends = ["x1", "y1", "x2", "y2"]
+    each = network.select(*ends).distinct().select(F.struct(*ends).alias("id"), *ends)
+    return nearest(left, each).where(F.col("d2") <= setback * setback).select("id")
 
 
 def _boxes(edges: DataFrame, key: str) -> DataFrame:
