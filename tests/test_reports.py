@@ -51,3 +51,13 @@ def test_network_report(spark):
     }
     empty = modules.network_report(nodes.limit(0), {"connectivity": found.limit(0), "scores": scores.limit(0)}, {"connectivity": swept.limit(0), "robust": robust.limit(0)}, area).collect()
     assert not [r for r in empty if r.section in ("nodes", "top_patches")] and {r.value for r in empty if r.metric == "n_robust_stands"} == {0.0}
+
+
+def test_planning_report_makes_its_tables_once(spark, monkeypatch):
+    from timbergrid.plans import catalogue, proxies
+
+    made, own = [], proxies.frame
+    monkeypatch.setattr(proxies, "frame", lambda s, d, name: made.append(name) or own(s, d, name))
+    monkeypatch.setattr(modules, "planning_report", lambda **parts: parts["dead"])
+    catalogue.c05_planning_report(spark, "/root/testdata/sf0.001")
+    assert made.count("grid") == 1 and made.count("weather") == 1

@@ -297,7 +297,10 @@ def r07_slope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _loss(spark: SparkSession, sf: str) -> DataFrame:
-    g = proxies.frame(spark, sf, "grid")
+    return _loss_of(proxies.frame(spark, sf, "grid"))
+
+
+def _loss_of(g: DataFrame) -> DataFrame:
     return raster.soil_loss(g.join(raster.slope_degrees(g, RES), ["row", "col"]), RES, K_TABLE, C_TABLE, 300.0)
 
 
@@ -355,7 +358,11 @@ BENCHMARK = ", er as (select l.*, 300e0 * (k * ls * c) as a, 300e0 * (k * ls * c
 
 @query(LOSS + BENCHMARK, "grid")
 def a07_erosion_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.erosion_benchmark(_loss(spark, sf).withColumns({"covered": F.col("klass") > 1, "mk": F.col("a") + F.col("z") / 64}), "mk", ["a", "ls", "k", "c"])
+    return _benchmark_of(_loss(spark, sf))
+
+
+def _benchmark_of(loss: DataFrame) -> DataFrame:
+    return stats.erosion_benchmark(loss.withColumns({"covered": F.col("klass") > 1, "mk": F.col("a") + F.col("z") / 64}), "mk", ["a", "ls", "k", "c"])
 
 
 @query(
@@ -365,7 +372,11 @@ select klass, count(*) as n, round_even(median(dtw), 3) as median_dtw, round_eve
     "grid",
 )
 def a09_class_table(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.class_table(proxies.frame(spark, sf, "grid").withColumn("klass", 1 + F.col("clc") % 6))
+    return _classes_of(proxies.frame(spark, sf, "grid"))
+
+
+def _classes_of(g: DataFrame) -> DataFrame:
+    return stats.class_table(g.withColumn("klass", 1 + F.col("clc") % 6))
 
 
 @query(
@@ -570,10 +581,6 @@ def _part(section: str, item: str, metrics: tuple[str, ...], sql: str) -> str:
     return f"select section, item, u.metric as metric, round(u.value, 6) as value from (select '{section}' as section, {item} as item, unnest([{rows}]) as u from ({sql}) x) y"
 
 
-def _streams(spark: SparkSession, sf: str, threshold_ha: float) -> DataFrame:
-    return hydrology.channels(proxies.frame(spark, sf, "grid"), threshold_ha, RES)
-
-
 TREND = """with v as ($winters), p as (select a.station, sign(b.days - a.days) as s from v a join v b on a.station = b.station and b.winter > a.winter),
 k as (select station, sum(s) as s, count(*) as pairs, count(*) filter (s = 0) as tied from p group by station), l as (select station, count(*) as n, regr_slope(days, winter) as slope from v group by station)
 select station, n, coalesce(s, 0) as s, case when n >= 4 then s / sqrt(pairs * (pairs - tied)) end as tau, case when n >= 4 then slope end as slope from l left join k using (station)"""
@@ -604,15 +611,19 @@ def _report_sql() -> str:
 def c05_planning_report(spark: SparkSession, sf: str) -> DataFrame:
     found = queries()
     run = lambda name: found[name](spark, sf)
-    grid, loss = _grid(spark, sf), _loss(spark, sf)
-    mapped = proxies.frame(spark, sf, "grid").where(F.col("z") > FEATURE_Z).select("row", "col")
-    streams = {t: _streams(spark, sf, t) for t in modules.THRESHOLDS_HA}
+    # Fifteen sections are of the grid or the weather: each is made of the large tables once, not once a section and pass.
+    grid, g, w = _grid(spark, sf), cut(proxies.frame(spark, sf, "grid")), cut(proxies.frame(spark, sf, "weather"))
+    loss = cut(_loss_of(g))
+    mapped = g.where(F.col("z") > FEATURE_Z).select("row", "col")
+    streams = {t: hydrology.channels(g, t, RES) for t in modules.THRESHOLDS_HA}
+    winters = cut(weather.conflict_free_days(w, least_rows=100))
     return rounded(
         modules.planning_report(
             buffers={t: raster.buffer_report(s, mapped, grid, WIDTHS) for t, s in streams.items()},
             eroded={t: raster.erosion_in_buffers(loss, s, grid, WIDTHS) for t, s in streams.items()},
             ccf=run("a01_ccf_area_summary"), conflict=run("a02_ccf_rootrot_conflict"), dead=run("a03_deadwood"), proximity=run("a04_habitat_proximity"),
-            decades=run("a11_conflict_free_decades"), winters=run("a11_conflict_free_winters"), trend=run("w09_trend"), benchmark=run("a07_erosion_benchmark"), classes=run("a09_class_table"),
+            decades=rounded(weather.conflict_free_decades(w, least_rows=100)), winters=winters, trend=rounded(weather.trend(winters, "winter", "days")),
+            benchmark=_benchmark_of(loss), classes=_classes_of(g),
         )
     )
 
