@@ -289,6 +289,35 @@ def test_corridors_against_brute_force(spark):
     assert scores[0, 7] == pytest.approx((want.get((0, 0), 0) + want.get((9, 9), 0)) / 2) and scores[0, 8] == pytest.approx(want.get((5, 0), 0.0)) and scores[1, 7] == 0.0
 
 
+def test_fields_end_where_no_corridor_reaches(spark):
+    rng = random.Random(12)
+    cost = {(r, c): rng.choice([1.0, 4.0, 9.0]) for r in range(40) for c in range(40)}
+    seeds = {p: [(5 * (p // 8) + 1, 5 * (p % 8) + rng.randrange(3))] for p in range(64)}
+    grid = spark.createDataFrame([(0, *k, v) for k, v in cost.items()], "run int, row int, col int, cost double")
+    patches = spark.createDataFrame([(0, p, *k) for p, ks in seeds.items() for k in ks], "run int, patch_id long, row int, col int")
+    nodes = spark.createDataFrame([(0, p, 1.0 + p % 3, 40.0) for p in seeds], "run int, patch_id long, area_ha double, dispersal double")
+
+    def dense(fields, edges):
+        return {(r.row, r.col): r.density for r in network.corridors(fields, network.backbone(edges, 3), nodes, 0.15).collect()}
+
+    whole = network.cost_fields(patches, grid)
+    fields, edges = network.near_fields(patches, grid, 3, 0.15, tile=16)
+    assert dense(fields, edges) == pytest.approx(dense(whole, network.pair_costs(whole, patches)))
+    assert 0 < fields.count() < 0.7 * whole.count() == 0.7 * 64 * 1600
+    few = patches.where("patch_id < 2")  # fewer than three neighbours: as far as there are cells
+    assert network.near_fields(few, grid, 3, 0.15)[0].count() == 2 * 1600
+
+
+def test_tables_of_arrays_have_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    from timbergrid.operators import checkpoints
+
+    rows = checkpoints.cut(spark.range(0, 60, 1, 1).select("id", F.expr("encode(repeat(cast(id as string), 500000), 'utf-8')").alias("d")))
+    groups = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in rows.inputFiles()]
+    assert rows.count() == 60 and all(m.row_group(k).num_rows < 60 for m in groups for k in range(m.num_row_groups)) and sum(m.num_row_groups for m in groups) >= 3
+
+
 def test_fields_of_more_layers_than_a_task_holds(spark, monkeypatch):
     monkeypatch.setattr(tiles, "LAYERS", 2)
     monkeypatch.setattr(tiles, "TABLES", 1)

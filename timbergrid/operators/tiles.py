@@ -107,8 +107,8 @@ def settled(ground: DataFrame, starts: DataFrame | None, keys: Sequence[str], of
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, out = [], []
             for i in range(batch.num_rows):
+                of, out = [], []  # a batch for each tile: what is settled is many times what came
                 cell = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
                 tr, tc = cell("tr"), cell("tc")
                 g = np.frombuffer(cell("g")).reshape(tile + 2, tile + 2)
@@ -143,9 +143,9 @@ def settled(ground: DataFrame, starts: DataFrame | None, keys: Sequence[str], of
                     if fell.any():
                         of.append(i)
                         out.append((tr + dr, tc + dc, dr, dc, layers[fell].tobytes(), now[part][fell].tobytes()))
-            own = [batch.column(k).take(pa.array(of, pa.int64())) for k in (*keys, "_g")]
-            told = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays(own + [pa.array(list(x), k) for x, k in zip(told, [*[pa.int32()] * 4, *[pa.binary()] * 2], strict=True)], [*at, "dr", "dc", "layers", "v"])
+                own = [batch.column(k).take(pa.array(of, pa.int64())) for k in (*keys, "_g")]
+                told = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(own + [pa.array(list(x), k) for x, k in zip(told, [*[pa.int32()] * 4, *[pa.binary()] * 2], strict=True)], [*at, "dr", "dc", "layers", "v"])
 
     tables: list[DataFrame] = []
 
