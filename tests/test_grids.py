@@ -380,6 +380,28 @@ def test_rounds_of_squaring_grow_with_the_logarithm_of_hops(spark, monkeypatch):
     assert len(rounds) <= 2 + 8
 
 
+def test_pairs_of_nodes_are_not_kept_or_shuffled(spark, monkeypatch):
+    """What loops write is of the size of the nodes and edges, and the sums are those over all pairs."""
+    rng, n = random.Random(5), 400
+    edges = spark.createDataFrame([(run, i, j, float(rng.randrange(1, 90) * (1 + run))) for run in (0, 1) for i in range(n) for j in (i + 1, i + 7) if j < n and i != 250], "run int, i long, j long, cost double")
+    nodes = spark.createDataFrame([(run, k, (k * 17 % 97) / 8.0, 6.0) for run in (0, 1) for k in range(n + 1)], "run int, patch_id long, area_ha double, dispersal double")
+    made = []
+    own = network.cut
+    monkeypatch.setattr(network, "cut", lambda df: made.append(own(df)) or made[-1])
+    p = network.max_product(edges, nodes, block=16)
+    told = p.persist()
+    assert told.where("i < j").count() == told.where("i > j").count() > n * n / 2
+    assert told.where("i = 200 and j = 201").count() == 2 and told.where(f"j = {n} and i <> j").isEmpty()
+    assert max(x.count() for x in made) <= 2 * 2 * 2 * n
+    want = {(r.run, r.patch_id): (r.dpc, r.pc) for r in network.connectivity(told, nodes).collect()}
+    made.clear()
+    got = {(r.run, r.patch_id): (r.dpc, r.pc) for r in network.connectivity_of(edges, nodes, block=16).collect()}
+    assert got.keys() == want.keys() and len(got) == 2 * (n + 1)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    # Ways are followed as far as they count: not every part is loaded for every other.
+    assert max(x.count() for x in made if x.columns == ["run", "s", "c"]) < 2 * 26 * 26
+
+
 @pytest.mark.parametrize("levels", [None, 1, 9])
 def test_nearest_goes_down_the_pyramid(spark, levels):
     """Ties, equal points, a crowd far from everything, stragglers, NULL coordinates on both sides, repeated rows."""
