@@ -151,3 +151,19 @@ def test_equal_slopes_of_unequal_bits_are_a_tie(spark):
     z = {(r, c): 20.0 for r in range(3) for c in range(3)} | {(0, 2): 10.0, (0, 1): 19.0, (1, 2): 19.0, (2, 0): 10.0, (1, 0): 15.0, (2, 1): 19.0}
     cell = {(r.row, r.col): r for r in hydrology.d_infinity(table(spark, z)).collect()}[1, 1]
     assert (hydrology._AROUND[cell.k1], hydrology._AROUND[cell.k2], cell.p2) == ((0, 1), (-1, 1), 1.0)
+
+
+def test_cells_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Every join of the grid's cells is a shuffled one, however small its tables are on disk."""
+    plans, own = [], hydrology.cut
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df)
+
+    monkeypatch.setattr(hydrology, "cut", told)
+    dem = spark.createDataFrame([(r, c, float((r * 7 + c * 13) % 11 + r)) for r in range(12) for c in range(12)], "row int, col int, z double")
+    out = hydrology.depth_to_water(dem, [0.1], 16.0, breach_m=64.0)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 144 and any("Join" in x for x in plans)
+    assert not [x for x in plans if "BroadcastExchange" in x]

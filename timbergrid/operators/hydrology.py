@@ -25,6 +25,12 @@ from timbergrid.operators.checkpoints import cut, drop, ship, spread
 _AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
 
 
+def _cells(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the grid. As packed on disk it looks small enough to be sent through the driver,
+    where it is many times as large; it is shuffled instead."""
+    return df.hint("merge")
+
+
 def _offsets():
     return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(2**0.5 if r and c else 1.0).alias("n")) for k, (r, c) in enumerate(_AROUND)])
 
@@ -33,7 +39,7 @@ def _around(cells: DataFrame, value: str) -> DataFrame:
     """(row, col, own value, k, n, there): each cell with each neighbour's value."""
     near = cells.select("row", "col", F.col(value).alias("own"), F.explode(_offsets()).alias("o"))
     there = cells.select(F.col("row").alias("nr"), F.col("col").alias("nc"), F.col(value).alias("there"))
-    return near.select("row", "col", "own", "o.k", "o.n", (F.col("row") + F.col("o.r")).alias("nr"), (F.col("col") + F.col("o.c")).alias("nc")).join(there, ["nr", "nc"])
+    return near.select("row", "col", "own", "o.k", "o.n", (F.col("row") + F.col("o.r")).alias("nr"), (F.col("col") + F.col("o.c")).alias("nc")).join(_cells(there), ["nr", "nc"])
 
 
 def filled(dem: DataFrame, z: str = "z", rise: float = 1e-4, tile: int = tiles.TILE) -> DataFrame:
@@ -111,14 +117,14 @@ def breached(dem: DataFrame, reach: int, z: str = "z", rise: float = 1e-4, tile:
     of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach - 1) / tile).cast("int"), F.floor((F.col(c) + reach + 1) / tile).cast("int")))
     cuts = spread(cells.withColumn("tr", of("row")).withColumn("tc", of("col")), "tr", "tc").groupBy("tr", "tc").applyInArrow(cut_ways, "row int, col int, cut double")
     least = cuts.groupBy("row", "col").agg(F.min("cut").alias("cut"))
-    return cells.join(least, ["row", "col"], "left").select("row", "col", F.least("z", "cut").alias("z"))
+    return cells.join(_cells(least), ["row", "col"], "left").select("row", "col", F.least("z", "cut").alias("z"))
 
 
 def d8(dem: DataFrame, z: str = "z") -> DataFrame:
     """(row, col, to_row, to_col): the steepest way down, the first neighbour among equals; NULL where none is lower."""
     drop = (F.col("own") - F.col("there")) / F.col("n")
     best = _around(dem, z).withColumn("drop", drop).where("drop > 0").groupBy("row", "col").agg(F.max(F.struct("drop", (-F.col("k")).alias("k"), F.col("nr").alias("to_row"), F.col("nc").alias("to_col"))).alias("b"))
-    return dem.select("row", "col").join(best.select("row", "col", "b.to_row", "b.to_col"), ["row", "col"], "left")
+    return dem.select("row", "col").join(_cells(best.select("row", "col", "b.to_row", "b.to_col")), ["row", "col"], "left")
 
 
 def accumulation(flow: DataFrame) -> DataFrame:
@@ -130,7 +136,7 @@ def accumulation(flow: DataFrame) -> DataFrame:
     while not state.where("tr is not null").isEmpty():
         sent = state.where("tr is not null").groupBy(F.col("tr").alias("row"), F.col("tc").alias("col")).agg(F.sum("acc").alias("got"))
         jump = state.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("tr").alias("fr"), F.col("tc").alias("fc"))
-        state = cut(state.join(sent, ["row", "col"], "left").join(jump, ["tr", "tc"], "left").select("row", "col", F.col("fr").alias("tr"), F.col("fc").alias("tc"), (F.col("acc") + F.coalesce("got", F.lit(0))).alias("acc")))
+        state = cut(state.join(_cells(sent), ["row", "col"], "left").join(_cells(jump), ["tr", "tc"], "left").select("row", "col", F.col("fr").alias("tr"), F.col("fc").alias("tc"), (F.col("acc") + F.coalesce("got", F.lit(0))).alias("acc")))
     return state.select("row", "col", F.col("acc").alias("accum_cells"))
 
 
@@ -227,7 +233,7 @@ def shared_accumulation(flow: DataFrame, tile: int = tiles.TILE) -> DataFrame:
             break
         met = sent.groupBy("row", "col").agg(F.sum("amount").alias("amount")).withColumns({c: F.floor(F.col(of) / tile).cast("int") for c, of in (("tr", "row"), ("tc", "col"))})
         came = met.groupBy(*at).agg(F.collect_list(F.struct(((F.col("row") - F.col("tr") * tile) * tile + F.col("col") - F.col("tc") * tile).cast("int").alias("at"), "amount")).alias("came"))
-        todo = grid.join(came, at)  # a tile's rim at most
+        todo = grid.join(_cells(came), at)  # a tile's rim at most
     every = reduce(DataFrame.unionByName, [x.where("not leaves") for x in rounds])
     return every.groupBy("row", "col").agg(F.sum("amount").alias("accum_cells"))
 
@@ -245,20 +251,20 @@ def channel_links(accum: DataFrame, flow: DataFrame, threshold_ha: float, res: f
     """
     stream = channels(accum, threshold_ha, res)
     end = stream.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("on"))
-    down = cut(stream.join(flow, ["row", "col"]).join(end, ["to_row", "to_col"], "left").select("row", "col", F.when(F.col("on"), F.col("to_row")).alias("to_row"), F.when(F.col("on"), F.col("to_col")).alias("to_col")))
+    down = cut(stream.join(_cells(flow), ["row", "col"]).join(_cells(end), ["to_row", "to_col"], "left").select("row", "col", F.when(F.col("on"), F.col("to_row")).alias("to_row"), F.when(F.col("on"), F.col("to_col")).alias("to_col")))
     given = down.where("to_row is not null").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("row").alias("r"), F.col("col").alias("c"))).alias("above"))
     own = F.struct(F.col("row").alias("r"), F.col("col").alias("c"))
-    state = cut(down.join(given, ["row", "col"], "left").select("row", "col", F.when(F.col("n") == 1, F.col("above")).otherwise(own).alias("up"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("rank")))
+    state = cut(down.join(_cells(given), ["row", "col"], "left").select("row", "col", F.when(F.col("n") == 1, F.col("above")).otherwise(own).alias("up"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("rank")))
     while True:
         ahead = state.select(F.struct(F.col("row").alias("r"), F.col("col").alias("c")).alias("up"), F.col("up").alias("far"), F.col("rank").alias("more"))
-        after = cut(state.join(ahead, "up").select("row", "col", F.col("far").alias("up"), (F.col("rank") + F.col("more")).alias("rank"), (F.col("more") > 0).alias("moved")))
+        after = cut(state.join(_cells(ahead), "up").select("row", "col", F.col("far").alias("up"), (F.col("rank") + F.col("more")).alias("rank"), (F.col("more") > 0).alias("moved")))
         drop(state)
         state = after
         if after.where("moved").isEmpty():
             break
     link = F.shiftleft(F.col("up.r").cast("long"), 32) + F.col("up.c")
     step = F.when((F.col("row") != F.col("to_row")) & (F.col("col") != F.col("to_col")), 2**0.5).otherwise(F.lit(1.0)) * res
-    return state.join(down, ["row", "col"]).select(link.alias("link"), "rank", "row", "col", "to_row", "to_col", F.when(F.col("to_row").isNotNull(), step).alias("step_m"))
+    return state.join(_cells(down), ["row", "col"]).select(link.alias("link"), "rank", "row", "col", "to_row", "to_col", F.when(F.col("to_row").isNotNull(), step).alias("step_m"))
 
 
 def channel_lines(links: DataFrame) -> DataFrame:
@@ -281,12 +287,12 @@ def height_above_stream(dem: DataFrame, flow: DataFrame, streams: DataFrame, z:
     """(row, col, dtw): height above the first stream cell downslope; NULL where the way ends without one."""
     mark = streams.select("row", "col", F.lit(True).alias("is_stream"))
     own = F.struct(F.col("row").alias("r"), F.col("col").alias("c"))
-    start = flow.join(mark, ["row", "col"], "left").join(dem.select("row", "col", F.col(z).cast("double").alias("z")), ["row", "col"])
+    start = flow.join(_cells(mark), ["row", "col"], "left").join(_cells(dem.select("row", "col", F.col(z).cast("double").alias("z"))), ["row", "col"])
     hit = F.coalesce("is_stream", F.lit(False))
     state = cut(start.select("row", "col", "z", F.when(hit, F.col("z")).alias("base"), F.when(~hit, F.col("to_row")).alias("tr"), F.when(~hit, F.col("to_col")).alias("tc")))
     while not state.where("base is null and tr is not null").isEmpty():
         ahead = state.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("base").alias("nb"), F.col("tr").alias("fr"), F.col("tc").alias("fc"))
-        state = cut(state.join(ahead, ["tr", "tc"], "left").select("row", "col", "z", F.coalesce("base", "nb").alias("base"), F.when(F.coalesce("base", "nb").isNull(), F.col("fr")).alias("tr"), F.when(F.coalesce("base", "nb").isNull(), F.col("fc")).alias("tc")))
+        state = cut(state.join(_cells(ahead), ["tr", "tc"], "left").select("row", "col", "z", F.coalesce("base", "nb").alias("base"), F.when(F.coalesce("base", "nb").isNull(), F.col("fr")).alias("tr"), F.when(F.coalesce("base", "nb").isNull(), F.col("fc")).alias("tc")))
     return state.select("row", "col", (F.col("z") - F.col("base")).alias("dtw"))
 
 

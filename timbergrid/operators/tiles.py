@@ -155,7 +155,8 @@ def settled(ground: DataFrame, starts: DataFrame | None, keys: Sequence[str], of
         return every.groupBy(*at).agg(F.max_by(F.struct("layers", "v"), "_n").alias("t")).select(*at, "t.layers", "t.v")
 
     while True:
-        met = todo.join(grounds, [*keys, "tr", "tc"]).select(*at, "start", "edges", "layers", "was", "g")
+        met = todo.join(grounds.hint("merge"), [*keys, "tr", "tc"])  # grows with the grid: not through the driver
+        met = met.select(*at, "start", "edges", "layers", "was", "g")
         found = cut(dealt(met, *at).mapInArrow(settle, head + "dr int, dc int, layers binary, v binary"))
         tables.append(found.where("dr = 0 and dc = 0"))
         if len(tables) > TABLES:
@@ -164,7 +165,7 @@ def settled(ground: DataFrame, starts: DataFrame | None, keys: Sequence[str], of
         if sent.isEmpty():
             break
         todo = sent.groupBy(*at).agg(F.collect_list(F.struct("dr", "dc", "layers", "v")).alias("edges"))  # eight edges at most
-        todo = todo.join(latest(sent.select(*at).distinct()).withColumnRenamed("v", "was"), at, "left").withColumn("start", none.cast("array<struct<layer:bigint,row:int,col:int,v:double>>"))
+        todo = todo.join(latest(sent.select(*at).distinct()).withColumnRenamed("v", "was").hint("merge"), at, "left").withColumn("start", none.cast("array<struct<layer:bigint,row:int,col:int,v:double>>"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
