@@ -480,3 +480,14 @@ def test_pieces_give_the_library_ids(name):
     assert enc.simple
     for t, ids in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_an_encoder_keeps_a_words_ids_once():
+    from itertools import product
+
+    enc = tokenize.Encoder(tokenize.tokenizer_path("byte_bpe_50k.json"))
+    words = ["".join(x) for x in product("abcdé", repeat=5)]
+    before = sum(len(x) for x in vars(enc).values() if isinstance(x, dict))
+    got = enc.encode(["x " + " ".join(words), "x " + " ".join(f"{w}.," for w in words[::25])])
+    assert got == [enc._whole("x " + " ".join(words)), enc._whole("x " + " ".join(f"{w}.," for w in words[::25]))]
+    assert sum(len(x) for x in vars(enc).values() if isinstance(x, dict)) - before <= len(words) + len(words[::25]) + 9

@@ -21,7 +21,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Pieces of each kind in a generation; a Python worker remembers two.
-MEMORY = 400_000
+MEMORY = 250_000
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 _RUNS = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _DOUBLE = (b"  ", b"\n\n", b" \n", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
@@ -77,13 +77,15 @@ class Encoder:
         #: Byte-level files without a normalizer keep white space; files that drop it can be cut at every space.
         self.spaced = spec.get("normalizer") is None
         self.lower = not self.spaced
-        self.pretokens: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.model, self.byte_chars = self.tokenizer.model, _byte_chars()
         self.simple = spec.get("model", {}).get("type") == "BPE" and not spec["model"].get("dropout")
         self.plain, self.after_space = Memory(self._learn_plain), Memory(self._learn_spaced)
         if self.simple:
             before = ("", " ") if self.spaced else ("",)
             self.simple = all(self._short(b, w) == self._whole(b + w) for b in before for w in _SAMPLE)
+            self.plain.clear()
+            self.after_space.clear()
         self.newline = self._whole("\n")
         if self.spaced and self._whole("a.\nThe\nend x") != b"".join(map(self._whole, ("a.", "\n", "The", "\n", "end", " x"))):
             self.spaced_lines = False
@@ -96,17 +98,23 @@ class Encoder:
     def _pretoken(self, text: str) -> bytes:
         """Ids of one pre-token, through the model alone."""
         mapped = text.replace(" ", "\u0120") if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self.byte_chars)
-        known = self.pretokens[text] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return known
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _tail(self, text: str) -> bytes:
+        if (ids := self.tails.get(text)) is None:
+            ids = self.tails[text] = self._pretoken(text)
+        return ids
 
     def _short(self, before: str, text: str) -> bytes | None:
         """Ids of a simple piece, None for any other."""
         if not (m := _SIMPLE.fullmatch(text)):
             return None
         head, tail = m.groups()
-        head = head.lower() if self.lower else before + head
-        ids = self.pretokens.get(head) or self._pretoken(head)
-        return ids + (self.pretokens.get(tail) or self._pretoken(tail)) if tail else ids
+        if not tail:
+            return self._pretoken(head.lower() if self.lower else before + head)
+        # A word with punctuation after it mostly comes without it too: its ids are looked up, not kept once more.
+        ids = (self.after_space if before else self.plain)[head.encode("utf-8")]
+        return ids + self._tail(tail)
 
     def _learn(self, before: str, text: str) -> bytes | None:
         if self.simple and (short := self._short(before, text)) is not None:
@@ -122,6 +130,12 @@ class Encoder:
         return self._learn("", text)
 
     def _learn_spaced(self, piece: bytes) -> bytes | None:
+        if self.simple and self.spaced:
+            # ASCII letters, alone or before common punctuation: what ``_short`` gives, without its matching.
+            if piece.isalpha():
+                return array("I", [t.id for t in self.model.tokenize("\u0120" + piece.decode("ascii"))]).tobytes()
+            if (head := piece.rstrip(b".,;:!?")).isalpha():
+                return self.after_space[head] + self._tail(piece[len(head) :].decode("ascii"))
         if piece[:1] != b"\n":
             return self._learn(" ", piece.decode("utf-8"))
         ids = self.plain[piece[1:]]
@@ -130,8 +144,8 @@ class Encoder:
     def _turn(self) -> None:
         self.plain.turn()
         self.after_space.turn()
-        if len(self.pretokens) > MEMORY:
-            self.pretokens.clear()
+        if len(self.tails) > MEMORY:
+            self.tails.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
