@@ -483,3 +483,13 @@ def test_resistance_of_burned_stands(spark):
     assert got == pytest.approx({k: blend(b[1]) for k, b in bands.items()})
     none = raster.stand_resistance(edges.limit(0), stands, cover, Grid(0.0, 40.0, 20.0, 2, 2), grid).collect()
     assert {round(r.cost, 9) for r in none} == {round(cfg.low + (cfg.high - cfg.low) * t, 9)} and len(none) == 16
+
+
+def test_a_larger_graph_has_larger_parts_not_more(spark, monkeypatch):
+    rng, blocks, by_parts = random.Random(5), [], network._by_parts
+    edges = spark.createDataFrame([(0, i, j, float(rng.randrange(1, 90))) for i in range(70) for j in {(i + 1) % 70, (7 * i + 3) % 70} if i < j], "run int, i int, j int, cost double")
+    nodes = spark.createDataFrame([(0, i, 40.0) for i in range(70)], "run int, patch_id int, dispersal double")
+    told = {(r.i, r.j): r.p for r in network.max_product(edges, nodes, block=8).collect()}
+    monkeypatch.setattr(network, "PARTS", 4)
+    monkeypatch.setattr(network, "_by_parts", lambda e, n, by, block, most: blocks.append(block) or by_parts(e, n, by, block, most))
+    assert {(r.i, r.j): r.p for r in network.max_product(edges, nodes, block=8).collect()} == told and blocks == [18]
