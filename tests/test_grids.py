@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from timbergrid.operators import hydrology, network, raster, spatial, stats, tiles
+from timbergrid.operators import checkpoints, hydrology, network, raster, spatial, stats, tiles
 from timbergrid.operators.spatial import Grid
 
 SEG = "id int, x1 double, y1 double, x2 double, y2 double"
@@ -493,3 +493,59 @@ def test_a_larger_graph_has_larger_parts_not_more(spark, monkeypatch):
     monkeypatch.setattr(network, "PARTS", 4)
     monkeypatch.setattr(network, "_by_parts", lambda e, n, by, block, most: blocks.append(block) or by_parts(e, n, by, block, most))
     assert {(r.i, r.j): r.p for r in network.max_product(edges, nodes, block=8).collect()} == told and blocks == [18]
+
+
+def test_connectivity_over_ground_keeps_no_fields_and_no_pairs(spark, monkeypatch):
+    """The same sums as from all fields and pairs, with blocks of two patches, patches in two places or off the ground, and gaps."""
+    rng = random.Random(21)
+    cost = {(run, r, c): rng.choice([1.0, 3.0, 20.0]) for run in (0, 1) for r in range(18) for c in range(22) if rng.random() > 0.1}
+    seeds = {p: [(r, c), (r, c + 1)] for p, (r, c) in enumerate((rng.randrange(18), rng.randrange(21)) for _ in range(24))}
+    seeds |= {30: [(0, 0), (17, 20)], 31: [(60, 60)], 32: seeds[3][:1] + seeds[9]}
+    grid = spark.createDataFrame([(*k, v) for k, v in cost.items()], "run int, row int, col int, cost double")
+    patches = spark.createDataFrame([(run, p, *k) for p, ks in seeds.items() for k in ks for run in (0, 1)], "run int, patch_id long, row int, col int")
+    for scale in (30.0, 0.05):  # ways as far as there is ground, or a few cells
+        nodes = spark.createDataFrame([(run, p, 1.0 + p % 4, scale * (1 + run)) for p in seeds for run in (0, 1)], "run int, patch_id long, area_ha double, dispersal double")
+        fields = network.cost_fields(patches, grid)
+        want = {(r.run, r.i): (r.ai, r.s) for r in network.reached_area(network._hops(network.pair_costs(fields, patches), nodes, ["run"]), nodes).collect()}
+        made, own = [], checkpoints.cut
+        monkeypatch.setattr(network, "cut", lambda df: made.append(own(df)) or made[-1])  # noqa: B023
+        for tile, block, held in ((256, 512, 2**24), (4, 2, 600)):
+            monkeypatch.setattr(network, "HELD", held)
+            got = {(r.run, r.i): (r.ai, r.s) for r in network.reached_over_ground(patches, grid, nodes, tile=tile, block=block).collect()}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+        assert max(x.count() for x in made) <= 2 * sum(len(ks) for ks in seeds.values())
+    monkeypatch.setattr(network, "cut", own)
+    assert network.reached_over_ground(patches, grid.limit(0), nodes).where("s <> ai").isEmpty()
+
+
+def test_a_connected_sweep_asks_for_no_whole_fields(spark, monkeypatch):
+    from timbergrid.plans.config import Resistance, Sweep, perturbed
+
+    monkeypatch.setattr(network, "cost_fields", None)
+    cells = spark.createDataFrame([(r, c, 24, 50.0, 10.0, 0.5) for r in range(8) for c in range(12)], "row int, col int, clc int, meanage double, basalarea double, proportionother double")
+    patch = spark.createDataFrame([(r, c, p, 2.0) for p, c in ((1, 0), (2, 6), (3, 11)) for r in (3, 4)], "row int, col int, patch_id long, area_ha double")
+    labels = cells.select("row", "col", F.floor(F.col("row") / 2).cast("long").alias("label"))
+    base = Resistance(coarsen=1)
+    got = network.sweep(cells, patch, labels, [(-1, base), *perturbed(base, Sweep(n_runs=2))], 8, 12)
+    alone = network.sweep(cells, patch, labels, perturbed(base, Sweep(n_runs=2)), 8, 12)
+    assert {r.run for r in got["connectivity"].collect()} == {-1, 0, 1}
+    assert sorted(got["robust"].collect()) == sorted(alone["robust"].collect())
+
+
+def test_near_fields_of_lone_and_gathered_patches(spark):
+    """Patches of one corner come with few tiles, a lone one asks for more; backbone and fields are those of whole fields."""
+    rng = random.Random(14)
+    cost = {(r, c): rng.uniform(1.0, 9.0) for r in range(30) for c in range(30) if rng.random() > 0.05}
+    at = [k for k in cost if max(k) < 9]
+    seeds = {p: rng.sample(at, 2) for p in range(12)} | {20: [max(cost)], 21: [(90, 90)]}
+    grid = spark.createDataFrame([(0, *k, v) for k, v in cost.items()], "run int, row int, col int, cost double")
+    patches = spark.createDataFrame([(0, p, *k) for p, ks in seeds.items() for k in ks], "run int, patch_id long, row int, col int")
+    whole = network.cost_fields(patches, grid)
+    told = lambda e: {(r.i, r.j): r.cost for r in network.backbone(e, 3).collect()}
+    fields, edges = network.near_fields(patches, grid, 3, 0.15, tile=3)
+    want = told(network.pair_costs(whole, patches))
+    assert told(edges) == pytest.approx(want)
+    most = {p: max(v for k, v in want.items() if p in k) * 1.15 + 1e-9 for p in seeds if p != 21}
+    got = {(r.patch_id, r.row, r.col): r.cost for r in fields.collect()}
+    assert got == pytest.approx({(r.patch_id, r.row, r.col): r.cost for r in whole.collect() if r.cost <= most[r.patch_id]})
+    assert network.near_fields(patches, grid.limit(0), 3, 0.15)[0].isEmpty()
