@@ -549,3 +549,48 @@ def test_near_fields_of_lone_and_gathered_patches(spark):
     got = {(r.patch_id, r.row, r.col): r.cost for r in fields.collect()}
     assert got == pytest.approx({(r.patch_id, r.row, r.col): r.cost for r in whole.collect() if r.cost <= most[r.patch_id]})
     assert network.near_fields(patches, grid.limit(0), 3, 0.15)[0].isEmpty()
+
+
+def test_sums_over_ground_take_no_passes_over_cells(monkeypatch):
+    """Sums from a tree of regions are those of all ways, by patches of one cell, in two places or with gaps about them; a source takes
+    fewer sums than two passes over the cells, the least that tell that nothing falls any more, of 14 a cell."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n, tile = random.Random(8), 40, 64
+    cost = {(r, c): rng.choice([1.0, 4.0, 30.0]) for r in range(n) for c in range(n) if rng.random() > 0.1 and c != 37}
+    seeds = {p: rng.sample(sorted(cost), 1) for p in range(60)} | {90: [(0, 0), (n - 1, n - 1)]}
+    seeds |= {91: [*seeds[3], *seeds[90][:1]], 92: [rng.choice([k for k in cost if k[1] > 37])]}
+    cost |= {(0, 0): 1.0, (n - 1, n - 1): 1.0}
+    ground = np.full((tile + 2, tile + 2), np.nan)
+    for (r, c), x in cost.items():
+        ground[r + 1, c + 1] = x
+    cells = pa.array([{"id": p, "row": r, "col": c, "area": 1.0 + p % 4, "n": len(ks)} for p, ks in seeds.items() for r, c in ks])
+    parts = pa.StructArray.from_arrays([pa.array([0]), pa.array([0]), pa.array([ground.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells)], ["tr", "tc", "g", "cells"])
+
+    def whole(source):
+        far, line, on = dict.fromkeys(seeds[source], 0.0), [(0.0, k) for k in seeds[source]], {}
+        for p, ks in seeds.items():
+            for k in ks:
+                on.setdefault(k, set()).update(ks)
+        while line:
+            d, k = heapq.heappop(line)
+            steps = [(d, x) for x in on.get(k, ())]
+            steps += [(d + (cost[k] + cost[x]) / 2 * math.hypot(dr, dc), x) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (x := (k[0] + dr, k[1] + dc)) in cost]
+            for v, x in steps:
+                if v < far.get(x, math.inf):
+                    far[x] = v
+                    heapq.heappush(line, (v, x))
+        return sum((1.0 + p % 4) * math.exp(-min(far.get(k, math.inf) for k in ks) / 40.0) for p, ks in seeds.items())
+
+    looks, own, told = [], network._min_plus, [3, 7, 20, 55, 90, 91, 92]
+    monkeypatch.setattr(network, "_min_plus", lambda w, v: looks.append(w.size * v.shape[1]) or own(w, v))
+    want = [whole(p) for p in told]
+    for side, times in ((4, 0), (4, 1), (8, 2)):
+        looks.clear()
+        monkeypatch.setattr(network, "SIDE", side)
+        monkeypatch.setattr(network, "WHOLE", times)
+        for some in (1, 256):
+            monkeypatch.setattr(network, "SOURCES", some)
+            assert list(network._sums(parts, np.array(told), 40.0, np.inf, tile)) == pytest.approx(want, rel=1e-12)
+        assert sum(looks) < 2 * len(told) * 2 * 14 * n * n
