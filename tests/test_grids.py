@@ -594,3 +594,19 @@ def test_sums_over_ground_take_no_passes_over_cells(monkeypatch):
             monkeypatch.setattr(network, "SOURCES", some)
             assert list(network._sums(parts, np.array(told), 40.0, np.inf, tile)) == pytest.approx(want, rel=1e-12)
         assert sum(looks) < 2 * len(told) * 2 * 14 * n * n
+
+
+def test_a_graph_comes_to_a_task_in_small_rows(spark, monkeypatch):
+    """However large a part and what it reaches: a row holds the edges of a few nodes, and pairs are given out some at a time."""
+    rng, n = random.Random(4), 90
+    edges = spark.createDataFrame([(run, i, j, float(rng.randrange(1, 90))) for run in (0, 1) for i in range(n) for j in (i + 2, i + 4) if j < n], "run int, i int, j int, cost double")
+    nodes = spark.createDataFrame([(run, k, (k * 17 % 97) / 8.0, 40.0) for run in (0, 1) for k in range(n + 1)], "run int, patch_id int, area_ha double, dispersal double")
+    p = {(r.run, r.i, r.j): r.p for r in network.max_product(edges, nodes).collect()}
+    want = {(r.run, r.patch_id): r.dpc for r in network.connectivity_of(edges, nodes).collect()}
+    monkeypatch.setattr(network, "PIECE", 4)
+    monkeypatch.setattr(network, "AT_MOST", 7)
+    loads = next(network._by_parts(network._hops(edges, nodes, ["run"]), nodes, ["run"], 64, math.inf))
+    assert {(r.n, r.e) for r in loads.select(F.size("nodes").alias("n"), F.size("edges").alias("e")).collect()} <= {(a, b) for a in range(1, 5) for b in range(17)}
+    assert loads.where("s = 0").agg(F.sum(F.size("edges"))).first()[0] == 4 * edges.where("run = 0").count()
+    assert {(r.run, r.i, r.j): r.p for r in network.max_product(edges, nodes).collect()} == p and len(p) == 2 * (45 * 45 * 2 + 1)
+    assert {(r.run, r.patch_id): r.dpc for r in network.connectivity_of(edges, nodes, block=16).collect()} == pytest.approx(want)
