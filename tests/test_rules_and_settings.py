@@ -158,3 +158,12 @@ def test_a_missing_section_is_told_once():
     del config["erosion"]
     config["soil"] = 3
     assert every_problem(config) == ["soil: the section is missing", "erosion: the section is missing"]
+
+
+def test_numbers_by_type_are_not_read_as_text(spark):
+    values = [0.0, -0.0, 1.5, 1e-7, 1.23456789012345e22, -2.0**53, float("nan"), float("inf"), -float("inf"), None]
+    frame = spark.createDataFrame([(v, None if v is None or abs(v) > 1e20 or v != v else int(v)) for v in values], "x double, n long")
+    text = frame.select(F.col("x").cast("string").alias("x"), F.col("n").cast("string").alias("n"))
+    got = frame.select(R.number(F.col("x")).alias("x"), R.number(F.col("n")).alias("n"))
+    assert [tuple(map(str, r)) for r in got.collect()] == [tuple(map(str, r)) for r in text.select(R.number(F.col("x")).alias("x"), R.number(F.col("n")).alias("n")).collect()]
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString().upper()

@@ -20,9 +20,13 @@ FROZEN_ONLY = "frozen-ground / winter preferred"
 
 
 def number(code: Column) -> Column:
-    """A double where the code reads as a plain number, else NULL ('60d' is no number)."""
-    text = code.cast("string")
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    """A double where the code reads as a plain number, else NULL ('60d' is no number).
+
+    What is a number by its type is not written out and read again; the type is known when the query is planned.
+    """
+    text, plain = code.cast("string"), code.try_cast("double")
+    read = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    return F.when(F.typeof(code).isin("double", "bigint", "int", "smallint", "tinyint"), F.when(F.abs(plain) < float("inf"), plain)).otherwise(read)
 
 
 def holds(predicate: Column) -> Column:
